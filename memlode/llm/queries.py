@@ -1,13 +1,15 @@
-"""The eleven queries of the training-data operators."""
+"""The queries of the training-data operators."""
 
 from __future__ import annotations
 
+from memlode.llm.decontaminate import op2_decontamination
+from memlode.llm.mixing import op9_mixing
+from memlode.llm.quality_rules import op5_quality_rules
 from memlode.llm.simhash import op1_simhash
 
 
 def queries() -> dict:
-    out = {"op1_simhash": op1_simhash}
-    return out
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op5_quality_rules, op9_mixing)}
 
 
 def oracle_sql() -> dict:
