@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from memlode.llm.decontaminate import op2_decontamination
 from memlode.llm.mixing import op9_mixing
+from memlode.llm.pii import op8_pii
+from memlode.llm.quality_model import op3_quality_classifier
 from memlode.llm.quality_rules import op5_quality_rules
 from memlode.llm.simhash import op1_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op5_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality_classifier, op5_quality_rules, op8_pii, op9_mixing)}
 
 
 def oracle_sql() -> dict:
