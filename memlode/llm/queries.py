@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from memlode.llm.chat_format import op6_chat_format
 from memlode.llm.decontaminate import op2_decontamination
+from memlode.llm.language_id import op7_language_id
 from memlode.llm.mixing import op9_mixing
 from memlode.llm.pii import op8_pii
 from memlode.llm.quality_model import op3_quality_classifier
@@ -11,7 +13,7 @@ from memlode.llm.simhash import op1_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality_classifier, op5_quality_rules, op8_pii, op9_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality_classifier, op5_quality_rules, op6_chat_format, op7_language_id, op8_pii, op9_mixing)}
 
 
 def oracle_sql() -> dict:
