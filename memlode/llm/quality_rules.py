@@ -22,11 +22,11 @@ COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein",
     "es": "de la que el en y los del se las por un para con una su al lo",
 }
-#: The character classes of the histogram, as Java character classes.  Digits are in none: numbers are no junk.
-CLASSES = {
-    "lower": "[a-z]", "upper": "[A-Z]", "accent": "[\\p{L}&&[^a-zA-Z]]", "space": "[ \\t-\\r]",
-    "stop": "[.,]", "shout": "[!?]", "quote": "[\"'():;/-]", "symbol": "[#*$%&|<>=_~^+@\\\\{}\\[\\]]",
-}
+#: Character classes of the histogram, as Java character classes.  White space, the symbols
+#: of the base counts and plain characters (all others, so mostly a-z) complete it; digits are left out.
+CLASSES = {"upper": "[A-Z]", "accent": "[\\x{C0}-\\x{24F}]", "stop": "[.,]", "shout": "[!?]", "quote": "[\"'():;/_=~^+@-]"}
+#: Fixed value: what may stand after a common word that still counts.
+AFTER = ".,;:!?"
 MIN_WORDS = 50
 #: Verdict: greatest distance to the nearest reference.  Sampling noise falls with length, so short texts get more.
 MAX_CHAR = 0.15
@@ -36,11 +36,11 @@ SLACK_CHAR, SLACK_WORD = 1.0, 2.0
 ROUNDS = 2
 
 
-def base_counts(text: Column, ws: Column) -> dict[str, Column]:
-    """word_chars, n_symbols, n_dup_lines of a text and its words ``ws``."""
+def base_counts(text: Column) -> dict[str, Column]:
+    """word_chars, n_symbols, n_dup_lines of a text."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     return {
-        "word_chars": (F.length(F.array_join(ws, ""))).cast("long"),
+        "word_chars": F.coalesce(F.length(text) - F.regexp_count(text, F.lit("[\\x20\\x09-\\x0D]")), F.lit(0)).cast("long"),
         "n_symbols": F.coalesce(F.regexp_count(text, F.lit("[#*$%&|<>]")), F.lit(0)).cast("long"),
         "n_dup_lines": F.aggregate(F.array(lines), F.lit(0).cast("long"), lambda a, x: a + F.size(x) - F.size(F.array_distinct(x))),
     }
@@ -66,9 +66,9 @@ def _total(hist: Column) -> Column:
     return F.aggregate(hist, F.lit(0), lambda a, x: a + x)
 
 
-def _shares(hist: str) -> Column:
+def _shares(hist: str, total: str) -> Column:
     """A histogram's shares; all 0 where it is empty."""
-    return F.transform(hist, lambda x: x / F.greatest(_total(F.col(hist)), F.lit(1)))
+    return F.transform(hist, lambda x: x / F.greatest(F.col(total), F.lit(1)))
 
 
 def js_distance(p: Column, q: list[float]) -> Column:
@@ -82,21 +82,24 @@ def js_distance(p: Column, q: list[float]) -> Column:
 
 
 def profile(docs: DataFrame, *, common: dict = COMMON) -> DataFrame:
-    """doc_id, lang, the base counts and two histograms (arrays of counts) for every row."""
+    """doc_id, lang, the base counts, two histograms as shares and their totals for every row."""
     vocab = sorted({w for ws in common.values() for w in ws.split()})
-    d = docs.select("doc_id", "lang", F.col("text"), words(F.col("text")).alias("ws"))
+    shapes = [x + y for w in vocab for x in {w, w.capitalize(), w.upper()} for y in ("", *AFTER)]
+    d = docs.select("doc_id", "lang", "text", words(F.col("text")).alias("ws"))
     windows = F.transform(F.sequence(F.lit(0), F.size("ws") - 3), lambda i: F.xxhash64(F.get("ws", i), F.get("ws", i + 1), F.get("ws", i + 2)))
     windows = F.when(F.size("ws") >= 3, windows).otherwise(F.array().cast("array<bigint>"))
-    chars = [F.coalesce(F.regexp_count("text", F.lit(c)), F.lit(0)) for c in CLASSES.values()]
-    clean = F.transform("ws", lambda w: F.lower(F.regexp_replace(w, "[^\\p{L}]+", "")))
-    hits = F.array_join(F.filter(clean, lambda w: w.isin(*vocab)), "  ")
-    d = d.select("doc_id", "lang", "ws", windows.alias("wins"), F.concat(F.lit(" "), hits, F.lit(" ")).alias("hits"), *[v.alias(k) for k, v in base_counts(F.col("text"), F.col("ws")).items()], F.array(*chars).alias("chars"))
+    hits = F.array_join(F.filter("ws", lambda w: w.isin(*shapes)), "  ")
+    hits = F.lower(F.regexp_replace(F.concat(F.lit(" "), hits, F.lit(" ")), f"[{AFTER}]", ""))
+    counts = [F.coalesce(F.regexp_count("text", F.lit(c)), F.lit(0)).alias(f"c_{k}") for k, c in CLASSES.items()]
+    digits = F.coalesce(F.regexp_count("text", F.lit("[0-9]")), F.lit(0)).alias("c_digit")
+    d = d.select("doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).alias("len"), F.size("ws").cast("long").alias("n_words"), windows.alias("wins"), hits.alias("hits"), *[v.alias(k) for k, v in base_counts(F.col("text")).items()], *counts, digits)
+    classes = [F.col("len") - F.col("word_chars"), F.col("n_symbols"), *[F.col(f"c_{k}") for k in CLASSES]]
+    plain = F.col("word_chars") - F.col("c_digit") - sum((F.col(f"c_{k}") for k in CLASSES), F.col("n_symbols"))
     counted = [(F.length("hits") - F.length(F.replace(F.col("hits"), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2) for w in vocab]
-    return d.select(
-        "doc_id", "lang", F.size("ws").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        repeated_words(F.col("wins")).alias("n_repeat_words"), F.transform("chars", lambda x: x.cast("int")).alias("chars"),
-        F.array(*counted).cast("array<int>").alias("common"),
-    )
+    base = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    d = d.select(*base, repeated_words(F.col("wins")).alias("n_repeat_words"), F.array(plain, *classes).cast("array<int>").alias("h_c"), F.array(*counted).cast("array<int>").alias("h_w"))
+    d = d.withColumns({"char_total": _total(F.col("h_c")), "word_total": _total(F.col("h_w"))})
+    return d.withColumns({"chars": _shares("h_c", "char_total"), "common": _shares("h_w", "word_total")}).drop("h_c", "h_w")
 
 
 def base_failed() -> Column:
@@ -108,10 +111,10 @@ def references(profiles: DataFrame, *, common: dict = COMMON, min_words: int = M
 
     A language without such documents has no reference.  One row a configured language reaches the driver.
     """
-    n_chars, n_words = len(CLASSES), len({w for ws in common.values() for w in ws.split()})
+    n_chars, n_words = len(CLASSES) + 3, len({w for ws in common.values() for w in ws.split()})
     mean = lambda col, n: F.array(*[F.avg(F.get(col, F.lit(i))) for i in range(n)])
-    good = profiles.where(F.col("lang").isin(*common) & ~base_failed()).select("lang", _shares("chars").alias("pc"), _shares("common").alias("pw"))
-    rows = good.groupBy("lang").agg(mean("pc", n_chars).alias("c"), mean("pw", n_words).alias("w")).collect()
+    good = profiles.where(F.col("lang").isin(*common) & ~base_failed())
+    rows = good.groupBy("lang").agg(mean("chars", n_chars).alias("c"), mean("common", n_words).alias("w")).collect()
     return {r.lang: (list(r.c), list(r.w)) for r in rows}
 
 
@@ -122,13 +125,11 @@ def judge(profiles: DataFrame, refs: dict, max_char: float = MAX_CHAR, max_word:
     rules speak.  The limits grow by a slack divided by the root of the number of characters, or of
     common words, that the histogram is made of: that guards short texts.
     """
-    def nearest(k):
-        ds = [js_distance(F.col("p"), r[k]) for r in refs.values()]
+    def nearest(col, k):
+        ds = [js_distance(F.col(col), r[k]) for r in refs.values()]
         return F.array_min(F.array(*ds)) if ds else F.lit(None).cast("double")
 
-    out = profiles.withColumns({"base_failed": base_failed(), "char_total": _total(F.col("chars")), "word_total": _total(F.col("common"))})
-    for name, col, k in (("char_distance", "chars", 0), ("word_distance", "common", 1)):
-        out = out.withColumn("p", _shares(col)).withColumn(name, nearest(k)).drop("p")
+    out = profiles.withColumns({"base_failed": base_failed(), "char_distance": nearest("chars", 0), "word_distance": nearest("common", 1)})
     far = (F.col("char_distance") > max_char + SLACK_CHAR / F.sqrt(F.greatest(F.col("char_total"), F.lit(1))))
     far = far | (F.col("word_distance") > max_word + SLACK_WORD / F.sqrt(F.greatest(F.col("word_total"), F.lit(1))))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
