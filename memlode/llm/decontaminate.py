@@ -222,13 +222,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold:
     """The rows of ``docs`` that contain no item of the benchmark, with all their columns."""
     out = docs
     for _, items in _blocks(benchmark, block_bytes):
+        out = out.where(_clean(items, k, threshold)(_raw("text")))
+    return out
 
-        def clean(raws: pd.Series, items=items) -> pd.Series:
-            find = _searcher(items, k, threshold)
-            return pd.Series([not find.search(x) for x in raws], dtype=bool)
 
-        out = out.where(F.pandas_udf(clean, BooleanType())(_raw("text")))
-    return out
+def _clean(items, k: int, threshold: float):
+    def clean(raws: pd.Series) -> pd.Series:
+        find = _searcher(items, k, threshold)
+        return pd.Series([not find.search(x) for x in raws], dtype=bool)
+
+    return F.pandas_udf(clean, BooleanType())
 
 
 def op2_decontamination(spark, sf_dir) -> DataFrame:

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from memlode.llm.chat_format import op6_chat_format
 from memlode.llm.decontaminate import op2_decontamination
+from memlode.llm.html_extract import op10_html_extract
 from memlode.llm.language_id import op7_language_id
 from memlode.llm.mixing import op9_mixing
 from memlode.llm.pii import op8_pii
 from memlode.llm.quality_model import op3_quality_classifier
 from memlode.llm.quality_rules import op5_quality_rules
 from memlode.llm.simhash import op1_simhash
+from memlode.llm.warc import op4_warc_derivatives
+
+OPERATORS = (
+    op1_simhash, op2_decontamination, op3_quality_classifier, op4_warc_derivatives, op5_quality_rules,
+    op6_chat_format, op7_language_id, op8_pii, op9_mixing, op10_html_extract,
+)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality_classifier, op5_quality_rules, op6_chat_format, op7_language_id, op8_pii, op9_mixing)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict:

@@ -192,9 +192,9 @@ def links(fps: DataFrame, tau: int = 4, tile: int = TILE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, fp, root, component_id) for every row of ``docs``.
 
-    component_id is the least doc_id reachable over links of at most ``tau`` differing bits, the
+    root names the class by its least fingerprint; component_id is the least doc_id reachable over links of at most ``tau`` differing bits, the
     row's own included.  Null text counts as empty; rows with a null id take part and take the least
     id of their class, null if there is none.  Repeated rows each get a row.  An empty table gives
     an empty result.  Columns besides doc_id and text are ignored, whatever their names.
@@ -205,8 +205,31 @@ def near_duplicates(docs: DataFrame, tau: int = 4, scratch: Scratch | None = Non
     roots = connected_components(links(groups.select("fp"), tau))
     member = groups.join(roots, groups.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = scratch.keep(member.join(lows, "root").select("fp", "component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = scratch.keep(member.join(lows, "root").select("fp", "root", "component_id"))
+    return fps.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, tau: int = 4) -> DataFrame:
+    """One row of each class, with all columns of ``docs``: one that has the least id.
+
+    Where several rows of a class carry that id (or the class has no id at all) the one with the least
+    fingerprint stays, and of rows that agree in both any one: those few rows are dealt with apart.
+    """
+    scratch = Scratch(docs.sparkSession)
+    own = near_duplicates(docs, tau, scratch)
+    least = own.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = scratch.keep(least.groupBy(F.col("root"), F.col("doc_id").alias("keep_id")).agg(F.min("fp").alias("keep_fp")).select("keep_id", "keep_fp"))
+    counts = own.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
+    twice = scratch.keep(counts)
+    with_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    if twice.isEmpty():
+        return docs.join(kept, with_id, "left_semi")
+    print_of = _fingerprints(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    again = F.col("doc_id").eqNullSafe(F.col("twice_id"))
+    single = docs.join(twice, again, "left_anti").join(kept, with_id, "left_semi")
+    several = docs.join(twice, again, "left_semi").withColumn("own_fp", print_of)
+    several = several.join(kept, with_id & (F.col("own_fp") == F.col("keep_fp")), "left_semi").dropDuplicates(["doc_id", "own_fp"])
+    return single.unionByName(several.drop("own_fp"))
 
 
 def op1_simhash(spark, sf_dir) -> DataFrame:
