@@ -7,6 +7,7 @@ import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -73,6 +74,15 @@ class Scratch:
             self.paths.remove(path)
             drop_path(self.spark, path)
 
+    def size(self, df: DataFrame) -> int:
+        """Bytes on disk of a kept table."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._memlode_path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+    def broadcast_if_small(self, df: DataFrame, limit: int = 8 << 20) -> DataFrame:
+        """A kept table with a broadcast hint if it is at most ``limit`` bytes; beyond, the join shuffles."""
+        return F.broadcast(df) if self.size(df) <= limit else df
+
     def clear(self) -> None:
         while self.paths:
             drop_path(self.spark, self.paths.pop())
