@@ -54,9 +54,14 @@ NAMES = ["q_len", "q_word_len", "q_symbol", "q_upper", "q_shout", "q_stop", "q_d
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` (in struct ``q_row``) and the features."""
+    """The columns of ``docs`` (in struct ``q_row``) and the features.
+
+    The features pass through a one-element explode: no optimizer rule moves a condition on the score
+    below it, which would compute every feature anew in every rule.
+    """
     own = docs.select(F.struct("*").alias("q_row"), words(docs["text"]).alias("q_words"))
-    return own.select("q_row", *[c.alias(k) for k, c in features(F.col("q_row.text")).items()])
+    row = F.struct(*[c.alias(k) for k, c in features(F.col("q_row.text")).items()])
+    return own.select("q_row", F.explode(F.array(row)).alias("q_f")).select("q_row", "q_f.*")
 
 
 @dataclass
