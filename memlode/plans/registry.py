@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
+
 FLAGSHIP = "bm25_top10"
+MODULES = ("retrieval",)
+
+
+def _all() -> list:
+    return [importlib.import_module(f"memlode.plans.{m}").R for m in MODULES]
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for r in _all() for k, f in r.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for r in _all() for k, s in r.sql.items()}
