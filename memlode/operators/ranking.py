@@ -173,11 +173,11 @@ def recency(as_of: Column, keep: Column | None = None) -> Column:
 
 
 def importance() -> Column:
-    return F.coalesce(T.clamp01(F.col("importance")), lookup(F.col("chunk_type"), IMPORTANCE, 0.40))
+    return T.clamp01(F.coalesce(F.col("importance"), lookup(F.col("chunk_type"), IMPORTANCE, 0.40)))
 
 
 def pain() -> Column:
-    return F.coalesce(T.clamp01(F.col("pain")), F.lit(0.2))
+    return T.clamp01(F.coalesce(F.col("pain"), F.lit(0.2)))
 
 
 def access() -> Column:

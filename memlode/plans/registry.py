@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "bm25_top10"
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "telemetry")
 
 
 def _all() -> list:

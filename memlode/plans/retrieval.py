@@ -312,7 +312,8 @@ def interleaved(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT c_custkey AS id, c_name || ' ships from ' || n.n_name || ' to ' || m.n_name AS text FROM customer JOIN nation n ON n.n_nationkey = c_nationkey JOIN nation m ON m.n_nationkey = (c_custkey % 25))
-SELECT id, CAST(CASE WHEN count(DISTINCT name) = 0 THEN 0 ELSE count(DISTINCT name) END AS INTEGER) AS n FROM (SELECT t.id, CASE WHEN contains(lower(text), lower(n_name)) THEN n_name END AS name FROM t, nation) GROUP BY id""")
+SELECT id, CAST(len(list_distinct(regexp_extract_all(list_reduce(list_prepend(lower(text), (SELECT list(lower(n_name) ORDER BY length(n_name) DESC, lower(n_name)) FROM nation)),
+  lambda a, n: replace(a, n, chr(1) || md5(n))), chr(1) || '([0-9a-f]{32})', 1))) AS INTEGER) AS n FROM t""")
 def query_entities(spark, sf_dir):
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     names = [r.n_name for r in n.select("n_name").distinct().collect()]
