@@ -21,11 +21,11 @@ from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, S
 
 from memlode.llm.common import crc_bucket, documents
 
-DIM_BITS = 15
+DIM_BITS = 14
 DIM = 1 << DIM_BITS
 GRAMS = 3
 #: Bounds of the fit: documents for each language, documents in all, landmarks.
-PER_LANGUAGE, SAMPLE, LANDMARKS = 600, 8_000, 256
+PER_LANGUAGE, SAMPLE, LANDMARKS = 600, 4_000, 256
 RIDGE = 1e-3
 SHARPNESS = 4.0
 _BATCH = 256
@@ -97,13 +97,15 @@ def fit(x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: floa
     names = sorted(set(langs))
     if not names:
         return KernelModel([], np.zeros((DIM, 0), np.float32))
-    x = x.astype(np.float32)
-    unit = x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    marks = unit[:: max(1, len(unit) // landmarks)][:landmarks]
+
+    def unit(part: np.ndarray) -> np.ndarray:
+        return part.astype(np.float32) / np.sqrt(np.maximum(part.sum(axis=1, keepdims=True, dtype=np.int64), 1)).astype(np.float32)
+
+    marks = unit(x[:: max(1, len(x) // landmarks)][:landmarks])
     val, vec = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = val > 1e-6 * val.max()
     root = vec[:, good] / np.sqrt(val[good])  # K_mm^(-1/2)
-    phi = (unit @ marks.T).astype(np.float64) @ root
+    phi = np.concatenate([unit(x[at : at + _BATCH]) @ marks.T for at in range(0, len(x), _BATCH)]).astype(np.float64) @ root
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     w = np.linalg.solve(phi.T @ phi + ridge * len(phi) * np.eye(phi.shape[1]), phi.T @ y)
     return KernelModel(names, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32))
@@ -128,7 +130,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     got = rows.orderBy("turn", "lang", "bits").collect()
     taken: dict[str, int] = {}
     rows = [r for r in got if (taken.__setitem__(r.lang, taken.get(r.lang, 0) + 1) or taken[r.lang]) <= want]
-    x = np.stack([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in rows]) if rows else np.zeros((0, DIM))
+    x = np.stack([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in rows]) if rows else np.zeros((0, DIM), np.uint8)
     return fit(x, [r.lang for r in rows])
 
 
