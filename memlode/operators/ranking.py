@@ -39,12 +39,13 @@ def lookup(key: Column, table: dict, default) -> Column:
 def postings(docs: DataFrame, terms: DataFrame, fields: dict[str, float]) -> DataFrame:
     """(id, term, tf, dl): weighted term frequencies of the wanted ``terms`` and document lengths.
 
-    Tokens meet the query terms before they are grouped, so only matching tokens are shuffled.
+    Tokens meet the query terms before they are grouped, so only matching tokens are shuffled.  The
+    outer explode keeps the optimizer from adding a size test that would tokenize every text twice.
     """
     own = [(w, T.tokens(F.col(c))) for c, w in fields.items()]
     dl = sum((F.size(t) for _, t in own[1:]), F.size(own[0][1]))
     parts = F.concat(*[_tagged(t, w) for w, t in own])
-    rows = docs.select("id", dl.alias("dl"), parts.alias("ps")).select("id", "dl", F.explode("ps").alias("p")).select("id", "dl", "p.term", "p.w")
+    rows = docs.select("id", dl.alias("dl"), parts.alias("ps")).select("id", "dl", F.explode_outer("ps").alias("p")).select("id", "dl", "p.term", "p.w")
     return rows.join(terms, "term").groupBy("id", "term", "dl").agg(F.sum("w").alias("tf"))
 
 

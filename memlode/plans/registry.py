@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "bm25_top10"
-MODULES = ("retrieval", "telemetry")
+MODULES = ("retrieval", "telemetry", "knowledge", "textual", "evaluation", "statistics", "maintenance", "streams")
 
 
 def _all() -> list:
