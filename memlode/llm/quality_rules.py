@@ -106,24 +106,27 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def references(profiles: DataFrame, *, common: dict = COMMON, min_words: int = MIN_WORDS) -> dict[str, tuple[list, list]]:
+def references(profiles: DataFrame, *, common: dict = COMMON, robust: bool = False) -> dict[str, tuple[list, list]]:
     """For each configured language the mean histograms over all its documents that pass the base rules.
 
+    ``robust`` takes medians for the character classes, which up to half of junk does not move.
+
     A language without such documents has no reference.  One row a configured language reaches the driver.
     """
     n_chars, n_words = len(CLASSES) + 3, len({w for ws in common.values() for w in ws.split()})
     mean = lambda col, n: F.array(*[F.avg(F.get(col, F.lit(i))) for i in range(n)])
     good = profiles.where(F.col("lang").isin(*common) & ~base_failed())
-    rows = good.groupBy("lang").agg(mean("chars", n_chars).alias("c"), mean("common", n_words).alias("w")).collect()
-    return {r.lang: (list(r.c), list(r.w)) for r in rows}
+    middle = F.array(*[F.percentile_approx(F.get("chars", F.lit(i)), 0.5, 2000) for i in range(n_chars)])
+    rows = good.groupBy("lang").agg((middle if robust else mean("chars", n_chars)).alias("c"), mean("common", n_words).alias("w")).collect()
+    return {r.lang: ([x / (sum(r.c) or 1) for x in r.c], list(r.w)) for r in rows}
 
 
-def judge(profiles: DataFrame, refs: dict, max_char: float = MAX_CHAR, max_word: float = MAX_WORD) -> DataFrame:
+def judge(profiles: DataFrame, refs: dict, max_char: float = MAX_CHAR, max_word: float | None = MAX_WORD) -> DataFrame:
     """Adds base_failed, char_distance, word_distance and kept.
 
     Distances are to the nearest reference; with no reference at all they are null and only the base
     rules speak.  The limits grow by a slack divided by the root of the number of characters, or of
-    common words, that the histogram is made of: that guards short texts.
+    common words, that the histogram is made of: that guards short texts.  max_word None leaves words out.
     """
     def nearest(col, k):
         ds = [js_distance(F.col(col), r[k]) for r in refs.values()]
@@ -131,7 +134,8 @@ def judge(profiles: DataFrame, refs: dict, max_char: float = MAX_CHAR, max_word:
 
     out = profiles.withColumns({"base_failed": base_failed(), "char_distance": nearest("chars", 0), "word_distance": nearest("common", 1)})
     far = (F.col("char_distance") > max_char + SLACK_CHAR / F.sqrt(F.greatest(F.col("char_total"), F.lit(1))))
-    far = far | (F.col("word_distance") > max_word + SLACK_WORD / F.sqrt(F.greatest(F.col("word_total"), F.lit(1))))
+    if max_word is not None:
+        far = far | (F.col("word_distance") > max_word + SLACK_WORD / F.sqrt(F.greatest(F.col("word_total"), F.lit(1))))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
 
 
@@ -142,9 +146,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     adds to no reference: it is compared with all of them.  Repeated rows each get a row.
     """
     prof = Scratch(docs.sparkSession).keep(profile(docs))
-    refs = references(prof)
-    for _ in range(ROUNDS):  # junk among the references would bring them nearer to junk
-        refs = references(judge(prof, refs).where("kept")) or refs
+    refs = references(prof, robust=True)
+    for words_too in (None, *[MAX_WORD] * (ROUNDS - 1)):  # junk among the references would bring them nearer to junk
+        refs = references(judge(prof, refs, max_word=words_too).where("kept")) or refs
     return judge(prof, refs)
 
 
