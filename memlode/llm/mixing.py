@@ -46,36 +46,31 @@ def targets(sizes: np.ndarray, weights: np.ndarray, share: float = SHARE, cap: f
 def apportion(goal: np.ndarray, seats: int, cap: np.ndarray) -> np.ndarray:
     """Sainte-Lague: ``seats`` by the highest quotients goal / (2q + 1), at most ``cap`` each, ties to the first.
 
-    Starts from the rounded shares and moves the few seats that are over or missing, so the work does
-    not grow with the number of seats.
+    A divisor is found by bisection at which the rounded, capped shares just do not exceed the seats;
+    the few seats still missing go by quotient, so the work does not grow with the number of seats.
     """
     goal, cap = np.asarray(goal, float), np.asarray(cap, np.int64)
-    seats = int(min(seats, cap[goal > 0].sum()))
+    cap = np.where(goal > 0, cap, 0)
+    seats = int(min(seats, cap.sum()))
     if not seats:
         return np.zeros(len(goal), np.int64)
-    q = np.minimum(np.floor(goal * (seats / goal.sum()) + 0.5).astype(np.int64), np.where(goal > 0, cap, 0))
-    while (missing := seats - int(q.sum())) > len(goal) * 4:  # caps took many seats: share them out first
-        room = np.where(q < cap, goal, 0)
-        more = np.minimum(np.floor(room * (missing / room.sum())).astype(np.int64), cap - q)
-        if not more.sum():
-            break
-        q += more
-    up = [(-g / (2 * n + 1), i) for i, (g, n, c) in enumerate(zip(goal, q, cap)) if g > 0 and n < c]
+    rounded = lambda scale: np.minimum(np.floor(np.minimum(goal * scale + 0.5, 2.0**62)).astype(np.int64), cap)
+    lo, hi = 0.0, 1.0
+    while rounded(hi).sum() < seats and hi < 1e300:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if rounded(mid).sum() <= seats else (lo, mid)
+    q = rounded(lo)
+    missing = seats - int(q.sum())
+    up = [(-goal[i] / (2 * q[i] + 1), i) for i in range(len(goal)) if q[i] < cap[i]]
     heapq.heapify(up)
-    while int(missing) > 0 and up:
+    while missing > 0:
         _, i = heapq.heappop(up)
         q[i] += 1
         missing -= 1
         if q[i] < cap[i]:
             heapq.heappush(up, (-goal[i] / (2 * q[i] + 1), i))
-    down = [(goal[i] / (2 * q[i] - 1), -i) for i in range(len(goal)) if q[i] > 0]
-    heapq.heapify(down)
-    while missing < 0:
-        _, i = heapq.heappop(down)
-        q[-i] -= 1
-        missing += 1
-        if q[-i] > 0:
-            heapq.heappush(down, (goal[-i] / (2 * q[-i] - 1), i))
     return q
 
 
