@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,36 +89,46 @@ def top_k(hits: DataFrame, k: int, by: str = "query_id", score: str = "score", p
 # --- vectors ---------------------------------------------------------------------------------------
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """(query_id, id, cos, rank) of the k nearest vectors by cosine; corpus (id, vec), queries (query_id, vec).
 
-    Queries are a set of bounded size held beside the streaming corpus in blocks of vectors; each task
-    keeps k candidates a query, so only those are shuffled.
+    Exact.  Queries go in blocks of about ``block`` vectors, each a bounded broadcast beside one pass
+    over the corpus; a task keeps its best candidates for each query, so only those are shuffled.
     """
-    import numpy as np
+    schema = "query_id long, id long, cos double"
+    spark = corpus.sparkSession
+    n_blocks = max(1, math.ceil(queries.count() / block))
+    near = spark.createDataFrame([], schema)
+    for i in range(n_blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).select("query_id", "vec").orderBy("query_id").collect()
+        if part:
+            near = near.unionByName(corpus.select("id", "vec").mapInPandas(_nearest([r.query_id for r in part], [r.vec for r in part], k, spark), schema))
+    return top_k(near, k, score="cos", places=9)
+
 
-    sent = queries.select("query_id", "vec").orderBy("query_id").collect()
-    if not sent:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, cos double, rank int")
-    ids = [r.query_id for r in sent]
-    mat = np.array([r.vec for r in sent], np.float64)
+def _nearest(ids: list[int], vecs: list, k: int, spark):
+    """A mapInPandas function that yields each batch's best candidates for the given queries."""
+    mat = np.array(vecs, np.float64)
     mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-12)
-    box = corpus.sparkSession.sparkContext.broadcast((ids, mat))
+    box = spark.sparkContext.broadcast((ids, mat))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_ids, q = box.value
+        best_id, best_cos = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
         for f in frames:
             if not len(f):
                 continue
             m = np.stack([np.asarray(v, np.float64) for v in f["vec"]])
             m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            s = q @ m.T
-            n = min(4 * k, s.shape[1])
-            at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            yield pd.DataFrame({"query_id": np.repeat(own_ids, n), "id": f["id"].to_numpy()[at.ravel()], "cos": np.take_along_axis(s, at, 1).ravel()})
-
-    near = corpus.select("id", "vec").mapInPandas(run, "query_id long, id long, cos double")
-    return top_k(near, k, score="cos", places=9)
+            cos = np.hstack([best_cos, q @ m.T])
+            at = np.hstack([best_id, np.broadcast_to(f["id"].to_numpy(), (len(q), len(f)))])
+            n = min(4 * k, cos.shape[1])  # more than k: ties in rounded cosine are settled after the merge
+            keep = np.argpartition(-cos, n - 1, axis=1)[:, :n]
+            best_cos, best_id = np.take_along_axis(cos, keep, 1), np.take_along_axis(at, keep, 1)
+        n = best_cos.shape[1]
+        yield pd.DataFrame({"query_id": np.repeat(own_ids, n), "id": best_id.ravel(), "cos": best_cos.ravel()})
+
+    return run
 
 
 def semantic_scores(hits: DataFrame) -> DataFrame:
