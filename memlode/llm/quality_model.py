@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     joined = docs.select("doc_id", "text").join(F.broadcast(own.withColumnRenamed("doc_id", "q_id")), F.col("doc_id") == F.col("q_id"))
     rows = with_features(joined).groupBy("q_row.doc_id").agg(F.first("q_row.q_label").alias("y"), *[F.max(c).alias(c) for c in NAMES])
-    got = rows.select("y", *NAMES).orderBy("y", *NAMES).toPandas().to_numpy(float)
+    got = rows.select("y", *NAMES).toPandas().to_numpy(float)
+    got = got[np.lexsort(got.T[::-1])]  # at most ``sample`` rows: the driver orders them, no shuffle
     return fit(got[:, 1:], got[:, 0]) if len(got) else fit(np.zeros((0, len(NAMES))), np.zeros(0))
 
 
