@@ -120,11 +120,17 @@ def _nearest(ids: list[int], vecs: list, k: int, spark):
                 continue
             m = np.stack([np.asarray(v, np.float64) for v in f["vec"]])
             m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            cos = np.hstack([best_cos, q @ m.T])
-            at = np.hstack([best_id, np.broadcast_to(f["id"].to_numpy(), (len(q), len(f)))])
-            n = min(4 * k, cos.shape[1])  # more than k: ties in rounded cosine are settled after the merge
-            keep = np.argpartition(-cos, n - 1, axis=1)[:, :n]
-            best_cos, best_id = np.take_along_axis(cos, keep, 1), np.take_along_axis(at, keep, 1)
+            own = f["id"].to_numpy()
+            order = np.argsort(own, kind="stable")
+            cos = q @ m[order].T
+            # cosine to 9 places, then the lower id: one integer orders both, so ties are exact
+            key = (np.rint(cos * 1e9).astype(np.int64) << 20) - np.arange(len(own))
+            n = min(k, len(own))
+            keep = np.argpartition(-key, n - 1, axis=1)[:, :n]
+            both_cos = np.hstack([best_cos, np.take_along_axis(cos, keep, 1)])
+            both_id = np.hstack([best_id, own[order][keep]])
+            top = np.lexsort((both_id, -np.rint(both_cos * 1e9)), axis=1)[:, :k]
+            best_cos, best_id = np.take_along_axis(both_cos, top, 1), np.take_along_axis(both_id, top, 1)
         n = best_cos.shape[1]
         yield pd.DataFrame({"query_id": np.repeat(own_ids, n), "id": best_id.ravel(), "cos": best_cos.ravel()})
 

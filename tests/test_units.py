@@ -278,3 +278,22 @@ def test_stateful_stream_matches_its_batch_twin(spark, tmp_path):
 def test_replay(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "r"))
     assert [r.id for r in streaming.replay(spark, str(tmp_path / "r"), 6).collect()] == [7, 8, 9]
+
+
+def test_knn_with_many_ties(spark):
+    rng = random.Random(4)
+    vecs = [[rng.choice([0.0, 1.0]) for _ in range(4)] for _ in range(3000)]
+    d = spark.createDataFrame([(i * 7 % 3001, v) for i, v in enumerate(vecs)], "id long, vec array<float>").repartition(5)
+    q = d.where("id % 500 = 1").withColumnRenamed("id", "query_id")
+    byid = {r.id: r.vec for r in d.collect()}
+
+    def cos(a, b):
+        na, nb = math.sqrt(sum(x * x for x in a)), math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b)) / (max(na, 1e-12) * max(nb, 1e-12)), 9)
+
+    got = {}
+    for r in ranking.knn(d, q, 10, block=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    for r in q.collect():
+        want = sorted(byid, key=lambda i: (-cos(r.vec, byid[i]), i))[:10]
+        assert [i for _, i in sorted(got[r.query_id])] == want
