@@ -12,9 +12,14 @@ MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: inside a lambda an expression is otherwise computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def fold(text: Column) -> Column:
-    """Lower case without accents (Latin-1 letters)."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without accents (Latin-1 letters); plain ASCII text skips the translation."""
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(F.lower(text), MARKED, PLAIN)).otherwise(F.lower(text))
 
 
 def tokens(text: Column) -> Column:
@@ -72,9 +77,12 @@ def fnv1a(text: Column) -> Column:
 def word_shingles(text: Column, n: int = 3) -> Column:
     """Distinct n-word shingles of cleaned text; fewer words are one shingle; none: empty."""
     clean = F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}\\s]", " ")
-    t = F.array_remove(F.split(clean, "\\s+"), "")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " ")))
-    return F.when(F.size(t) >= n, grams).when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))
+
+    def grams(t):
+        many = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " ")))
+        return F.when(F.size(t) >= n, many).when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.array_remove(F.split(clean, "\\s+"), ""), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -107,10 +115,15 @@ def multiset_overlap(a: Column, b: Column) -> Column:
 
 
 def token_f1(pred: Column, gold: Column) -> Column:
-    p, g = (F.array_remove(F.split(x, " "), "") for x in (pred, gold))
-    same = multiset_overlap(p, g)
-    prec, rec = same / F.greatest(F.size(p), F.lit(1)), same / F.greatest(F.size(g), F.lit(1))
-    return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).when(same == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
+    def score(p, g):
+        def f1(same):
+            prec, rec = same / F.greatest(F.size(p), F.lit(1)), same / F.greatest(F.size(g), F.lit(1))
+            return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).when(same == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
+
+        return let(multiset_overlap(p, g), f1)
+
+    words = lambda x: F.array_remove(F.split(x, " "), "")
+    return let(words(pred), lambda p: let(words(gold), lambda g: score(p, g)))
 
 
 def clamp01(x: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from memlode.functions import text as T
+from memlode.session import Scratch
 
 #: Fixed values of the ranking model.
 BOOSTED_TYPES = ("decision", "lesson", "person", "project", "pending")
@@ -37,17 +38,19 @@ def lookup(key: Column, table: dict, default) -> Column:
 # --- full text -------------------------------------------------------------------------------------
 
 
-def postings(docs: DataFrame, terms: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """(id, term, tf, dl): weighted term frequencies of the wanted ``terms`` and document lengths.
+def postings(docs: DataFrame, terms: DataFrame | None, fields: dict[str, float]) -> DataFrame:
+    """(id, term, tf, dl): weighted term frequencies of the wanted ``terms`` (None: all) and document lengths.
 
     Tokens meet the query terms before they are grouped, so only matching tokens are shuffled.  The
     outer explode keeps the optimizer from adding a size test that would tokenize every text twice.
     """
-    own = [(w, T.tokens(F.col(c))) for c, w in fields.items()]
-    dl = sum((F.size(t) for _, t in own[1:]), F.size(own[0][1]))
-    parts = F.concat(*[_tagged(t, w) for w, t in own])
-    rows = docs.select("id", dl.alias("dl"), parts.alias("ps")).select("id", "dl", F.explode_outer("ps").alias("p")).select("id", "dl", "p.term", "p.w")
-    return rows.join(terms, "term").groupBy("id", "term", "dl").agg(F.sum("w").alias("tf"))
+    named = {f"t{i}": (c, w) for i, (c, w) in enumerate(fields.items())}
+    toks = docs.select("id", *[T.tokens(F.col(c)).alias(k) for k, (c, _) in named.items()])
+    dl = sum((F.size(k) for k in list(named)[1:]), F.size("t0"))
+    parts = F.concat(*[_tagged(F.col(k), w) for k, (_, w) in named.items()])
+    rows = toks.select("id", dl.alias("dl"), parts.alias("ps")).select("id", "dl", F.explode_outer("ps").alias("p")).select("id", "dl", "p.term", "p.w")
+    rows = rows.where("term is not null") if terms is None else rows.join(terms, "term")
+    return rows.groupBy("id", "term", "dl").agg(F.sum("w").alias("tf"))
 
 
 def _tagged(toks: Column, weight: float) -> Column:
@@ -66,10 +69,22 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     ``kind`` is the idf variant, ``match_all`` asks for all distinct terms of the query.
     """
     fields = fields or {"chunk_text": 1.0}
-    q = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    post = postings(docs, q.select("term").distinct(), fields)
-    size = sum((F.size(T.tokens(F.col(c))) for c in list(fields)[1:]), F.size(T.tokens(F.col(list(fields)[0]))))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avgdl"))
+    q = _query_terms(queries)
+    post = Scratch(docs.sparkSession).keep(postings(docs, q.select("term").distinct(), fields))  # read twice: frequencies and scores
+    return _scored(post, _stats(docs, fields), q, k1, b, kind, match_all)
+
+
+def _query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+
+
+def _stats(docs: DataFrame, fields: dict) -> DataFrame:
+    cols = list(fields)
+    size = sum((F.size(T.tokens(F.col(c))) for c in cols[1:]), F.size(T.tokens(F.col(cols[0]))))
+    return docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avgdl"))
+
+
+def _scored(post: DataFrame, stats: DataFrame, q: DataFrame, k1: float, b: float, kind: str, match_all: bool) -> DataFrame:
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     weight = idf(F.col("df"), F.col("n_docs"), kind) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = post.join(df, "term").crossJoin(F.broadcast(stats)).select("id", "term", weight.alias("s"))
@@ -80,6 +95,27 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     return hits.select("query_id", "id", "score")
 
 
+def build_index(docs: DataFrame, path: str, fields: dict | None = None, buckets: int = 64) -> None:
+    """Writes the postings of all terms, partitioned by a hash of the term, and the collection's statistics.
+
+    A search then reads only the partitions and, within them, the terms its queries need.
+    """
+    fields = fields or {"chunk_text": 1.0}
+    post = postings(docs, None, fields).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    post.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    _stats(docs, fields).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def search_index(spark, path: str, queries: DataFrame, k1: float = 1.5, b: float = 0.75, kind: str = "lucene", match_all: bool = False) -> DataFrame:
+    """bm25() over an index that build_index() wrote."""
+    stats = spark.read.parquet(f"{path}/stats")
+    q = _query_terms(queries)
+    n = stats.first()["buckets"]
+    wanted = q.select("term", F.pmod(F.xxhash64("term"), F.lit(n)).cast("int").alias("bucket")).distinct()
+    post = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "term"], "left_semi").drop("bucket")
+    return _scored(post, stats.drop("buckets"), q, k1, b, kind, match_all)
+
+
 def top_k(hits: DataFrame, k: int, by: str = "query_id", score: str = "score", places: int = 6) -> DataFrame:
     """The k best rows of each query with their 1-based rank; ties in rounded score go to the lower id."""
     w = W.partitionBy(by).orderBy(F.desc(F.round(score, places)), "id")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from memlode.functions import text as T
 from memlode.operators import ranking as R_
-from memlode.operators import temporal
+from memlode.operators import stats, temporal
 from memlode.plans.base import AS_OF, Registry, chunks
 from memlode.session import table
 
@@ -210,9 +210,7 @@ def retention_sensitivity(spark, sf_dir):
 SELECT id, round((rank() OVER (ORDER BY round(s, 9)) - 1) / (count(*) OVER ())::DOUBLE, 6) AS pct FROM a""")
 def salience_percent_rank(spark, sf_dir):
     s = chunks(spark, sf_dir).select("id", F.round(R_.salience(as_of()), 9).alias("s"))
-    # ranks from counts of distinct values: one sorted window over values, not over rows
-    vals = s.groupBy("s").agg(F.count("*").alias("n"))
-    below = vals.withColumn("below", F.coalesce(F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    below = stats.counted_below(s, "s").select("s", F.col("n_below").alias("below"))
     total = s.agg(F.count("*").alias("total"))
     return s.join(below, "s").crossJoin(F.broadcast(total)).select("id", F.round(F.col("below") / F.col("total"), 6).alias("pct"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from memlode.functions import text as T
 from memlode.operators import ranking
@@ -67,7 +66,7 @@ def lexical_rerank(spark, sf_dir):
 def brief_pick(spark, sf_dir):
     """Quotas, leftovers and near-duplicate rejection of a brief for each source: sequential, held against fixtures."""
     c = chunks(spark, sf_dir)
-    rows = c.select(F.dense_rank().over(W.orderBy("source_file")).cast("long").alias("request"), (F.col("id") % 2).cast("int").alias("pool"), "id", F.round(ranking.salience(as_of()), 6).alias("score"), T.title_of(F.col("source_file")).alias("title"), T.first_line(F.col("chunk_text")).alias("line"))
+    rows = c.select(F.regexp_extract("source_file", "(\\d+)", 1).cast("long").alias("request"), (F.col("id") % 2).cast("int").alias("pool"), "id", F.round(ranking.salience(as_of()), 6).alias("score"), T.title_of(F.col("source_file")).alias("title"), T.first_line(F.col("chunk_text")).alias("line"))
     return S.briefs(rows)
 
 

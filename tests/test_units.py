@@ -297,3 +297,30 @@ def test_knn_with_many_ties(spark):
     for r in q.collect():
         want = sorted(byid, key=lambda i: (-cos(r.vec, byid[i]), i))[:10]
         assert [i for _, i in sorted(got[r.query_id])] == want
+
+
+def test_index_gives_the_same_scores(spark, sf, tmp_path):
+    from memlode.plans.base import chunks
+    from memlode.plans.retrieval import items
+
+    c, q = chunks(spark, sf), items(spark, sf)
+    ranking.build_index(c, str(tmp_path / "ix"), buckets=4)
+    a = {(r.query_id, r.id): round(r.score, 9) for r in ranking.bm25(c, q).collect()}
+    b = {(r.query_id, r.id): round(r.score, 9) for r in ranking.search_index(spark, str(tmp_path / "ix"), q).collect()}
+    assert a == b and a
+    c0 = c.where("false")
+    assert ranking.bm25(c0, q).count() == 0
+
+
+def test_bm25_against_the_formula(spark):
+    docs = ["The cat sat. The cat!", "a dog", "cat dog bird", "", None]
+    d = spark.createDataFrame(list(enumerate(docs)), "id long, chunk_text string")
+    got = {r.id: r.score for r in ranking.bm25(d, spark.createDataFrame([(1, "Cat bird")], "query_id long, text string")).collect()}
+    toks = [[w.strip(".!").lower() for w in (t or "").split()] for t in docs]
+    avg = sum(map(len, toks)) / len(toks)
+    for i, t in enumerate(toks):
+        s = 0.0
+        for term in ("cat", "bird"):
+            n, tf = sum(term in x for x in toks), t.count(term)
+            s += math.log(1 + (5 - n + 0.5) / (n + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avg))
+        assert got.get(i, 0.0) == pytest.approx(s)
