@@ -47,8 +47,7 @@ def test_a_bounded_sample_is_enough(spark):
 def test_classifier_awkward_rows(spark):
     d = documents(spark)
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (9, 0, 0), (None, 1, 1), (12, None, None), (77, 1, 0)], "doc_id long, quality int, toxic int")
-    out = Q.score(d, Q.train(d, labels)).select("q_row.*", "score", "predicted") if False else Q.score(d, Q.train(d, labels))
-    rows = out.collect()
+    rows = Q.score(d, Q.train(d, labels)).collect()
     assert len(rows) == d.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     assert Q.keep_good(d, labels).columns == d.columns
     none = Q.score(d, Q.train(d, labels.where("false"))).collect()
