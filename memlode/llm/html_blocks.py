@@ -50,7 +50,7 @@ def _mask(tag: str, attrs: str) -> int:
     got = _masks.get(key)
     if got is None:
         got = _BIT.get(f"tag:{tag}", 0)
-        if attrs:
+        if attrs and tag not in ("html", "body"):  # what they are called says nothing about a block
             for m in _ATTR.finditer(attrs):
                 value = (m[1] or m[2] or m[3] or "").lower()
                 parts = set(_PARTS.split(value)) | set(value.split())

@@ -21,6 +21,15 @@ def test_main_text():
     assert H.main_text(PAGE, H.default_model()) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<body class="post main"><div class="cookiebar"><p>We value your privacy, so agree.</p></div><article><p>Only this text counts here, really.</p></article><div><p>More from our partners on the web.</p></div></body>', "Only this text counts here, really."),
+    ('<div id="content"><h1>Head</h1><p>Some first text, with enough words in it to count.</p><div class="newsletter-signup"><p>Subscribe to our letter today.</p></div><p>And a second part of the same story, also long.</p><div id="comments"><p>I liked it a lot, thank you for it.</p></div></div>', "Head Some first text, with enough words in it to count. And a second part of the same story, also long."),
+    ("<article><p>Short.</p><p>x</p><nav><a href='/'>Home</a></nav><p>Z.</p>", "Short. x Z."),
+])
+def test_variants(page, want):
+    assert H.main_text(page, H.default_model()) == want
+
+
 def test_held_out_pages():
     m = H.default_model()
     pages = [H.labelled(p) for p in H.training_pages(150, seed=77)]
