@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "bm25_top10"
-MODULES = ("retrieval", "telemetry", "knowledge", "textual", "evaluation", "statistics", "maintenance", "selection", "streams")
+MODULES = ("retrieval", "telemetry", "knowledge", "textual", "evaluation", "statistics", "maintenance", "selection", "sourced", "streams")
 
 
 def _all() -> list:
