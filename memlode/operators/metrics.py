@@ -95,3 +95,39 @@ def support_scores(gold: Column, got: Column) -> list[Column]:
     same = F.size(F.array_intersect(gold, got))
     p, r = same / F.greatest(F.size(got), F.lit(1)), same / F.greatest(F.size(gold), F.lit(1))
     return [(F.array_sort(gold) == F.array_sort(got)).cast("int").alias("sp_em"), F.when(same > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("sp_f1")]
+
+
+#: Phrases that count as abstaining.
+ABSTAINS = (
+    "not mentioned", "no information", "no info", "i don't know", "i do not know", "cannot answer", "can't answer", "unanswerable", "not answerable", "not available",
+    "not provided", "no answer", "unknown", "i'm not sure", "cannot be determined", "no relevant", "no record",
+)
+
+
+def category_score(category: Column, gold: Column, pred: Column) -> Column:
+    """Score by question category: 1 mean token F1 over the gold's parts (split at ; else at ,), 3 the first
+    alternative, 5 whether the prediction abstains, others token F1; punctuation becomes a space."""
+    norm = lambda x: T.squad_normalise(x, True)
+    gold, pred = F.coalesce(gold, F.lit("")), F.coalesce(pred, F.lit(""))
+    cut = lambda sep: F.filter(F.transform(F.split(gold, sep), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.when(F.size(cut(";")) >= 2, cut(";")).otherwise(cut(","))
+    each = F.transform(parts, lambda g: T.token_f1(norm(pred), norm(g)))
+    several = F.when(F.size(parts) > 0, F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(parts)).otherwise(0.0)
+    head = F.trim(F.get(F.split(gold, ";"), F.lit(0)))
+    first = F.when(head != "", head).otherwise(gold)
+    refused = F.lit(False)
+    for phrase in ABSTAINS:
+        refused = refused | F.contains(F.lower(pred), F.lit(phrase))
+    plain = T.token_f1(norm(pred), norm(gold))
+    return F.when(category == 1, several).when(category == 3, T.token_f1(norm(pred), norm(first))).when(category == 5, refused.cast("double")).otherwise(plain)
+
+
+def session_day(raw: Column) -> Column:
+    """The date in a session stamp such as '1:56 pm on 8 May, 2023'; null if there is none."""
+    from memlode.operators.temporal import MONTHS
+
+    pattern = "(?i)(\\d{1,2})\\s+([a-z]{3,9})\\.?,?\\s+(\\d{4})"
+    name = F.lower(F.regexp_extract(raw, pattern, 2))
+    month = F.element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), F.nullif(name, F.lit("")))
+    day, year = (F.nullif(F.regexp_extract(raw, pattern, i), F.lit("")).cast("int") for i in (1, 3))
+    return F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day)).cast("date")

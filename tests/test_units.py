@@ -324,3 +324,31 @@ def test_bm25_against_the_formula(spark):
             n, tf = sum(term in x for x in toks), t.count(term)
             s += math.log(1 + (5 - n + 0.5) / (n + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avg))
         assert got.get(i, 0.0) == pytest.approx(s)
+
+
+def test_category_scores(spark):
+    rows = [(1, "red car; blue bike", "a red car", 0.5), (1, "red, blue", "blue", 0.5), (3, "yes indeed; no", "yes indeed", 1.0), (5, "x", "That is not mentioned here", 1.0), (5, "x", None, 0.0), (4, "the red car", "red car fast", 0.8), (1, None, "x", 0.0)]
+    d = spark.createDataFrame([(i, c, g, p) for i, (c, g, p, _) in enumerate(rows)], "i int, c int, g string, p string")
+    got = [r.s for r in d.select("i", metrics.category_score(F.col("c"), F.col("g"), F.col("p")).alias("s")).orderBy("i").collect()]
+    assert got == pytest.approx([r[3] for r in rows])
+
+
+def test_session_days(spark):
+    d = spark.createDataFrame([("1:56 pm on 8 May, 2023",), ("25 sept 2021",), ("soon",), (None,), ("31 February, 2023",)], "s string")
+    got = [str(r.d) for r in d.select(metrics.session_day(F.col("s")).alias("d")).collect()]
+    assert got == ["2023-05-08", "2021-09-25", "None", "None", "None"]
+
+
+def test_signatures_and_pain(spark):
+    d = spark.createDataFrame([("Bash", None, "/usr/bin/git commit -m x"), ("Edit", "a/src/x.py", None), ("mcp__q", None, None), ("Bash", None, "ls -l")], "t string, p string, c string")
+    got = [(r.coarse, r.primary, r.fine) for r in d.select(*stats.action_signatures(F.col("t"), F.col("p"), F.col("c"))).collect()]
+    assert got == [("bash|vcs", "Bash|git:write", "Bash|git:write|git:commit"), ("edit|file", "Edit|file:source", "Edit|file:source"), ("mcp|other", "mcp__q|none", "mcp__q|none"), ("bash|file", "Bash|fs:read", "Bash|fs:read|ls")]
+    p = spark.range(1000).select(*[stats.spread_pain(F.col("id"), k).alias(k) for k in ("uniform", "bimodal", "log")]).toPandas()
+    assert set(p["bimodal"]) == {0.1, 1.0} and p["uniform"].between(0.1, 1.0).all() and p["log"].between(0.01, 10.01).all()
+
+
+def test_f_quantiles_and_icc_interval():
+    assert stats.f_quantile(0.975, 4, 10) == pytest.approx(4.4683, abs=1e-3) and stats.f_quantile(0.95, 1, 30) == pytest.approx(4.1709, abs=1e-3)
+    assert stats.beta_cdf(0.5, 2, 2) == pytest.approx(0.5) and stats.beta_cdf(0.2, 1, 3) == pytest.approx(1 - 0.8**3)
+    lo, hi = stats.icc_interval(20, 100, 0.3)
+    assert lo < 0.3 < hi and 0 < lo and hi < 1
