@@ -5,10 +5,11 @@ overlap; offsets follow from the pieces between the matches.  The values found a
 entities.  A term t discloses an entity c when their pointwise mutual information over the corpus,
 log2(p(c, t) / (p(c) p(t))), reaches a share of the entity's information content -log2 p(c): whoever
 reads t can all but infer c.  Such terms are generalised to a placeholder or, above a second
-threshold, removed.  Probabilities count texts by a MinHash of their words, so copies and near copies
-of a text are one observation.  An entity needs an effective number of ``SUPPORT`` texts (the inverse
-Simpson index over MinHash classes, so that a class of copies does not pass as many texts for its few
-edited members) and a pair ``SUPPORT`` observations, since two chance neighbours reveal nothing.
+threshold, removed.  Probabilities count near-duplicate classes of texts, the components of texts that
+agree in a band of MinHash values over word shingles: copies and near copies of a text are one
+observation, unrelated texts stay apart.  An entity needs an effective number of ``SUPPORT`` texts (the
+inverse Simpson index over these classes) and a pair ``SUPPORT`` observations, since two chance
+neighbours reveal nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlode.llm.common import documents, words
+from memlode.operators.graph import connected_components
 from memlode.session import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
@@ -29,6 +31,10 @@ PATTERNS = {
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 SUPPORT = 3
+#: Near-duplicate classes: words a shingle, bands and MinHash values a band.
+SHINGLE, BANDS, ROWS = 3, 4, 5
+#: Terms too frequent to disclose anything are told by the texts of one part in so many.
+PART = 16
 DISCLOSES, REMOVES = 0.85, 0.97
 
 
@@ -97,9 +103,47 @@ def term(word: Column) -> Column:
     return F.lower(F.trim(word, F.lit(".,;:!?()\"'")))
 
 
-def sketch() -> Column:
-    """MinHash of the words of a text, one value: near copies nearly always agree in it."""
-    return F.coalesce(F.array_min(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))), F.lit(0)).alias("sketch")
+def _let(value: Column, f) -> Column:
+    """f(value) with value computed once, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def bands(text: Column) -> Column:
+    """array<bigint>: a hash of each band of MinHash values over the shingles of ``SHINGLE`` words.
+
+    A shorter text is one shingle; all texts without words agree.
+    """
+    def shingles(ws):
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(SHINGLE)]))
+
+    def least(hs):
+        return F.transform(F.array(*[F.lit(b) for b in range(BANDS * ROWS)]), lambda b: F.array_min(F.transform(hs, lambda h: F.xxhash64(h, b))))
+
+    def cut(mins):
+        return F.array(*[F.xxhash64(F.lit(i), F.slice(mins, i * ROWS + 1, ROWS)) for i in range(BANDS)])
+
+    return _let(words(text), lambda ws: _let(_let(shingles(ws), least), cut))
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(node, root): the class of each text, both as text hashes, but for texts that are their own root.
+
+    Texts that agree in a band are linked and classes are the components of the links: no pair of texts
+    is formed.  With shingle sets of Jaccard similarity 0.95, 0.9, 0.5 and 0.1 a link is there with a
+    probability of 0.997, 0.97, 0.12 and 0.00004.
+    """
+    scratch = Scratch(docs.sparkSession)
+    # an outer explode, as below; equal texts have equal bands
+    keys = docs.select(_key(docs)[1], F.explode_outer(bands(F.col("text"))).alias("band")).distinct()
+    keys = scratch.keep(keys)
+    lows = keys.groupBy("band").agg(F.min("k_h").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
+    return scratch.keep(connected_components(keys.join(lows, "band").select(F.col("k_h").alias("src"), F.col("low").alias("dst"))))
+
+
+def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the class of the text whose hash is k_h; few narrow columns, as large classes shuffle them."""
+    classes = Scratch(rows.sparkSession).broadcast_if_small(classes)
+    return rows.join(classes, F.col("k_h") == F.col("node"), "left").withColumn("class", F.coalesce("root", "k_h")).drop("node", "root")
 
 
 def entities(spans: list[Column]) -> Column:
@@ -111,39 +155,51 @@ def entities(spans: list[Column]) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """For every row: its key, the base spans of each kind and a MinHash of its words."""
+    """For every row: its key and the base spans of each kind."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(*_key(docs), sketch(), *[base_spans(text, k).alias(k) for k in KINDS])
+    return docs.select(*_key(docs), *[base_spans(text, k).alias(k) for k in KINDS])
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES, removes: float = REMOVES) -> DataFrame | None:
     """(k_id, k_h, term, removed): the terms of each document that disclose an entity, or None if there are none.
 
-    All counts are over all documents, each MinHash class once.  Texts are not shuffled: the passes over
-    them meet tables of entities and terms, broadcast where those are small.
+    All counts are over all documents, each near-duplicate class once.  Texts are not shuffled while the
+    table of those that hold a frequent entity is small: the passes over them meet broadcast tables.
     """
     scratch = Scratch(docs.sparkSession)
-    seen = found.select("sketch", F.explode_outer(entities([F.col(k) for k in KINDS])).alias("entity")).where("entity is not null").groupBy("entity", "sketch").agg(F.count("*").cast("double").alias("n"))
+    seen = found.select("k_h", F.explode_outer(entities([F.col(k) for k in KINDS])).alias("entity")).where("entity is not null").groupBy("entity", "k_h").agg(F.count("*").cast("double").alias("n"))
+    seen = scratch.keep(seen)
+    texts = scratch.keep(seen.groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity"))
+    if texts.isEmpty():
+        return None
+    classes = near_classes(docs)
+    total = found.select("k_h").distinct().count() - classes.count()
+    seen = scratch.keep(with_class(seen.join(scratch.broadcast_if_small(texts), "entity", "left_semi"), classes))
     # the effective number of texts: one text with many copies and a few edited ones counts as about one
     effective = F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))
-    often = scratch.keep(seen.groupBy("entity").agg(F.count("*").alias("n_c"), effective.alias("eff")).where(F.col("eff") >= support).drop("eff"))
-    if often.isEmpty():
+    often = seen.groupBy("entity", "class").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.count("*").alias("n_c"), effective.alias("eff")).where(F.col("eff") >= support).drop("eff")
+    held = scratch.keep(seen.join(often, "entity").select("k_h", "entity", "n_c", "class"))
+    if held.isEmpty():
         return None
-    text = F.coalesce("text", F.lit(""))
     # outer explodes: the optimizer derives no size tests from them, which would compute the arrays twice
-    named = docs.select("text", F.explode_outer(entities([base_spans(text, k) for k in KINDS])).alias("entity"))
-    near = named.join(scratch.broadcast_if_small(often), "entity").select("entity", "n_c", sketch(), "text")  # the sketch once a text, not once a word
-    near = near.select("entity", "n_c", "sketch", F.explode_outer(F.array_distinct(words(F.col("text")))).alias("w"))
-    near = near.select("entity", "n_c", "sketch", term(F.col("w")).alias("term")).where(F.col("term").rlike("^\\p{L}{3,}$"))
-    both = scratch.keep(near.groupBy("entity", "n_c", "term").agg(F.countDistinct("sketch").alias("n_ct")).where(F.col("n_ct") >= support))
+    near = docs.select(_key(docs)[1], "text").join(scratch.broadcast_if_small(held), "k_h").select("entity", "n_c", "class", F.explode_outer(F.array_distinct(words(F.col("text")))).alias("w"))
+    near = near.select("entity", "n_c", "class", term(F.col("w")).alias("term")).where(F.col("term").rlike("^\\p{L}{3,}$"))
+    both = scratch.keep(near.groupBy("entity", "n_c", "term").agg(F.countDistinct("class").alias("n_ct")).where(F.col("n_ct") >= support))
     if both.isEmpty():
         return None
-    total = found.select("sketch").distinct().count()
-    wanted = scratch.keep(both.select("term").distinct())
-    used = docs.select(*_key(docs), sketch(), F.array_distinct(words(F.col("text"))).alias("ws")).select("k_id", "k_h", "sketch", F.explode_outer("ws").alias("w"))
-    used = used.select("k_id", "k_h", "sketch", term(F.col("w")).alias("term")).join(scratch.broadcast_if_small(wanted), "term", "left_semi")
-    used = scratch.keep(used.groupBy("k_id", "k_h", "sketch", "term").agg(F.lit(1).alias("one")))
-    n_t = used.groupBy("term").agg(F.countDistinct("sketch").alias("n_t"))
+    # a share of ``discloses`` bounds n_t; terms that exceed the bound in a part of the texts alone need no further count
+    most = F.max(F.col("n_ct") / F.col("n_c") * F.pow(F.col("n_c"), F.lit(discloses)) * F.lit(float(total) ** (1 - discloses)))
+    bound = scratch.keep(both.groupBy("term").agg(most.alias("most")))
+
+    def uses(part: DataFrame, terms: DataFrame) -> DataFrame:
+        rows = part.select(*_key(docs), F.array_distinct(words(F.col("text"))).alias("ws")).select("k_id", "k_h", F.explode_outer("ws").alias("w"))
+        rows = rows.select("k_id", "k_h", term(F.col("w")).alias("term")).join(scratch.broadcast_if_small(terms), "term", "left_semi")
+        return with_class(rows.distinct(), classes)
+
+    few = uses(docs.where(F.pmod(_key(docs)[1], F.lit(PART)) == 0), bound).groupBy("term").agg(F.countDistinct("class").alias("n"))
+    wanted = scratch.keep(bound.join(few, "term", "left").where(F.coalesce("n", F.lit(0)) <= F.col("most") * 1.001).select("term"))
+    used = scratch.keep(uses(docs, wanted))
+    n_t = used.groupBy("term").agg(F.countDistinct("class").alias("n_t"))
     share = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t"))) / F.log2(F.lit(float(max(total, 2))) / F.col("n_c"))
     scored = both.join(n_t, "term").where(F.col("n_c") < total).select("term", share.alias("share")).where(F.col("share") >= discloses)
     terms = scored.groupBy("term").agg((F.max("share") >= removes).alias("removed"))

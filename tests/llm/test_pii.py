@@ -63,6 +63,31 @@ def test_disclosing_terms(spark):
     assert all(got[i] == "" for i in range(400)) and all(got[4000 + i] == "" for i in range(200))
 
 
+def long_texts(spark, copies=0):
+    """Long unrelated texts over one vocabulary; six of them, one perhaps with many copies, hold an address and a name."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(2000)]
+    text = lambda: " ".join(rng.choices(vocab, k=1500))
+    docs = [(i, text()) for i in range(150)] + [(1000 + i, text() + " Quarkington wrote from q.ark@example.org") for i in range(6)]
+    docs += [(2000 + i, docs[150][1]) for i in range(copies)] + [(3000, "Quarkington alone")]
+    return spark.createDataFrame(docs, "doc_id long, text string")
+
+
+def test_unrelated_long_texts_are_separate_observations(spark):
+    got = {r.doc_id: r.spans for r in pii.find(long_texts(spark)).collect()}
+    assert got[3000] == "term:0:11" and all("term:" in got[1000 + i] for i in range(6)) and all(got[i] == "" for i in range(150))
+
+
+def test_near_copies_are_one_observation(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    base = [word() for _ in range(300)]
+    docs = [(i, " ".join([*base[: 20 * i], word(), *base[20 * i + 1 :], "n.ear@example.org"])) for i in range(12)]
+    docs += [(100 + i, " ".join(word() for _ in range(60))) for i in range(100)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert pii.near_classes(d).count() == 11 and all("term:" not in r.spans for r in pii.find(d).collect())
+
+
 def test_sanitised_text(spark):
     d = corpus(spark).withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r for r in pii.sanitise(d).collect()}
