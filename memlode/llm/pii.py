@@ -7,9 +7,8 @@ log2(p(c, t) / (p(c) p(t))), reaches a share of the entity's information content
 reads t can all but infer c.  Such terms are generalised to a placeholder or, above a second
 threshold, removed.  Probabilities count near-duplicate classes of texts, the components of texts that
 agree in a band of MinHash values over word shingles: copies and near copies of a text are one
-observation, unrelated texts stay apart.  An entity needs an effective number of ``SUPPORT`` texts (the
-inverse Simpson index over these classes) and a pair ``SUPPORT`` observations, since two chance
-neighbours reveal nothing.
+observation, unrelated texts stay apart.  An entity needs ``SUPPORT`` classes, however many texts each
+has, and so does a pair, since two chance neighbours reveal nothing.
 """
 
 from __future__ import annotations
@@ -167,7 +166,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     table of those that hold a frequent entity is small: the passes over them meet broadcast tables.
     """
     scratch = Scratch(docs.sparkSession)
-    seen = found.select("k_h", F.explode_outer(entities([F.col(k) for k in KINDS])).alias("entity")).where("entity is not null").groupBy("entity", "k_h").agg(F.count("*").cast("double").alias("n"))
+    seen = found.select("k_h", F.explode_outer(entities([F.col(k) for k in KINDS])).alias("entity")).where("entity is not null").distinct()
     seen = scratch.keep(seen)
     texts = scratch.keep(seen.groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity"))
     if texts.isEmpty():
@@ -175,9 +174,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     classes = near_classes(docs)
     total = found.select("k_h").distinct().count() - classes.count()
     seen = scratch.keep(with_class(seen.join(scratch.broadcast_if_small(texts), "entity", "left_semi"), classes))
-    # the effective number of texts: one text with many copies and a few edited ones counts as about one
-    effective = F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))
-    often = seen.groupBy("entity", "class").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.count("*").alias("n_c"), effective.alias("eff")).where(F.col("eff") >= support).drop("eff")
+    often = seen.select("entity", "class").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
     held = scratch.keep(seen.join(often, "entity").select("k_h", "entity", "n_c", "class"))
     if held.isEmpty():
         return None

@@ -78,6 +78,11 @@ def test_unrelated_long_texts_are_separate_observations(spark):
     assert got[3000] == "term:0:11" and all("term:" in got[1000 + i] for i in range(6)) and all(got[i] == "" for i in range(150))
 
 
+def test_many_copies_do_not_outweigh_other_texts(spark):
+    got = {r.doc_id: r.spans for r in pii.find(long_texts(spark, copies=300)).collect()}
+    assert got[3000] == "term:0:11" and all("term:" in got[i] for i in (*range(1000, 1006), *range(2000, 2300)))
+
+
 def test_near_copies_are_one_observation(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
