@@ -30,6 +30,10 @@ PATTERNS = {
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 SUPPORT = 3
+#: Stands for the characters of base matches while terms are looked for.
+FILL = "\uFFFC"
+#: At the start of the name of a placeholder.
+HOLDER = "(?<=<)(?-i:EMAIL|IP|CARD|PHONE)>"
 #: Near-duplicate classes: words a shingle, bands and MinHash values a band.
 SHINGLE, BANDS, ROWS = 3, 4, 5
 #: Terms too frequent to disclose anything are told by the texts of one part in so many.
@@ -159,6 +163,23 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(*_key(docs), *[base_spans(text, k).alias(k) for k in KINDS])
 
 
+def masked(text: Column, kind: str, shown=None) -> Column:
+    """The text with each valid match v of a kind replaced by shown(v), or by its placeholder."""
+    shown = shown or (lambda v: F.lit(f"<{kind.upper()}>"))
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    own = F.transform(found, lambda v: F.when(valid(kind, v), shown(v)).otherwise(v))
+    parts = F.zip_with(F.split(text, PATTERNS[kind], -1), own, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
+    return F.when(_maybe(kind, text), F.array_join(parts, "")).otherwise(text)
+
+
+def bare(docs: DataFrame) -> DataFrame:
+    """``docs`` with column bare: the text with ``FILL`` for each character of a base match, so offsets stay."""
+    out = docs.withColumn("bare", F.coalesce("text", F.lit("")))
+    for kind in KINDS:
+        out = out.withColumn("bare", masked(F.col("bare"), kind, lambda v: F.repeat(F.lit(FILL), F.length(v))))
+    return out
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES, removes: float = REMOVES) -> DataFrame | None:
     """(k_id, k_h, term, removed): the terms of each document that disclose an entity, or None if there are none.
 
@@ -204,9 +225,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
 
 
 def own_patterns(terms: DataFrame) -> DataFrame:
-    """For each document with such terms: its key and regular expressions of those to generalise, to remove and both."""
-    pattern = lambda c: F.concat(F.lit("(?iu)(?<!\\p{L})(?:"), F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("term")))), "|"), F.lit(")(?!\\p{L})"))
-    own = terms.groupBy(F.col("k_id").alias("p_id"), F.col("k_h").alias("p_h")).agg(pattern(~F.col("removed")).alias("k_general"), pattern(F.col("removed")).alias("k_remove"), pattern(F.lit(True)).alias("k_any"))
+    """For each document with such terms: its key, a regular expression of them and the list of those to remove.
+
+    Longer terms come first, so none is cut by one that it starts with; placeholders do not match.
+    """
+    longest = F.transform(F.array_sort(F.collect_set(F.struct((-F.length("term")).alias("n"), F.col("term").alias("t")))), lambda x: x.t)
+    pattern = F.concat(F.lit(f"(?iu)(?<!\\p{{L}})(?!{HOLDER})(?:"), F.array_join(longest, "|"), F.lit(")(?!\\p{L})"))
+    removed = F.collect_set(F.when(F.col("removed"), F.col("term")))
+    own = terms.groupBy(F.col("k_id").alias("p_id"), F.col("k_h").alias("p_h")).agg(pattern.alias("k_any"), removed.alias("k_remove"))
     scratch = Scratch(terms.sparkSession)
     return scratch.broadcast_if_small(scratch.keep(own))
 
@@ -215,7 +241,7 @@ def find(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs``.
 
     Null text is empty: no spans.  Rows that repeat id and text each get a row; a null id is allowed.
-    spans holds the base spans by kind, then the disclosing terms as kind ``term``.
+    spans holds the base spans by kind, then the disclosing terms outside them as kind ``term``.
     """
     found = Scratch(docs.sparkSession).keep(scan(docs))
     terms = disclosing_terms(docs, found, **options)
@@ -223,9 +249,9 @@ def find(docs: DataFrame, **options) -> DataFrame:
     if terms is None:
         out = out.withColumn("term", F.array().cast("array<struct<at:int,till:int,value:string>>"))
     else:
-        texts = docs.select(*_key(docs), F.col("text"))
+        texts = bare(docs.select(*_key(docs), F.col("text")))
         spans = texts.join(own_patterns(terms), F.col("k_id").eqNullSafe(F.col("p_id")) & (F.col("k_h") == F.col("p_h")))
-        spans = spans.select("p_id", "p_h", matches(F.col("text"), F.col("k_any")).alias("term")).dropDuplicates(["p_id", "p_h"])
+        spans = spans.select("p_id", "p_h", matches(F.col("bare"), F.col("k_any")).alias("term")).dropDuplicates(["p_id", "p_h"])
         out = out.join(spans, F.col("k_id").eqNullSafe(F.col("p_id")) & (F.col("k_h") == F.col("p_h")), "left")
         out = out.withColumn("term", F.coalesce("term", F.array().cast("array<struct<at:int,till:int,value:string>>")))
     base = [(k, F.col(k)) for k in KINDS]
@@ -235,29 +261,19 @@ def find(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def masked(text: Column, kind: str) -> Column:
-    """The text with each valid match of a kind replaced by its placeholder."""
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    shown = F.transform(found, lambda v: F.when(valid(kind, v), F.lit(f"<{kind.upper()}>")).otherwise(v))
-    parts = F.zip_with(F.split(text, PATTERNS[kind], -1), shown, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
-    return F.when(_maybe(kind, text), F.array_join(parts, "")).otherwise(text)
-
-
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with text (and n_chars) sanitised: base matches become placeholders, disclosing terms
-    become <TERM> or go.  Null text stays null; other columns stay as they are."""
+    """The rows of ``docs`` with text (and n_chars) sanitised: base matches become placeholders, then disclosing terms
+    outside them become <TERM> or go.  Null text stays null; other columns stay as they are."""
     found = Scratch(docs.sparkSession).keep(scan(docs))
     terms = disclosing_terms(docs, found, **options)
-    text, out = F.col("text"), docs
+    out = docs.withColumn("k_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    for kind in KINDS:  # before the terms: a term may be a part of an address
+        out = out.withColumn("text", masked(F.col("text"), kind))
     if terms is not None:
-        out = docs.withColumn("k_h", F.xxhash64(F.coalesce("text", F.lit(""))))
         out = out.join(own_patterns(terms), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("k_h") == F.col("p_h")), "left")
-        for col, to in (("k_remove", ""), ("k_general", "<TERM>")):
-            none = F.lit("(?iu)(?<!\\p{L})(?:)(?!\\p{L})")
-            text = F.when(F.col(col).isNull() | (F.col(col) == none), text).otherwise(F.regexp_replace(text, F.col(col), F.lit(to)))
-        out = out.withColumn("text", text)
-    for kind in KINDS:
-        out = out.withColumn("text", masked(F.col("text"), kind))
+        found = F.transform(F.regexp_extract_all("text", F.col("k_any"), F.lit(0)), lambda v: F.when(F.array_contains("k_remove", F.lower(v)), F.lit("")).otherwise(F.lit("<TERM>")))
+        parts = F.zip_with(F.split("text", F.col("k_any"), -1), found, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
+        out = out.withColumn("text", F.when(F.col("k_any").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

@@ -102,6 +102,20 @@ def test_sanitised_text(spark):
     assert all(got[i].text == same[i] for i in range(400))
 
 
+def test_terms_inside_addresses_leave_no_part_of_them(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    docs = [(i, " ".join(word() for _ in range(60))) for i in range(300)]
+    docs += [(1000 + i, " ".join(word() for _ in range(60)) + " Quark of Wumbo and Email wrote from quark@wumbo.com today") for i in range(6)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for options in ({}, {"removes": 2.0}):
+        for r in pii.sanitise(d, **options).where("doc_id >= 1000").collect():
+            assert "<EMAIL>" in r.text and not re.search("quark|wumbo|@|<<|>>", r.text.lower()), r.text
+    for r in pii.find(d).where("doc_id >= 1000").collect():
+        at = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",")]
+        assert len(at) > 2 and all(t <= at[0][0] or a >= at[0][1] for a, t in at[1:])
+
+
 def test_awkward_rows(spark):
     d = documents(spark)
     out = pii.find(d).collect()
