@@ -32,6 +32,9 @@ PATTERNS = {
 SUPPORT = 3
 #: Stands for the characters of base matches while terms are looked for.
 FILL = "\uFFFC"
+#: Separates words of a bare text; characters that a term starts and ends with, and others.
+SPLIT = f"[\\x20\\x09-\\x0D{FILL}]+"
+INNER, OUTER = "[\\p{L}\\p{M}\\p{N}]", "[^\\p{L}\\p{M}\\p{N}]"
 #: At the start of the name of a placeholder.
 HOLDER = "(?<=<)(?-i:EMAIL|IP|CARD|PHONE)>"
 #: Near-duplicate classes: words a shingle, bands and MinHash values a band.
@@ -102,8 +105,13 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").alias("k_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k_h")]
 
 
+def terms_of(text: Column) -> Column:
+    """The distinct possible terms of a bare text: its words, from the first to the last letter, mark or digit of each."""
+    return F.array_distinct(F.array_remove(F.split(text, SPLIT), ""))
+
+
 def term(word: Column) -> Column:
-    return F.lower(F.trim(word, F.lit(".,;:!?()\"'")))
+    return F.lower(F.regexp_replace(word, f"^{OUTER}++|{OUTER}++$", ""))
 
 
 def _let(value: Column, f) -> Column:
@@ -200,8 +208,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     if held.isEmpty():
         return None
     # outer explodes: the optimizer derives no size tests from them, which would compute the arrays twice
-    near = docs.select(_key(docs)[1], "text").join(scratch.broadcast_if_small(held), "k_h").select("entity", "n_c", "class", F.explode_outer(F.array_distinct(words(F.col("text")))).alias("w"))
-    near = near.select("entity", "n_c", "class", term(F.col("w")).alias("term")).where(F.col("term").rlike("^\\p{L}{3,}$"))
+    near = bare(docs.select(_key(docs)[1], "text").join(scratch.broadcast_if_small(held), "k_h")).select("entity", "n_c", "class", F.explode_outer(terms_of(F.col("bare"))).alias("w"))
+    near = near.select("entity", "n_c", "class", term(F.col("w")).alias("term")).where(F.col("term") != "")
     both = scratch.keep(near.groupBy("entity", "n_c", "term").agg(F.countDistinct("class").alias("n_ct")).where(F.col("n_ct") >= support))
     if both.isEmpty():
         return None
@@ -210,7 +218,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     bound = scratch.keep(both.groupBy("term").agg(most.alias("most")))
 
     def uses(part: DataFrame, terms: DataFrame) -> DataFrame:
-        rows = part.select(*_key(docs), F.array_distinct(words(F.col("text"))).alias("ws")).select("k_id", "k_h", F.explode_outer("ws").alias("w"))
+        rows = bare(part.select(*_key(docs), "text")).select("k_id", "k_h", terms_of(F.col("bare")).alias("ws")).select("k_id", "k_h", F.explode_outer("ws").alias("w"))
         rows = rows.select("k_id", "k_h", term(F.col("w")).alias("term")).join(scratch.broadcast_if_small(terms), "term", "left_semi")
         return with_class(rows.distinct(), classes)
 
@@ -229,8 +237,8 @@ def own_patterns(terms: DataFrame) -> DataFrame:
 
     Longer terms come first, so none is cut by one that it starts with; placeholders do not match.
     """
-    longest = F.transform(F.array_sort(F.collect_set(F.struct((-F.length("term")).alias("n"), F.col("term").alias("t")))), lambda x: x.t)
-    pattern = F.concat(F.lit(f"(?iu)(?<!\\p{{L}})(?!{HOLDER})(?:"), F.array_join(longest, "|"), F.lit(")(?!\\p{L})"))
+    longest = F.transform(F.array_sort(F.collect_set(F.struct((-F.length("term")).alias("n"), F.col("term").alias("t")))), lambda x: F.regexp_replace(x.t, "([^\\p{L}\\p{M}\\p{N}])", "\\\\$1"))
+    pattern = F.concat(F.lit(f"(?iu)(?<!{INNER})(?!{HOLDER})(?:"), F.array_join(longest, "|"), F.lit(f")(?!{INNER})"))
     removed = F.collect_set(F.when(F.col("removed"), F.col("term")))
     own = terms.groupBy(F.col("k_id").alias("p_id"), F.col("k_h").alias("p_h")).agg(pattern.alias("k_any"), removed.alias("k_remove"))
     scratch = Scratch(terms.sparkSession)

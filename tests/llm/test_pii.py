@@ -116,6 +116,22 @@ def test_terms_inside_addresses_leave_no_part_of_them(spark):
         assert len(at) > 2 and all(t <= at[0][0] or a >= at[0][1] for a, t in at[1:])
 
 
+def test_terms_of_any_form(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    names = ["jdoe42", "AB-1234", "Smith-Jones", "O'Brien", "李明", "Ame\u0301lie", "a.b*c(d", "Smith", "x\\Ey", "44017"]
+    docs = [(i, " ".join(word() for _ in range(60))) for i in range(300)]
+    docs += [(1000 + i, " ".join(word() for _ in range(60)) + " [" + "], (".join(names) + "), q.ark@example.org +1 (555) 123-4567") for i in range(6)]
+    docs += [(2000 + i, f"«{n}», {word()}") for i, n in enumerate(names)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(d).collect()}
+    assert all(got[2000 + i] == f"term:1:{1 + len(n)}" for i, n in enumerate(names)) and all(got[i] == "" for i in range(300))
+    assert got[1000].count("term:") == len(names)
+    clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert all(clean[2000 + i] == t.replace(n, "<TERM>") for i, (n, (_, t)) in enumerate(zip(names, docs[-len(names) :])))
+    assert clean[1000].endswith("<EMAIL> <PHONE>") and not any(n in clean[1000] for n in names)
+
+
 def test_awkward_rows(spark):
     d = documents(spark)
     out = pii.find(d).collect()
