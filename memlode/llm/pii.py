@@ -189,7 +189,7 @@ def bare(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES, removes: float = REMOVES) -> DataFrame | None:
-    """(k_id, k_h, term, removed): the terms of each document that disclose an entity, or None if there are none.
+    """(k_h, term, removed): the terms of each text, by its hash, that disclose an entity, or None if there are none.
 
     All counts are over all documents, each near-duplicate class once.  Texts are not shuffled while the
     table of those that hold a frequent entity is small: the passes over them meet broadcast tables.
@@ -217,32 +217,35 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     most = F.max(F.col("n_ct") / F.col("n_c") * F.pow(F.col("n_c"), F.lit(discloses)) * F.lit(float(total) ** (1 - discloses)))
     bound = scratch.keep(both.groupBy("term").agg(most.alias("most")))
 
-    def uses(part: DataFrame, terms: DataFrame) -> DataFrame:
-        rows = bare(part.select(*_key(docs), "text")).select("k_id", "k_h", terms_of(F.col("bare")).alias("ws")).select("k_id", "k_h", F.explode_outer("ws").alias("w"))
-        rows = rows.select("k_id", "k_h", term(F.col("w")).alias("term")).join(scratch.broadcast_if_small(terms), "term", "left_semi")
-        return with_class(rows.distinct(), classes)
+    def uses(texts: DataFrame, terms: DataFrame) -> DataFrame:
+        rows = bare(texts).select("k_h", terms_of(F.col("bare")).alias("ws")).select("k_h", F.explode_outer("ws").alias("w"))
+        return rows.select("k_h", term(F.col("w")).alias("term")).join(scratch.broadcast_if_small(terms), "term", "left_semi")
 
-    few = uses(docs.where(F.pmod(_key(docs)[1], F.lit(PART)) == 0), bound).groupBy("term").agg(F.countDistinct("class").alias("n"))
+    every = docs.select(_key(docs)[1], "text")
+    # one text of a class at most, so that its terms need no class
+    part = every.where(F.pmod("k_h", F.lit(PART)) == 0).join(scratch.broadcast_if_small(classes), F.col("k_h") == F.col("node"), "left_anti")
+    few = uses(part, bound).distinct().groupBy("term").agg(F.count("*").alias("n"))
     wanted = scratch.keep(bound.join(few, "term", "left").where(F.coalesce("n", F.lit(0)) <= F.col("most") * 1.001).select("term"))
-    used = scratch.keep(uses(docs, wanted))
+    used = scratch.keep(with_class(uses(every, wanted).distinct(), classes))
     n_t = used.groupBy("term").agg(F.countDistinct("class").alias("n_t"))
     share = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t"))) / F.log2(F.lit(float(max(total, 2))) / F.col("n_c"))
     scored = both.join(n_t, "term").where(F.col("n_c") < total).select("term", share.alias("share")).where(F.col("share") >= discloses)
     terms = scored.groupBy("term").agg((F.max("share") >= removes).alias("removed"))
-    return scratch.keep(used.join(terms, "term").select("k_id", "k_h", "term", "removed"))
+    return scratch.keep(used.join(terms, "term").select("k_h", "term", "removed"))
 
 
 def own_patterns(terms: DataFrame) -> DataFrame:
-    """For each document with such terms: its key, a regular expression of them and the list of those to remove.
+    """For each text with such terms: its hash, a regular expression of them and the list of those to remove.
 
     Longer terms come first, so none is cut by one that it starts with; placeholders do not match.
     """
     longest = F.transform(F.array_sort(F.collect_set(F.struct((-F.length("term")).alias("n"), F.col("term").alias("t")))), lambda x: F.regexp_replace(x.t, "([^\\p{L}\\p{M}\\p{N}])", "\\\\$1"))
     pattern = F.concat(F.lit(f"(?iu)(?<!{INNER})(?!{HOLDER})(?:"), F.array_join(longest, "|"), F.lit(f")(?!{INNER})"))
     removed = F.collect_set(F.when(F.col("removed"), F.col("term")))
-    own = terms.groupBy(F.col("k_id").alias("p_id"), F.col("k_h").alias("p_h")).agg(pattern.alias("k_any"), removed.alias("k_remove"))
-    scratch = Scratch(terms.sparkSession)
-    return scratch.broadcast_if_small(scratch.keep(own))
+    own = Scratch(terms.sparkSession).keep(terms.groupBy(F.col("k_h").alias("p_h")).agg(pattern.alias("k_any"), removed.alias("k_remove")))
+    # near copies have like patterns, so the size on disk tells little
+    size = own.agg(F.sum(2 * F.octet_length("k_any") + 64)).first()[0] or 0
+    return F.broadcast(own) if size <= 8 << 20 else own
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
@@ -257,10 +260,9 @@ def find(docs: DataFrame, **options) -> DataFrame:
     if terms is None:
         out = out.withColumn("term", F.array().cast("array<struct<at:int,till:int,value:string>>"))
     else:
-        texts = bare(docs.select(*_key(docs), F.col("text")))
-        spans = texts.join(own_patterns(terms), F.col("k_id").eqNullSafe(F.col("p_id")) & (F.col("k_h") == F.col("p_h")))
-        spans = spans.select("p_id", "p_h", matches(F.col("bare"), F.col("k_any")).alias("term")).dropDuplicates(["p_id", "p_h"])
-        out = out.join(spans, F.col("k_id").eqNullSafe(F.col("p_id")) & (F.col("k_h") == F.col("p_h")), "left")
+        spans = bare(docs.select(_key(docs)[1], F.col("text")).join(own_patterns(terms), F.col("k_h") == F.col("p_h")))
+        spans = spans.select("p_h", matches(F.col("bare"), F.col("k_any")).alias("term")).dropDuplicates(["p_h"])
+        out = out.join(spans, F.col("k_h") == F.col("p_h"), "left")
         out = out.withColumn("term", F.coalesce("term", F.array().cast("array<struct<at:int,till:int,value:string>>")))
     base = [(k, F.col(k)) for k in KINDS]
     return out.select(
@@ -278,7 +280,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     for kind in KINDS:  # before the terms: a term may be a part of an address
         out = out.withColumn("text", masked(F.col("text"), kind))
     if terms is not None:
-        out = out.join(own_patterns(terms), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("k_h") == F.col("p_h")), "left")
+        out = out.join(own_patterns(terms), F.col("k_h") == F.col("p_h"), "left")
         found = F.transform(F.regexp_extract_all("text", F.col("k_any"), F.lit(0)), lambda v: F.when(F.array_contains("k_remove", F.lower(v)), F.lit("")).otherwise(F.lit("<TERM>")))
         parts = F.zip_with(F.split("text", F.col("k_any"), -1), found, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
         out = out.withColumn("text", F.when(F.col("k_any").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))
