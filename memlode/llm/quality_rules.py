@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence (DataFrame functions only).
 
-Each document's character classes and common words are compared, by Jensen-Shannon distance, with
-references for a set of languages.  The references are means over all documents of the corpus that
+Each document's character classes, its common words among themselves and its common words among all
+words are compared, by Jensen-Shannon distance, with references for a set of languages.  The references are means over all documents of the corpus that
 carry the language and are long enough; one pass computes every document's histograms, an aggregate
 makes the references, and the verdict is arithmetic on the kept histograms.  Nothing is shuffled but
 the partial sums of a few hundred numbers for each language.
@@ -32,6 +32,8 @@ MIN_WORDS = 50
 MAX_CHAR = 0.15
 MAX_WORD = 0.55
 SLACK_CHAR, SLACK_WORD = 1.0, 2.0
+#: The same for the common words with a bin for all other words: texts without common words are far from all references.
+MAX_COVER, SLACK_COVER = 0.2, 1.2
 #: References are made anew from the documents kept so far, so many times.
 ROUNDS = 2
 
@@ -82,7 +84,8 @@ def js_distance(p: Column, q: list[float]) -> Column:
 
 
 def profile(docs: DataFrame, *, common: dict = COMMON) -> DataFrame:
-    """doc_id, lang, the base counts, two histograms as shares and their totals for every row."""
+    """doc_id, lang, the base counts, two histograms as shares and their totals for every row; cover
+    is the second with a last bin for all other words, as shares of all words."""
     vocab = sorted({w for ws in common.values() for w in ws.split()})
     shapes = [x + y for w in vocab for x in {w, w.capitalize(), w.upper()} for y in ("", *AFTER)]
     d = docs.select("doc_id", "lang", "text", words(F.col("text")).alias("ws"))
@@ -99,6 +102,8 @@ def profile(docs: DataFrame, *, common: dict = COMMON) -> DataFrame:
     base = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     d = d.select(*base, repeated_words(F.col("wins")).alias("n_repeat_words"), F.array(plain, *classes).cast("array<int>").alias("h_c"), F.array(*counted).cast("array<int>").alias("h_w"))
     d = d.withColumns({"char_total": _total(F.col("h_c")), "word_total": _total(F.col("h_w"))})
+    every = F.greatest(F.col("n_words"), F.lit(1))
+    d = d.withColumn("cover", F.array_append(F.transform("h_w", lambda x: x / every), 1 - F.col("word_total") / every))
     return d.withColumns({"chars": _shares("h_c", "char_total"), "common": _shares("h_w", "word_total")}).drop("h_c", "h_w")
 
 
@@ -106,7 +111,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def references(profiles: DataFrame, *, common: dict = COMMON, robust: bool = False) -> dict[str, tuple[list, list]]:
+def references(profiles: DataFrame, *, common: dict = COMMON, robust: bool = False) -> dict[str, tuple[list, list, list]]:
     """For each configured language the mean histograms over all its documents that pass the base rules.
 
     ``robust`` takes medians for the character classes, which up to half of junk does not move.
@@ -117,25 +122,27 @@ def references(profiles: DataFrame, *, common: dict = COMMON, robust: bool = Fal
     mean = lambda col, n: F.array(*[F.avg(F.get(col, F.lit(i))) for i in range(n)])
     good = profiles.where(F.col("lang").isin(*common) & ~base_failed())
     middle = F.array(*[F.percentile_approx(F.get("chars", F.lit(i)), 0.5, 2000) for i in range(n_chars)])
-    rows = good.groupBy("lang").agg((middle if robust else mean("chars", n_chars)).alias("c"), mean("common", n_words).alias("w")).collect()
-    return {r.lang: ([x / (sum(r.c) or 1) for x in r.c], list(r.w)) for r in rows}
+    rows = good.groupBy("lang").agg((middle if robust else mean("chars", n_chars)).alias("c"), mean("common", n_words).alias("w"), mean("cover", n_words + 1).alias("o")).collect()
+    return {r.lang: ([x / (sum(r.c) or 1) for x in r.c], list(r.w), list(r.o)) for r in rows}
 
 
 def judge(profiles: DataFrame, refs: dict, max_char: float = MAX_CHAR, max_word: float | None = MAX_WORD) -> DataFrame:
-    """Adds base_failed, char_distance, word_distance and kept.
+    """Adds base_failed, char_distance, word_distance, cover_distance and kept.
 
     Distances are to the nearest reference; with no reference at all they are null and only the base
     rules speak.  The limits grow by a slack divided by the root of the number of characters, or of
-    common words, that the histogram is made of: that guards short texts.  max_word None leaves words out.
+    common words, or of all words, that the histogram is made of: that guards short texts.  max_word None
+    leaves words out.
     """
     def nearest(col, k):
         ds = [js_distance(F.col(col), r[k]) for r in refs.values()]
         return F.array_min(F.array(*ds)) if ds else F.lit(None).cast("double")
 
-    out = profiles.withColumns({"base_failed": base_failed(), "char_distance": nearest("chars", 0), "word_distance": nearest("common", 1)})
+    out = profiles.withColumns({"base_failed": base_failed(), "char_distance": nearest("chars", 0), "word_distance": nearest("common", 1), "cover_distance": nearest("cover", 2)})
     far = (F.col("char_distance") > max_char + SLACK_CHAR / F.sqrt(F.greatest(F.col("char_total"), F.lit(1))))
     if max_word is not None:
         far = far | (F.col("word_distance") > max_word + SLACK_WORD / F.sqrt(F.greatest(F.col("word_total"), F.lit(1))))
+        far = far | (F.col("cover_distance") > MAX_COVER + SLACK_COVER / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
 
 

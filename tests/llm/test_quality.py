@@ -88,6 +88,16 @@ def test_divergence_separates_junk(spark):
     assert kept == set(range(60))
 
 
+def test_texts_without_common_words_are_rejected(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    common = QR.COMMON["en"].split()
+    good = [" ".join(rng.choice(common) if rng.random() < 0.3 else word() for _ in range(n)) + "." for n in (60, 120, 200, 500, 1500) for _ in range(12)]
+    bad = [" ".join(word() for _ in range(n)) + "." for n in (120, 400, 1200, 3000)] + [" ".join([word() for _ in range(1200)] + common[:5]) + "."]
+    d = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string").selectExpr("*", "'en' as lang")
+    assert {r.doc_id for r in QR.quality_rules(d).where("kept").collect()} == set(range(60))
+
+
 def test_js_distance(spark):
     from pyspark.sql import functions as F
 
