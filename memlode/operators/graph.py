@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Large-star / small-star rounds.  Every round is two map-side combined minima and two equi-joins,
     never a collected neighbour list, so a hub with most of the edges is only a skewed join key that
-    adaptive execution splits.  Lineage is cut each round by a written table.
+    adaptive execution splits.  Lineage is cut each round by a written table.  Raises RuntimeError if
+    ``max_rounds`` rounds do not reach the end.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark)
@@ -36,4 +37,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components are not done after {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))

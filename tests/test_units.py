@@ -352,3 +352,14 @@ def test_f_quantiles_and_icc_interval():
     assert stats.beta_cdf(0.5, 2, 2) == pytest.approx(0.5) and stats.beta_cdf(0.2, 1, 3) == pytest.approx(1 - 0.8**3)
     lo, hi = stats.icc_interval(20, 100, 0.3)
     assert lo < 0.3 < hi and 0 < lo and hi < 1
+
+
+def test_unfinished_components_raise(spark):
+    import pytest
+
+    from memlode.operators.graph import connected_components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, max_rounds=2)
+    assert {r.root for r in connected_components(edges).collect()} == {0}
