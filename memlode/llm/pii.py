@@ -1,14 +1,20 @@
 """Personal data: base patterns and information-theoretic sanitisation (DataFrame functions only).
 
 Base spans (e-mail, IP, card, phone) come from one regular expression each, matched leftmost without
-overlap; offsets follow from the pieces between the matches.  The values found are the protected
-entities.  A term t discloses an entity c when their pointwise mutual information over the corpus,
+overlap; offsets follow from the pieces between the matches.  A secret is a run whose own information
+content no word has: 32 or more letters, digits, - and _ with both letters and digits and 8 or more
+different characters, outside base spans.
+
+Protected entities are the values found and what recurs of them (``parts``: an address's owner and
+domain, a card's issuer, a phone's area, a network), and the fact that a text holds personal data at
+all.  A term t discloses an entity c when their pointwise mutual information over the corpus,
 log2(p(c, t) / (p(c) p(t))), reaches a share of the entity's information content -log2 p(c): whoever
 reads t can all but infer c.  Such terms are generalised to a placeholder or, above a second
 threshold, removed.  Probabilities count near-duplicate classes of texts, the components of texts that
 agree in a band of MinHash values over word shingles: copies and near copies of a text are one
 observation, unrelated texts stay apart.  An entity needs ``SUPPORT`` classes, however many texts each
-has, and so does a pair, since two chance neighbours reveal nothing.
+has, and so does a pair.  A pair must also be too frequent for chance: the Chernoff bound of its count
+under independence, times the number of pairs looked at, must stay below ``CHANCE``.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from memlode.operators.graph import connected_components
 from memlode.session import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 #: Each starts where a match can start at all and takes runs whole, so no text makes it slow or deep:
 #: the same matches as the plain patterns give.
 PATTERNS = {
@@ -29,18 +36,18 @@ PATTERNS = {
     "card": "(?<![0-9])(?<![0-9][\\x20-])[0-9](?:[\\x20-]?[0-9]){12,18}+(?![\\x20-]?[0-9])",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
-SUPPORT = 3
+#: A run of characters that may be a secret, and the parts of it that must occur.
+SECRET, SECRET_HAS, SECRET_KINDS = "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}+", ("[0-9]", "[A-Za-z]"), 8
+SUPPORT, CHANCE = 3, 0.05
 #: Stands for the characters of base matches while terms are looked for.
 FILL = "\uFFFC"
 #: Separates words of a bare text; characters that a term starts and ends with, and others.
 SPLIT = f"[\\x20\\x09-\\x0D{FILL}]+"
 INNER, OUTER = "[\\p{L}\\p{M}\\p{N}]", "[^\\p{L}\\p{M}\\p{N}]"
 #: At the start of the name of a placeholder.
-HOLDER = "(?<=<)(?-i:EMAIL|IP|CARD|PHONE)>"
+HOLDER = "(?<=<)(?-i:EMAIL|IP|CARD|PHONE|SECRET)>"
 #: Near-duplicate classes: words a shingle, bands and MinHash values a band.
 SHINGLE, BANDS, ROWS = 3, 4, 5
-#: Terms too frequent to disclose anything are told by the texts of one part in so many.
-PART = 16
 DISCLOSES, REMOVES = 0.85, 0.97
 
 
@@ -62,6 +69,8 @@ def valid(kind: str, v: Column) -> Column:
         return luhn(_digits(v))
     if kind == "phone":
         return F.length(_digits(v)).between(9, 15)
+    if kind == "secret":
+        return v.rlike(SECRET_HAS[0]) & v.rlike(SECRET_HAS[1]) & (F.size(F.array_distinct(F.split(v, ""))) >= SECRET_KINDS)
     return F.lit(True)
 
 
@@ -69,9 +78,15 @@ def _maybe(kind: str, text: Column) -> Column:
     """A cheap test that no text with a match fails."""
     if kind in ("email", "phone"):
         return F.contains(text, F.lit("@" if kind == "email" else "+"))
+    if kind == "secret":
+        return text.rlike(SECRET)
     return text.rlike("[0-9]\\.[0-9]" if kind == "ip" else "[0-9](?:[\\x20-]?[0-9]){12}")
 
 
+def _pattern(kind: str) -> str:
+    return SECRET if kind == "secret" else PATTERNS[kind]
+
+
 def matches(text: Column, pattern: Column) -> Column:
     """array<struct<at, till, value>>: all matches with their code point offsets."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -89,7 +104,7 @@ def matches(text: Column, pattern: Column) -> Column:
 
 def base_spans(text: Column, kind: str) -> Column:
     none = F.array().cast("array<struct<at:int,till:int,value:string>>")
-    own = F.filter(matches(text, F.lit(PATTERNS[kind])), lambda m: valid(kind, m.value))
+    own = F.filter(matches(text, F.lit(_pattern(kind))), lambda m: valid(kind, m.value))
     return F.when(_maybe(kind, text), own).otherwise(none)
 
 
@@ -157,81 +172,103 @@ def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes, F.col("k_h") == F.col("node"), "left").withColumn("class", F.coalesce("root", "k_h")).drop("node", "root")
 
 
-def entities(spans: list[Column]) -> Column:
-    """The distinct values of base spans, with their kinds."""
+def parts(kind: str, v: Column) -> list[Column]:
+    """What of a value recurs with others: each as text, null where there is none."""
+    if kind == "email":
+        owner = F.regexp_extract(v, "^[^@a-z]*([a-z]{3,})[^@]*@", 1)
+        return [F.concat(F.lit("domain:"), F.substring_index(v, "@", -1)), F.when(owner != "", F.concat(F.lit("owner:"), owner))]
+    if kind == "ip":
+        return [F.concat(F.lit("net:"), F.substring_index(v, ".", 3))]
+    digits = _digits(v)
+    if kind == "card":
+        return [F.concat(F.lit("issuer:"), F.substring(digits, 1, 6))]
+    return [F.concat(F.lit("area:"), F.left(digits, F.length(digits) - 7))]
+
+
+def entities(spans: dict[str, Column]) -> Column:
+    """The distinct protected entities of a text, from its spans by kind: values with their kinds, their parts and ``any``."""
     def named(kind, col):
-        return F.transform(col, lambda m: F.concat_ws(":", F.lit(kind), F.lower(m.value)))
+        if kind == "secret":  # a value of its own, nothing of it recurs
+            return F.transform(col, lambda m: F.concat(F.lit("secret:"), m.value))
+        return F.flatten(F.transform(F.transform(col, lambda m: F.lower(m.value)), lambda v: F.array(F.concat(F.lit(f"{kind}:"), v), *parts(kind, v))))
 
-    return F.array_distinct(F.concat(*[named(k, c) for k, c in zip(KINDS, spans)]))
+    some = F.greatest(*[F.size(c) for c in spans.values()]) > 0
+    return F.array_distinct(F.array_compact(F.concat(*[named(k, c) for k, c in spans.items()], F.when(some, F.array(F.lit("any"))).otherwise(F.array().cast("array<string>")))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """For every row: its key and the base spans of each kind."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(*_key(docs), *[base_spans(text, k).alias(k) for k in KINDS])
+    """For every row: its key, the base spans of each kind and, outside them, the secrets."""
+    out = bare(docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text")), KINDS)
+    return out.select("k_id", "k_h", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], base_spans(F.col("bare"), "secret").alias("secret"))
 
 
 def masked(text: Column, kind: str, shown=None) -> Column:
     """The text with each valid match v of a kind replaced by shown(v), or by its placeholder."""
     shown = shown or (lambda v: F.lit(f"<{kind.upper()}>"))
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(_pattern(kind)), F.lit(0))
     own = F.transform(found, lambda v: F.when(valid(kind, v), shown(v)).otherwise(v))
-    parts = F.zip_with(F.split(text, PATTERNS[kind], -1), own, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
-    return F.when(_maybe(kind, text), F.array_join(parts, "")).otherwise(text)
+    pieces = F.zip_with(F.split(text, _pattern(kind), -1), own, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
+    return F.when(_maybe(kind, text), F.array_join(pieces, "")).otherwise(text)
 
 
-def bare(docs: DataFrame) -> DataFrame:
-    """``docs`` with column bare: the text with ``FILL`` for each character of a base match, so offsets stay."""
+def bare(docs: DataFrame, kinds: tuple = ALL_KINDS) -> DataFrame:
+    """``docs`` with column bare: the text with ``FILL`` for each character of a match, so offsets stay."""
     out = docs.withColumn("bare", F.coalesce("text", F.lit("")))
-    for kind in KINDS:
+    for kind in kinds:
         out = out.withColumn("bare", masked(F.col("bare"), kind, lambda v: F.repeat(F.lit(FILL), F.length(v))))
     return out
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES, removes: float = REMOVES) -> DataFrame | None:
+def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES, removes: float = REMOVES, chance: float = CHANCE) -> DataFrame | None:
     """(k_h, term, removed): the terms of each text, by its hash, that disclose an entity, or None if there are none.
 
     All counts are over all documents, each near-duplicate class once.  Texts are not shuffled while the
     table of those that hold a frequent entity is small: the passes over them meet broadcast tables.
     """
     scratch = Scratch(docs.sparkSession)
-    seen = found.select("k_h", F.explode_outer(entities([F.col(k) for k in KINDS])).alias("entity")).where("entity is not null").distinct()
-    seen = scratch.keep(seen)
+    # outer explodes: the optimizer derives no size tests from them, which would compute the arrays twice
+    seen = found.select("k_h", F.explode_outer(entities({k: F.col(k) for k in ALL_KINDS})).alias("entity")).where("entity is not null").distinct()
+    seen = scratch.keep(seen.select("k_h", F.xxhash64("entity").alias("entity")))
     texts = scratch.keep(seen.groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity"))
     if texts.isEmpty():
         return None
     classes = near_classes(docs)
     total = found.select("k_h").distinct().count() - classes.count()
     seen = scratch.keep(with_class(seen.join(scratch.broadcast_if_small(texts), "entity", "left_semi"), classes))
-    often = seen.select("entity", "class").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
-    held = scratch.keep(seen.join(often, "entity").select("k_h", "entity", "n_c", "class"))
+    often = seen.select("entity", "class").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).where((F.col("n_c") >= support) & (F.col("n_c") < total))
+    often = scratch.keep(often)
+    held = scratch.keep(seen.join(scratch.broadcast_if_small(often), "entity").select("k_h", "entity", "n_c", "class"))
     if held.isEmpty():
         return None
-    # outer explodes: the optimizer derives no size tests from them, which would compute the arrays twice
-    near = bare(docs.select(_key(docs)[1], "text").join(scratch.broadcast_if_small(held), "k_h")).select("entity", "n_c", "class", F.explode_outer(terms_of(F.col("bare"))).alias("w"))
-    near = near.select("entity", "n_c", "class", term(F.col("w")).alias("term")).where(F.col("term") != "")
+    holders = scratch.keep(held.select("k_h").distinct())
+    every = docs.select(_key(docs)[1], "text")
+    near = uses(every.join(scratch.broadcast_if_small(holders), "k_h", "left_semi")).distinct().join(scratch.broadcast_if_small(held), "k_h")
     both = scratch.keep(near.groupBy("entity", "n_c", "term").agg(F.countDistinct("class").alias("n_ct")).where(F.col("n_ct") >= support))
-    if both.isEmpty():
+    pairs = both.count()
+    if not pairs:
         return None
-    # a share of ``discloses`` bounds n_t; terms that exceed the bound in a part of the texts alone need no further count
+    # a share of ``discloses`` bounds n_t: terms of more classes than that need no further count
     most = F.max(F.col("n_ct") / F.col("n_c") * F.pow(F.col("n_c"), F.lit(discloses)) * F.lit(float(total) ** (1 - discloses)))
     bound = scratch.keep(both.groupBy("term").agg(most.alias("most")))
-
-    def uses(texts: DataFrame, terms: DataFrame) -> DataFrame:
-        rows = bare(texts).select("k_h", terms_of(F.col("bare")).alias("ws")).select("k_h", F.explode_outer("ws").alias("w"))
-        return rows.select("k_h", term(F.col("w")).alias("term")).join(scratch.broadcast_if_small(terms), "term", "left_semi")
-
-    every = docs.select(_key(docs)[1], "text")
-    # one text of a class at most, so that its terms need no class
-    part = every.where(F.pmod("k_h", F.lit(PART)) == 0).join(scratch.broadcast_if_small(classes), F.col("k_h") == F.col("node"), "left_anti")
-    few = uses(part, bound).distinct().groupBy("term").agg(F.count("*").alias("n"))
+    # at least so many classes: each counts once or, where only another of its texts has the term, not at all
+    roots = every.join(scratch.broadcast_if_small(classes), F.col("k_h") == F.col("node"), "left_anti")
+    few = uses(roots, scratch.broadcast_if_small(bound)).distinct().groupBy("term").agg(F.count("*").alias("n"))
     wanted = scratch.keep(bound.join(few, "term", "left").where(F.coalesce("n", F.lit(0)) <= F.col("most") * 1.001).select("term"))
-    used = scratch.keep(with_class(uses(every, wanted).distinct(), classes))
+    used = scratch.keep(with_class(uses(every, scratch.broadcast_if_small(wanted)).distinct(), classes))
     n_t = used.groupBy("term").agg(F.countDistinct("class").alias("n_t"))
-    share = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t"))) / F.log2(F.lit(float(max(total, 2))) / F.col("n_c"))
-    scored = both.join(n_t, "term").where(F.col("n_c") < total).select("term", share.alias("share")).where(F.col("share") >= discloses)
-    terms = scored.groupBy("term").agg((F.max("share") >= removes).alias("removed"))
-    return scratch.keep(used.join(terms, "term").select("k_h", "term", "removed"))
+    share = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t"))) / F.log2(F.lit(float(total)) / F.col("n_c"))
+    expected = F.col("n_c") * F.col("n_t") / F.lit(float(total))
+    surprise = F.col("n_ct") * F.log(F.col("n_ct") / expected) - F.col("n_ct") + expected
+    scored = both.join(n_t, "term").where((F.col("n_ct") > expected) & (surprise >= F.log(F.lit(pairs / chance)))).select("term", share.alias("share"))
+    terms = scratch.keep(scored.where(F.col("share") >= discloses).groupBy("term").agg((F.max("share") >= removes).alias("removed")))
+    return scratch.keep(used.join(scratch.broadcast_if_small(terms), "term").select("k_h", "term", "removed"))
+
+
+def uses(texts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(k_h, term): the terms of each text, of ``terms`` only if given."""
+    rows = bare(texts).select("k_h", terms_of(F.col("bare")).alias("ws")).select("k_h", F.explode_outer("ws").alias("w"))
+    rows = rows.select("k_h", term(F.col("w")).alias("term")).where(F.col("term") != "")
+    return rows if terms is None else rows.join(terms, "term", "left_semi")
 
 
 def own_patterns(terms: DataFrame) -> DataFrame:
@@ -249,41 +286,43 @@ def own_patterns(terms: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term, n_spans) for every row of ``docs``.
 
     Null text is empty: no spans.  Rows that repeat id and text each get a row; a null id is allowed.
-    spans holds the base spans by kind, then the disclosing terms outside them as kind ``term``.
+    spans holds the base spans by kind, then the secrets and the disclosing terms outside them, as kinds
+    ``secret`` and ``term``; n_spans counts all.
     """
+    none = F.array().cast("array<struct<at:int,till:int,value:string>>")
     found = Scratch(docs.sparkSession).keep(scan(docs))
     terms = disclosing_terms(docs, found, **options)
     out = found
     if terms is None:
-        out = out.withColumn("term", F.array().cast("array<struct<at:int,till:int,value:string>>"))
+        out = out.withColumn("term", none)
     else:
         spans = bare(docs.select(_key(docs)[1], F.col("text")).join(own_patterns(terms), F.col("k_h") == F.col("p_h")))
         spans = spans.select("p_h", matches(F.col("bare"), F.col("k_any")).alias("term")).dropDuplicates(["p_h"])
-        out = out.join(spans, F.col("k_h") == F.col("p_h"), "left")
-        out = out.withColumn("term", F.coalesce("term", F.array().cast("array<struct<at:int,till:int,value:string>>")))
-    base = [(k, F.col(k)) for k in KINDS]
+        out = out.join(spans, F.col("k_h") == F.col("p_h"), "left").withColumn("term", F.coalesce("term", none))
+    number = {k: F.size(k).cast("long") for k in (*ALL_KINDS, "term")}
     return out.select(
-        F.col("k_id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
-        F.sha2(_joined(base), 256).alias("base_sha256"), _joined([*base, ("term", F.col("term"))]).alias("spans"),
+        F.col("k_id").alias("doc_id"), *[number[k].alias(f"n_{k}") for k in KINDS],
+        F.sha2(_joined([(k, F.col(k)) for k in KINDS]), 256).alias("base_sha256"), _joined([(k, F.col(k)) for k in number]).alias("spans"),
+        number["secret"].alias("n_secret"), number["term"].alias("n_term"), sum(number.values()).alias("n_spans"),
     )
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with text (and n_chars) sanitised: base matches become placeholders, then disclosing terms
-    outside them become <TERM> or go.  Null text stays null; other columns stay as they are."""
+    """The rows of ``docs`` with text (and n_chars) sanitised: base matches and secrets become placeholders, then disclosing
+    terms outside them become <TERM> or go.  Null text stays null; other columns stay as they are."""
     found = Scratch(docs.sparkSession).keep(scan(docs))
     terms = disclosing_terms(docs, found, **options)
     out = docs.withColumn("k_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    for kind in KINDS:  # before the terms: a term may be a part of an address
+    for kind in ALL_KINDS:  # before the terms: a term may be a part of an address
         out = out.withColumn("text", masked(F.col("text"), kind))
     if terms is not None:
         out = out.join(own_patterns(terms), F.col("k_h") == F.col("p_h"), "left")
         found = F.transform(F.regexp_extract_all("text", F.col("k_any"), F.lit(0)), lambda v: F.when(F.array_contains("k_remove", F.lower(v)), F.lit("")).otherwise(F.lit("<TERM>")))
-        parts = F.zip_with(F.split("text", F.col("k_any"), -1), found, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
-        out = out.withColumn("text", F.when(F.col("k_any").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))
+        pieces = F.zip_with(F.split("text", F.col("k_any"), -1), found, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
+        out = out.withColumn("text", F.when(F.col("k_any").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def test_spans_match_the_plain_patterns(spark):
     texts = ["".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(1500)] + ["a@b.c+d@e.f", "1.2.3.4.5.6.7.8", "+1 2 3(4)5 6 7 8 9-", "0001.002.3.0255", "", None]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.find(d).collect():
-        base = ",".join(s for s in r.spans.split(",") if not s.startswith("term"))
+        base = ",".join(s for s in r.spans.split(",") if not s.startswith(("term", "secret")))
         assert base == spans(texts[r.doc_id]), texts[r.doc_id]
 
 
@@ -132,6 +134,76 @@ def test_terms_of_any_form(spark):
     assert clean[1000].endswith("<EMAIL> <PHONE>") and not any(n in clean[1000] for n in names)
 
 
+def brute_terms(texts):
+    """The terms and whether they are removed, for unrelated texts: every text is a class of its own."""
+    held, words = [], []
+    for t in texts:
+        got, bare = set(), t
+        for kind, p in PLAIN.items():
+            for m in re.finditer(p, t):
+                v, d = m.group().lower(), re.sub("[^0-9]", "", m.group())
+                if f"{kind}:{m.start()}:{m.end()}" not in spans(t):
+                    continue
+                own = {"email": ["@" + v.split("@")[-1], *re.findall("^[^@a-z]*([a-z]{3,})[^@]*@", v)], "ip": [v.rsplit(".", 1)[0]], "card": [d[:6]], "phone": [d[:-7]]}[kind]
+                got |= {"any", f"{kind} {v}", *(f"{kind} {i} {x}" for i, x in enumerate(own))}
+                bare = bare.replace(m.group(), " ")
+        for m in re.findall("[A-Za-z0-9_-]{32,}", bare):
+            if len(set(m)) >= 8 and re.search("[0-9]", m) and re.search("[A-Za-z]", m):
+                got |= {"any", m}
+                bare = bare.replace(m, " ")
+        held.append(got)
+        words.append({w for x in bare.split() if (w := re.sub(r"^[\W_]+|[\W_]+$", "", x).lower())})
+    total, n_t = len(texts), Counter(w for ws in words for w in ws)
+    n_c = {c: n for c, n in Counter(c for h in held for c in h).items() if 3 <= n < total}
+    both = Counter((c, w) for h, ws in zip(held, words) for c in h if c in n_c for w in ws)
+    both = {k: n for k, n in both.items() if n >= 3}
+    out = {}
+    for (c, w), n in both.items():
+        expected = n_c[c] * n_t[w] / total
+        share = math.log2(n * total / (n_c[c] * n_t[w])) / math.log2(total / n_c[c])
+        if share >= 0.85 and n > expected and n * math.log(n / expected) - n + expected >= math.log(len(both) / 0.05):
+            out[w] = out.get(w, False) or share >= 0.97
+    return out
+
+
+def test_terms_match_brute_force(spark):
+    rng = random.Random(21)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(600)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    docs = [text(80) for _ in range(400)]
+    for i in range(40):
+        docs[i].append(f"{rng.choice(vocab)}.{i}@mail{i % 4}.example.org")
+        docs[i] += [f"desk{i % 4}"] * (i % 9 > 0) + ["contact:"]
+    for i in range(30, 60):
+        docs[i] += ["token", "=", '"' + "".join(rng.choices("0123456789abcdef", k=40)) + '"']
+    for i in range(60, 75):
+        docs[i] += [f"10.2.{i % 3}.{i}", f"(host{i % 3})", f"+{i % 3} 555 {i}00 1234"]
+    for i in range(100, 108):
+        docs[i] += ["contact", "desk1"]
+    for d in docs:
+        rng.shuffle(d)
+    texts = [" ".join(d) for d in docs]
+    want = brute_terms(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pii.near_classes(d).isEmpty()
+    got = {r.term: r.removed for r in pii.disclosing_terms(d, pii.scan(d)).select("term", "removed").distinct().collect()}
+    assert got == want and {"token", "host1"} <= set(want) and not set(vocab) & set(want)
+    rows = {r.doc_id: r for r in pii.find(d).collect()}
+    for i, t in enumerate(texts):
+        hit = sum(re.sub(r"^[\W_]+|[\W_]+$", "", w) in want for w in t.split())
+        assert (rows[i].n_term, rows[i].n_secret) == (hit, int(30 <= i < 60)) and rows[i].n_spans == len([s for s in rows[i].spans.split(",") if s])
+
+
+def test_secrets(spark):
+    key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    texts = [f'token = "{key}".', f"{key[:31]} short", "a1" * 40, "x" * 40, "9" * 40, f"{key}@example.org", f"AKIA-{key}_z"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(d).collect()}
+    assert [got[i] for i in range(7)] == ["secret:9:49", "", "", "", "", "email:0:52", "secret:0:47"]
+    clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert clean[0] == 'token = "<SECRET>".' and clean[5] == "<EMAIL>" and clean[2] == texts[2]
+
+
 def test_awkward_rows(spark):
     d = documents(spark)
     out = pii.find(d).collect()
