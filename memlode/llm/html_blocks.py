@@ -11,8 +11,12 @@ BLOCK = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-SKIP = frozenset("script style noscript template iframe textarea select button svg title object canvas".split())
+#: Elements whose content is no markup up to their end tag; without one the first two take the rest of the page.
+RAW = ("script", "style", "textarea", "title", "iframe")
+#: Elements whose text is no text of the page.
+MUTE = frozenset((*RAW, "noscript", "template", "select", "button", "svg"))
+#: Those of them that do not hold each other: the next tag of their name is their end, or they have none.
+FLAT = ("noscript", "select", "button")
 
 TAG_FEATURES = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "figure", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "p", "div", "dialog", "td", "dl", "menu", "address", "figcaption", "details")
 #: What class, id and role attributes say: feature and pattern of a name's parts.
@@ -41,7 +45,7 @@ _TAG = re.compile(
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDE = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
-_ends: dict[str, re.Pattern] = {}
+_end_tags: dict[tuple[str, str], re.Pattern] = {}
 _masks: dict[tuple[str, str], int] = {}
 
 
@@ -73,13 +77,68 @@ class Block:
     linked: int
 
 
+class _Open:
+    """The open elements with their features: closing looks up the place of a name, however many are open."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.mask = self.links = self.muted = 0
+
+    def push(self, tag: str, bits: int) -> None:
+        self.mask |= bits
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.block_places.append(len(self.stack))
+        self.stack.append((tag, self.mask))
+        self.links += tag == "a"
+        self.muted += tag in MUTE
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and all within it."""
+        while len(self.stack) > place:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.block_places.pop()
+            self.links -= tag == "a"
+            self.muted -= tag in MUTE
+        self.mask = self.stack[-1][1] if self.stack else 0
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the nearest element of its name; that of an inline element only within its block."""
+        own = self.places.get(tag)
+        if own and (tag in BLOCK or not self.block_places or own[-1] > self.block_places[-1]):
+            self.cut(own[-1])
+
+    def begin_block(self, tag: str) -> None:
+        """The start of a block closes an open p, and that of an item an open item of its kind, if nothing is between."""
+        if self.block_places:
+            last = self.stack[self.block_places[-1]][0]
+            if last == "p" or (last == tag and tag in ("li", "td", "th", "tr", "dt", "dd")):
+                self.cut(self.block_places[-1])
+
+
+def _ends(tag: str, slash: str = "/") -> re.Pattern:
+    got = _end_tags.get((tag, slash))
+    if got is None:
+        got = _end_tags[tag, slash] = re.compile(f"<{slash}{tag}\\b[^>]*>?", re.I)
+    return got
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order; entities decoded, white space made single, empty blocks left out."""
+    """The leaf blocks of a page in order; entities decoded, white space made single, empty blocks left out.
+
+    The text of script, style, form controls and the like is left out.  Where such an element has no end
+    tag its text goes up to the next start or end of a block only (script and style: to the end of the page).
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []
-    mask, depth_a = 0, 0
+    now = _Open()
     buf: list[tuple[str, bool]] = []
+    last_end: dict[str, int] = {}
+    hush = False  # in the text of an element that is never closed
     pos, end = 0, len(page)
 
     def flush() -> None:
@@ -87,63 +146,56 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join(_html.unescape("".join(t for t, _ in buf)).split())
             if text:
                 linked = sum(len(t.strip()) for t, a in buf if a)
-                out.append(Block(text, mask, min(linked, len(text))))
+                out.append(Block(text, now.mask, min(linked, len(text))))
             buf.clear()
 
-    def close(upto: int) -> None:
-        nonlocal mask, depth_a
-        for name, _ in stack[upto:]:
-            depth_a -= name == "a"
-        del stack[upto:]
-        mask = stack[-1][1] if stack else 0
+    def say(text: str) -> None:
+        if not now.muted and not hush:
+            buf.append((text, now.links > 0))
+
+    def closed_after(tag: str, at: int) -> bool:
+        if tag in FLAT:
+            m = _ends(tag, "/?").search(page, at)
+            return bool(m) and m[0][1] == "/"
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in _ends(tag).finditer(page)), default=-1)
+        return last_end[tag] >= at
 
     while pos < end:
         m = _TAG.search(page, pos)
         if not m:
-            buf.append((page[pos:], depth_a > 0))
+            say(page[pos:])
             break
         if m.start() > pos:
-            buf.append((page[pos : m.start()], depth_a > 0))
+            say(page[pos : m.start()])
         pos = m.end()
         name = m[2] or m[5]
         if not name:
             if page.startswith("<![CDATA[", m.start()):
-                buf.append((page[m.start() + 9 : pos].removesuffix("]]>"), depth_a > 0))
+                say(page[m.start() + 9 : pos].removesuffix("]]>"))
             continue
         tag, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if closing:
-            if tag in BLOCK:
-                flush()
-            elif tag not in VOID:
-                pass
-            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break
-            continue
-        if tag in SKIP:
-            stop = _ends.setdefault(tag, re.compile(f"</{tag}\\b[^>]*>?", re.I)).search(page, pos)
-            pos = stop.end() if stop else end
-            buf.append((" ", False))
-            continue
-        if tag in VOID:
-            if tag in BLOCK:
-                flush()
-            elif tag == "br":
-                buf.append((" ", False))
-            continue
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):  # an open p ends here; so does an open li before a li
-                if stack[i][0] == "p" or (stack[i][0] == tag and tag in ("li", "td", "th", "tr", "dt", "dd")):
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
+            hush = False
+        if closing:
+            now.end(tag)
+        elif tag in MUTE:
+            buf.append((" ", False))
+            if not closed_after(tag, pos):
+                if tag in RAW[:2]:
                     break
-        mask |= _mask(tag, attrs)
-        stack.append((tag, mask))
-        depth_a += tag == "a"
+                hush = True
+            elif tag in RAW:
+                pos = _ends(tag).search(page, pos).end()
+            else:
+                now.push(tag, 0)
+        elif tag in VOID:
+            if tag == "br":
+                say(" ")
+        else:
+            if tag in BLOCK:
+                now.begin_block(tag)
+            now.push(tag, _mask(tag, attrs))
     flush()
     return out

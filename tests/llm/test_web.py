@@ -107,3 +107,20 @@ def test_files_round_trip(spark, tmp_path):
 
 def test_plain_text_decodes():
     assert W.plain_text("<p>a&amp;b</p><p>c<b>d</b></p>") == "a&b\ncd" and html.unescape("&lt;") == "<"
+
+
+def test_elements_without_end_take_no_blocks_with_them():
+    texts = lambda h: [b.text for b in B.blocks(h)]
+    for tag in "button svg object select title canvas textarea template noscript iframe".split():
+        got = texts(f"<article><p>first para</p><{tag}>x<p>second para</p></article><p>third</p>")
+        assert [t for t in got if t != "x"] == ["first para", "second para", "third"], tag
+        assert texts(f"<p>a <{tag}>x</{tag}> b</p>") == (["a x b"] if tag in ("object", "canvas") else ["a b"]), tag
+    assert texts("<p>a<button>x<p>b</p><button>y</button><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><button><div>x</div></button><p>b</p>") == ["a", "b"]
+    assert texts("<p>a</p><script>x<p>y</p>") == ["a"] and texts("<p>a</p><SCRIPT>x</p></Script ><p>y</p>") == ["a", "y"]
+
+
+def test_ancestors_end_under_many_open_elements():
+    for n in (5, 250, 5000):
+        one, two = B.blocks("<nav>" + "<b>" * n + "x</nav><article>y</article>")
+        assert one.mask == B.blocks("<nav>x</nav>")[0].mask and two.mask == B.blocks("<article>y</article>")[0].mask
