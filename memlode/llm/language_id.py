@@ -42,19 +42,23 @@ def _letter_table() -> np.ndarray:
 
 
 def slots(text: str | None) -> np.ndarray | None:
-    """Which slots a whole text fills (bool, DIM long); None without a letter."""
+    """Which slots a whole text fills (bool, DIM long); None without a letter.
+
+    Long texts go in pieces that carry the last codes over, so the grams at the seams are those of the whole.
+    """
     if not text:
         return None
     out, letters, any_letter = np.zeros(DIM, bool), _letter_table(), False
-    for at in range(0, len(text), _PIECE):  # pieces share the grams at their seams
-        codes = np.frombuffer(text[max(0, at - GRAMS + 1) : at + _PIECE].lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    low, carry = text.lower(), np.full(1, 32, np.uint64)
+    for at in range(0, len(low), _PIECE):
+        codes = np.frombuffer(low[at : at + _PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
         is_letter = letters[codes]
-        if not is_letter.any():
-            continue
-        any_letter = True
-        c = np.where(is_letter, codes, 32).astype(np.uint64)
+        any_letter = any_letter or bool(is_letter.any())
+        end = [np.uint64(32)] if at + _PIECE >= len(low) else []
+        c = np.r_[carry, np.where(is_letter, codes, 32).astype(np.uint64), end].astype(np.uint64)
         gap = c == 32
-        c = np.r_[np.uint64(32), c[~(gap & np.r_[True, gap[:-1]])], np.uint64(32)]
+        c = c[~(gap & np.r_[False, gap[:-1]])]
+        carry = c[1 - GRAMS :]
         h = np.zeros(len(c), np.uint64)
         for n in range(GRAMS):
             if len(c) <= n:
