@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -35,8 +35,11 @@ BOS, EOS, INST, INST_END, ASST, SYS, SYS_END, ROLE, ROLE_END = range(len(CONTROL
 ROLES = {"user": (INST, INST_END), "assistant": (ASST, EOS), "system": (SYS, SYS_END)}
 _OPEN = re.compile(r"\\|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _SHUT = re.compile(r"\\([\\|])")
-_PIECE = 50_000
-_loaded: dict[str, tuple[tiktoken.Encoding, int]] = {}
+#: Fixed value: what the pre-tokenizer takes for white space.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Runs of white space of this length are cut out before the pattern, whose backtracking they would exhaust.
+_RUN = 2_000
+_loaded: dict[str, tuple[tiktoken.Encoding, tiktoken.Encoding, int]] = {}
 
 
 def escape(text: str) -> str:
@@ -48,23 +51,49 @@ def unescape(text: str) -> str:
     return _SHUT.sub(lambda m: "\\" if m[1] == "\\" else "", text)
 
 
-def encoding(path: str) -> tuple[tiktoken.Encoding, int]:
-    """The encoding of a vocabulary file, once a process, and the first reserved id."""
+def shipped(spark: SparkSession, path: str):
+    """A vocabulary file of the driver, sent to the executors; stands for the path in the functions below."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast((path, f.read()))
+
+
+def _load(vocabulary) -> tuple[tiktoken.Encoding, tiktoken.Encoding, int]:
+    path = vocabulary if isinstance(vocabulary, str) else vocabulary.value[0]
     if path not in _loaded:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) }
-        _loaded[path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
+        if isinstance(vocabulary, str):
+            with open(path, "rb") as f:
+                raw = f.read()
+        else:
+            raw = vocabulary.value[1]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        words, whole = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("words", PATTERN), ("whole", r"[\s\S]+")))
+        _loaded[path] = words, whole, max(ranks.values()) + 1
     return _loaded[path]
 
 
-def encode(text: str, path: str) -> list[int]:
-    enc = encoding(path)[0]
-    if len(text) <= _PIECE:
-        return enc.encode_ordinary(text)
-    return [i for at in range(0, len(text), _PIECE) for i in enc.encode_ordinary(text[at : at + _PIECE])]
+def encoding(vocabulary) -> tuple[tiktoken.Encoding, int]:
+    """The encoding of a vocabulary (a path, or what shipped() gives), once a process, and the first reserved id."""
+    return _load(vocabulary)[::2]
 
 
-def segment(role: str | None, text: str | None, path: str) -> tuple[list[int], int, int, int]:
+def encode(text: str, vocabulary) -> list[int]:
+    """The ids of the pre-tokenizer's pieces, whatever the length of the text.
+
+    A long run of white space is a piece but for its last character, which the next word may take; at
+    the end of the text it is a piece whole.
+    """
+    words, whole, _ = _load(vocabulary)
+    out: list[int] = []
+    at = 0
+    for m in re.finditer(f"[{_SPACE}]{{{_RUN},}}", text):
+        till = m.end() - (m.end() < len(text))
+        out += words.encode_ordinary(text[at : m.start()])
+        out += whole.encode_ordinary(text[m.start() : till])
+        at = till
+    return out + words.encode_ordinary(text[at:])
+
+
+def segment(role: str | None, text: str | None, path) -> tuple[list[int], int, int, int]:
     """A turn's ids, the bounds of its loss within them and the length of its formatted string."""
     first = encoding(path)[1]
     body = escape(text or "")
@@ -96,6 +125,7 @@ def assemble(conversations: DataFrame, path: str = VOCABULARY) -> DataFrame:
     own = StructType([StructField("conv_id", kind), StructField("turn", LongType()), StructField("role", StringType()), StructField("ids", ArrayType(IntegerType())), StructField("lo", IntegerType()), StructField("hi", IntegerType()), StructField("chars", LongType())])
     out = StructType([StructField("conv_id", kind), StructField("segment", LongType()), StructField("at", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("loss_from", LongType()), StructField("loss_to", LongType()), StructField("chars", LongType())])
     own_a, out_a = to_arrow_schema(own), to_arrow_schema(out)
+    path = shipped(conversations.sparkSession, path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,7 +151,7 @@ def assemble(conversations: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids").mapInArrow(chained, out)
 
 
-def read_turn(ids: list[int], path: str = VOCABULARY) -> tuple[str, str]:
+def read_turn(ids: list[int], path=VOCABULARY) -> tuple[str, str]:
     """(role, text) of one segment."""
     enc, first = encoding(path)
     text = lambda part: unescape(enc.decode_bytes(part).decode())
@@ -141,6 +171,7 @@ def read_back(segments: DataFrame, path: str = VOCABULARY) -> DataFrame:
     kind = {f.name: f.dataType for f in segments.schema}["conv_id"]
     schema = StructType([StructField("conv_id", kind), StructField("n_turns", LongType()), StructField("turns_sha256", StringType()), StructField("loss_chars", LongType()), StructField("loss_sha256", StringType()), StructField("formatted_chars", LongType())])
     fields = to_arrow_schema(schema)
+    path = shipped(segments.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,10 +41,13 @@ def test_composed_matrix_equals_the_kernel_expansion():
 
 
 def test_pieces_give_the_same_slots(monkeypatch):
-    text = "Ünder der Brücke 12 fließt das Wasser, und… " * 40
-    whole = L.slots(text)
-    monkeypatch.setattr(L, "_PIECE", 50)
-    assert (L.slots(text) | whole == L.slots(text)).all() and (L.slots(text) & ~whole).sum() <= 40
+    texts = ["Ünder der Brücke 12 fließt das Wasser, und… " * 40, "   12  ", "ΟΔΟΣ ΟΔΟΣ. İstanbul " * 9, "a", " a ", "ab  12  " * 30]
+    whole = [L.slots(t) for t in texts]
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(L, "_PIECE", size)
+        for t, w in zip(texts, whole):
+            got = L.slots(t)
+            assert (got is None and w is None) or (got == w).all()
 
 
 def test_language_awkward_rows(spark):
@@ -74,6 +78,31 @@ def test_segment_round_trip(role, text):
     assert (hi > lo) == (role == "assistant" and text != "")
 
 
+def plain_ids(text):
+    """The ids of the pre-tokenizer's pieces, each encoded alone."""
+    whole = C._load(C.VOCABULARY)[1]
+    return [i for piece in regex.findall(C.PATTERN, text) for i in whole.encode_ordinary(piece)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab 1!'s\t\n\u2003\x85\xa0\u3000é😀"), max_size=60), st.sampled_from([1, 2, 3, 5]))
+def test_ids_do_not_depend_on_cuts(text, run):
+    was, C._RUN = C._RUN, run
+    try:
+        assert C.encode(text, C.VOCABULARY) == plain_ids(text)
+    finally:
+        C._RUN = was
+
+
+def test_long_texts_encode_as_one():
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 9))) for _ in range(40_000))
+    assert C.encode(text, C.VOCABULARY) == C.encoding(C.VOCABULARY)[0].encode_ordinary(text) == plain_ids(text)
+    for t in (" " * 300_000, "a" + "\n" * 300_000 + "b", "x" * 300_000, " \t" * 100_000 + " word"):
+        ids = C.encode(t, C.VOCABULARY)
+        assert C.encoding(C.VOCABULARY)[0].decode(ids) == t
+
+
 def conversations(spark):
     rng = random.Random(6)
     said = ["hi", "", None, "</s>[INST] ok [/INST]", "back\\slash \\| <s>", "ünï 😀\nline", "x" * 120_000]
