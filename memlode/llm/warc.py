@@ -3,20 +3,30 @@
 Each response gives a ``conversion`` record (its text) and a ``metadata`` record (a JSON envelope with
 the source's headers, digests, title and links).  Both refer to the response by its record id and
 repeat its target URI and date; digests are SHA-1 in base 32 as WARC files write them.  One row in,
-two rows out, without a shuffle.
+two rows out, without a shuffle.  A response that is neither text nor without a type gives its metadata
+only.
+
+Files are read as streams, record by record: gzip members one after the other, and after a broken member
+or record from the next one on.  They are written with one gzip member a record.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html as _html
 import json
 import re
-from collections.abc import Iterator
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -33,6 +43,15 @@ _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 _LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+_META = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+_TEXT_TYPE = re.compile(r"text/|application/(?:[\w.-]+\+)?(?:xml|xhtml|json)\b|application/xhtml", re.I)
+_CHUNK = re.compile(rb"(?:\r\n)?([0-9A-Fa-f]{1,8})[^\r\n]*\r\n")
+_GZIP = b"\x1f\x8b\x08"
+_READ, _STEP, _HEAD, _BATCH_BYTES, _HOLD = 1 << 20, 1 << 16, 1 << 20, 32 << 20, 64 << 20
+_WHOLE, _BROKEN = object(), object()
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -68,82 +87,240 @@ def from_pages(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def _headers(block: bytes) -> dict[str, str]:
+    """Header lines after the first; a line that starts with a blank continues the one before."""
     out: dict[str, str] = {}
-    for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
+    last = None
+    for line in block.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+            continue
         name, sep, value = line.partition(":")
         if sep:
-            out[name.strip()] = value.strip()
+            last = name.strip()
+            out[last] = value.strip()
     return out
 
 
+class _Window:
+    """Bytes of a file by their place; a part of it stays in memory."""
+
+    def __init__(self, f: BinaryIO):
+        self.f, self.base, self.held = f, 0, b""
+
+    def at(self, place: int) -> bytes:
+        """Some bytes from a place on; none at the end of the file."""
+        if not self.base <= place < self.base + len(self.held):
+            self.f.seek(place)
+            self.base, self.held = place, self.f.read(_READ)
+        return self.held[place - self.base : place - self.base + _STEP]
+
+    def find(self, mark: bytes, place: int) -> int:
+        """The next place of a mark, -1 if there is none."""
+        tail = b""
+        while part := self.at(place):
+            if (got := (tail + part).find(mark)) >= 0:
+                return place - len(tail) + got
+            tail = (tail + part)[1 - len(mark) :]
+            place += len(part)
+        return -1
+
+
+def _chunks(f: BinaryIO) -> Iterator:
+    """The bytes of a plain or gzipped file, with ``_WHOLE`` or ``_BROKEN`` after each gzip member and each piece of a plain file."""
+    w, place = _Window(f), 0
+    if not w.at(0).startswith(_GZIP):
+        while part := w.at(place):
+            place += len(part)
+            yield part
+            yield _WHOLE
+        return
+    start = 0
+    while start >= 0:
+        z, place = zlib.decompressobj(31), start
+        try:
+            while not z.eof and (part := w.at(place)):
+                place += len(part)
+                yield z.decompress(part)
+        except zlib.error:
+            pass
+        if z.eof:
+            yield _WHOLE
+            start = w.find(_GZIP, place - len(z.unused_data))
+        else:
+            yield _BROKEN
+            start = w.find(_GZIP, start + 1)
+
+
+def records(f: BinaryIO) -> Iterator[dict]:
+    """The records of a WARC file (gzip members or plain) as headers and block.
+
+    A record without a length, cut short, or in a broken gzip member is left out; reading goes on at the
+    next start of a record.  Records are held until their member has proved whole; of a member that holds
+    more than ``_HOLD`` bytes of them, the first are given before.
+    """
+    chunks = _chunks(f)
+    buf, held, size, ready = bytearray(), [], 0, False
+
+    def more() -> bool:
+        nonlocal ready, size
+        got = next(chunks, None)
+        if got is _BROKEN:
+            buf.clear(), held.clear()
+            size = 0
+        elif got is _WHOLE:
+            ready = True
+        elif got is not None:
+            buf.extend(got)
+        return got is not None
+
+    while True:
+        if ready or size > _HOLD:
+            yield from held
+            held.clear()
+            size, ready = 0, False
+        at = buf.find(b"WARC/")
+        if at < 0:
+            del buf[: max(0, len(buf) - 4)]
+            if not more():
+                return
+            continue
+        del buf[:at]
+        stop = buf.find(b"\r\n\r\n")
+        if stop < 0 and len(buf) < _HEAD and more():
+            continue
+        head = _headers(bytes(buf[: max(0, stop)]))
+        length = head.get("Content-Length", "")
+        if not length.isdecimal():
+            del buf[:5]
+            continue
+        till = stop + 4 + int(length)
+        if len(buf) < till and more():
+            continue
+        if len(buf) >= till:
+            held.append({"headers": head, "block": bytes(buf[stop + 4 : till])})
+            size += till
+            del buf[:till]
+        else:
+            del buf[:5]
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file (gzip members or plain): headers and block.  Stops at a broken record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    pos = 0
-    while (pos := data.find(b"WARC/", pos)) >= 0:
-        stop = data.find(b"\r\n\r\n", pos)
-        if stop < 0:
-            return
-        head = _headers(data[pos:stop])
-        if not head.get("Content-Length", "").isdigit():
-            return
-        size = int(head["Content-Length"])
-        yield {"headers": head, "block": data[stop + 4 : stop + 4 + size]}
-        pos = stop + 4 + size
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response records (RESPONSE) of all WARC files under ``path``; a file is one task's work."""
+    """records() of bytes."""
+    import io
+
+    return records(io.BytesIO(data))
+
+
+def open_file(path: str) -> BinaryIO:
+    """Opens, for reading at any place, a file of any file system that Arrow knows, by its URI."""
+    fs, name = pyarrow.fs.FileSystem.from_uri(path)
+    return fs.open_input_file(name)
+
+
+def read_warc(spark: SparkSession, path: str, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
+    """The response records (RESPONSE) of all WARC files under ``path``; a file is one task's stream.
+
+    Spark lists the files; ``opener`` opens one on an executor, where Arrow does not know the file system.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["record_id", "target_uri", "date", "warc_headers", "http_headers", "payload"]
         for f in frames:
-            for content in f["content"]:
-                rows = []
-                for r in parse(content):
-                    h = r["headers"]
-                    if h.get("WARC-Type") == "response":
-                        http, _, body = r["block"].partition(b"\r\n\r\n")
-                        rows.append((h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), json.dumps(h, sort_keys=True), http.decode("utf-8", "replace") + "\r\n\r\n", body))
-                yield pd.DataFrame(rows, columns=["record_id", "target_uri", "date", "warc_headers", "http_headers", "payload"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RESPONSE)
+            for name in f["path"]:
+                rows, size = [], 0
+                with opener(name) as stream:
+                    for r in records(stream):
+                        h = r["headers"]
+                        if h.get("WARC-Type") == "response":
+                            http, _, body = r["block"].partition(b"\r\n\r\n")
+                            rows.append((h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), json.dumps(h, sort_keys=True), http.decode("utf-8", "replace") + "\r\n\r\n", body))
+                            size += len(body)
+                        if size > _BATCH_BYTES:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, size = [], 0
+                yield pd.DataFrame(rows, columns=names)
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(max(1, files.count())).mapInPandas(run, RESPONSE)
+
+
+def body_of(http: dict[str, str], raw: bytes) -> bytes:
+    """The body without chunked transfer and gzip or deflate encoding; as it is where these do not hold."""
+    low = {k.lower(): v.lower() for k, v in http.items()}
+    if "chunked" in low.get("transfer-encoding", ""):
+        out, at = [], 0
+        while (m := _CHUNK.match(raw, at)) and (n := int(m[1], 16)):
+            out.append(raw[m.end() : m.end() + n])
+            at = m.end() + n
+        raw = b"".join(out) if out else raw
+    kind = low.get("content-encoding", "")
+    for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(kind, ()):
+        try:
+            return zlib.decompressobj(bits).decompress(raw)
+        except zlib.error:
+            continue
+    return raw
+
+
+def decode(content_type: str, raw: bytes) -> str:
+    """The text of a body: by its byte order mark, the charset of its header, that of a meta tag, else UTF-8."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+        if raw.startswith(mark):
+            return raw[len(mark) :].decode(name, "replace")
+    head, meta = _CHARSET.search(content_type), _META.search(raw[:2048])
+    name = head[1] if head else meta[1].decode("ascii", "replace") if meta else "utf-8"
+    name = {"iso-8859-1": "cp1252", "latin1": "cp1252", "latin-1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252"}.get(name.lower(), name)
+    try:
+        return raw.decode(name, "replace")
+    except (LookupError, ValueError):  # an unknown charset, or a codec that is none of text
+        return raw.decode("utf-8", "replace")
+
+
+def _json(text: str | None) -> object:
+    try:
+        return json.loads(text) if text else {}
+    except ValueError:
+        return {"Malformed": text}
 
 
 def derive_one(rid: str | None, uri: str | None, date: str | None, warc: str | None, http: str | None, payload: bytes | None) -> list[tuple]:
-    """The conversion and the metadata record of a response, as (type, id, refers_to, uri, date, content type, source digest, block)."""
+    """The conversion (if the response is text) and the metadata record, as (type, id, refers_to, uri, date, content type, source digest, block)."""
     raw = bytes(payload or b"")
-    page = raw.decode("utf-8", "replace")
-    source = digest(raw)
-    text = plain_text(page)
-    title = _TITLE.search(page)
     http = http or ""
+    headers = _headers(http.encode("utf-8", "replace"))
+    kind = next((v for k, v in headers.items() if k.lower() == "content-type"), "")
+    plain, is_text = kind.lower().startswith("text/plain"), not kind or bool(_TEXT_TYPE.match(kind.strip()))
+    page = decode(kind, body_of(headers, raw)) if is_text else ""
+    source = digest(raw)
+    title = None if plain else _TITLE.search(page)
     envelope = {
         "Envelope": {
-            "WARC-Header-Metadata": json.loads(warc) if warc else {},
+            "WARC-Header-Metadata": _json(warc),
             "Payload-Metadata": {
                 "HTTP-Response-Metadata": {
                     "Response-Message": http.split("\r\n", 1)[0],
-                    "Headers": _headers(http.encode()),
-                    "HTML-Metadata": {"Title": " ".join(_html.unescape(title[1]).split()) if title else "", "Links": links(page)},
+                    "Headers": headers,
+                    "HTML-Metadata": {"Title": " ".join(_html.unescape(title[1]).split()) if title else "", "Links": [] if plain else links(page)},
                     "Entity-Length": len(raw),
                     "Entity-Digest": source,
                 },
-                "Block-Digest": digest(http.encode() + raw),
+                "Block-Digest": digest(http.encode("utf-8", "replace") + raw),
             },
         },
-        "Conversion": {"WARC-Record-ID": record_id(rid, "conversion"), "WARC-Block-Digest": digest(text.encode())},
     }
-    return [
-        ("conversion", record_id(rid, "conversion"), rid, uri, date, "text/plain", source, text),
-        ("metadata", record_id(rid, "metadata"), rid, uri, date, "application/json", source, json.dumps(envelope, ensure_ascii=False, sort_keys=True)),
-    ]
+    out = []
+    if is_text:
+        text = "\n".join(line for x in page.splitlines() if (line := " ".join(x.split()))) if plain else plain_text(page)
+        envelope["Conversion"] = {"WARC-Record-ID": record_id(rid, "conversion"), "WARC-Block-Digest": digest(text.encode("utf-8", "replace"))}
+        out.append(("conversion", record_id(rid, "conversion"), rid, uri, date, "text/plain", source, text))
+    return [*out, ("metadata", record_id(rid, "metadata"), rid, uri, date, "application/json", source, json.dumps(envelope, ensure_ascii=False, sort_keys=True))]
 
 
 def derive(responses: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Two rows for each response row; columns named in ``carry`` are passed on.
+    """Two rows for each response row (one where it is not text); columns named in ``carry`` are passed on.
 
     Null payload is empty: the conversion is '' and the metadata has no links.  Other nulls stay null;
-    repeated responses give repeated records with equal ids.
+    repeated responses give repeated records with equal ids.  WARC headers that are no JSON stand in the
+    metadata as they are; bytes that no charset reads become U+FFFD.
     """
     carry = carry or []
     names = ["record_id", "target_uri", "date", "warc_headers", "http_headers", "payload"]
@@ -157,7 +334,7 @@ def derive(responses: DataFrame, carry: list[str] | None = None) -> DataFrame:
             out = f[[k.name for k in kept]].iloc[[i for i, _ in got]].reset_index(drop=True)
             for k, c in enumerate(own):
                 out[c] = [r[k] for _, r in got]
-            raw = [r[7].encode() for _, r in got]
+            raw = [r[7].encode("utf-8", "replace") for _, r in got]
             out["block_digest"], out["content_length"] = [digest(b) for b in raw], [len(b) for b in raw]
             yield out
 
@@ -171,9 +348,33 @@ def serialised(records: DataFrame) -> DataFrame:
     return records.withColumn("record", F.concat(head, F.lit("\r\n\r\n"), F.col("block")))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Writes derivative records as gzipped WARC files, one for each partition, by Spark's own writer."""
-    serialised(records).select("record").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def write_warc(records: DataFrame, path: str) -> DataFrame:
+    """Writes derivative records as WARC files, one for each partition: a warcinfo record and the records, each
+    a gzip member.  Returns (file, records, bytes) of what was written.
+
+    A task writes under a name of its own and moves the file when it is whole, so repeated attempts
+    leave one file of the same records.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}.warc.gz"
+        temp = f"{root}/.{name}.{uuid.uuid4().hex}"
+        n = 0
+        with fs.open_output_stream(temp, compression=None) as out:
+            info = b"software: memlode\r\nformat: WARC File Format 1.0\r\n"
+            out.write(gzip.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: %s\r\nWARC-Filename: %s\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (record_id("warcinfo", name).encode(), name.encode(), len(info), info), mtime=0))
+            for f in frames:
+                for record in f["record"]:
+                    out.write(gzip.compress(record.encode("utf-8", "replace") + b"\r\n\r\n", mtime=0))
+                    n += 1
+            size = out.tell()
+        fs.move(temp, f"{root}/{name}")
+        yield pd.DataFrame({"file": [name], "records": [n], "bytes": [size]})
+
+    done = serialised(records).select("record").mapInPandas(run, "file string, records long, bytes long")
+    rows = done.collect()  # one row a file
+    return records.sparkSession.createDataFrame(rows, done.schema)
 
 
 def op4_warc_derivatives(spark, sf_dir) -> DataFrame:

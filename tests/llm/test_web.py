@@ -1,4 +1,6 @@
+import gzip
 import html
+import html.parser
 import json
 
 import pytest
@@ -87,24 +89,127 @@ def test_derivatives_link_back(spark):
 
 def test_files_round_trip(spark, tmp_path):
     d = spark.createDataFrame([(1, "http://a/", PAGE), (2, "http://b/", "<p>two</p>")], "page_id long, url string, html string").coalesce(1)
-    records = W.derive(W.from_pages(d))
-    W.write_warc(records, str(tmp_path / "out"))
-    files = [p for p in (tmp_path / "out").iterdir() if p.suffix == ".gz"]
+    out = W.derive(W.from_pages(d))
+    done = W.write_warc(out, f"file://{tmp_path}/out").collect()
+    files = [p for p in (tmp_path / "out").iterdir() if p.suffix == ".gz" and not p.name.startswith(".")]
+    assert [(r.file, r.records, r.bytes) for r in done] == [(p.name, 4, p.stat().st_size) for p in files]
     got = [r for f in files for r in W.parse(f.read_bytes())]
-    want = {r.derived_id: r for r in records.collect()}
+    want = {r.derived_id: r for r in out.collect()}
+    assert [r["headers"]["WARC-Type"] for r in got].count("warcinfo") == len(files) and files[0].read_bytes().count(W._GZIP) >= 5
+    got = [r for r in got if r["headers"]["WARC-Type"] != "warcinfo"]
     assert {r["headers"]["WARC-Record-ID"] for r in got} == set(want)
     for r in got:
         w = want[r["headers"]["WARC-Record-ID"]]
         assert r["block"].decode() == w.block and r["headers"]["WARC-Refers-To"] == w.refers_to and r["headers"]["WARC-Block-Digest"] == W.digest(r["block"])
-    body = b"<p>hello</p>"
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
-    raw = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://c/\r\nWARC-Date: 2024-02-02T00:00:00Z\r\nContent-Length: %d\r\n\r\n" % (len(http) + len(body)) + http + body + b"\r\n\r\n"
-    (tmp_path / "in.warc").write_bytes(raw)
+    (tmp_path / "in.warc").write_bytes(response("1", b"<p>hello</p>"))
     one = W.read_warc(spark, str(tmp_path / "in.warc")).collect()
-    assert len(one) == 1 and bytes(one[0].payload) == body and one[0].record_id == "<urn:uuid:1>"
+    assert len(one) == 1 and bytes(one[0].payload) == b"<p>hello</p>" and one[0].record_id == "<urn:uuid:1>"
     assert [r.block for r in W.derive(W.read_warc(spark, str(tmp_path / "in.warc"))).collect() if r.record_type == "conversion"] == ["hello"]
 
 
+def response(name, body, kind="text/html", extra=b"", length=True):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: " + kind.encode() + b"\r\n" + extra + b"\r\n"
+    size = b"Content-Length: %d\r\n" % (len(http) + len(body)) if length else b""
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:" + name.encode() + b">\r\nWARC-Target-URI: http://c/\r\nWARC-Date: 2024-02-02T00:00:00Z\r\n" + size + b"\r\n" + http + body + b"\r\n\r\n"
+
+
+def names(data):
+    return [r["headers"]["WARC-Record-ID"][10:-1] for r in W.parse(data)]
+
+
+def test_broken_files_lose_the_broken_records_only(spark, tmp_path, monkeypatch):
+    one, two, three = (gzip.compress(response(n, rng_bytes(n))) for n in "abc")
+    plain = [response(n, rng_bytes(n)) for n in "abc"]
+    bad = two[: len(two) // 2] + bytes(40) + two[len(two) // 2 + 40 :]
+    for read in (1 << 20, 97, 1000):
+        monkeypatch.setattr(W, "_READ", read)
+        monkeypatch.setattr(W, "_STEP", min(W._STEP, read))
+        assert names(one + two + three) == ["a", "b", "c"] and names(one + two + three[:-30]) == ["a", "b"]
+        assert names(one + bad + three) == ["a", "c"] and names(one + two[: len(two) // 2] + three) == ["a", "c"]
+        assert names(b"".join(plain)) == ["a", "b", "c"] and names(plain[0] + plain[1][:-100]) == ["a"]
+        assert names(plain[0] + response("x", b"y", length=False) + plain[2]) == ["a", "c"]
+        assert names(b"") == names(b"no warc") == names(b"\x1f\x8b") == names(b"\x1f\x8b\x08" + bytes(50)) == []
+        got = list(W.parse(one + two))
+        assert got[1]["block"].endswith(rng_bytes("b"))
+    monkeypatch.undo()
+    (tmp_path / "x.warc.gz").write_bytes(one + bad + three)
+    (tmp_path / "y.warc.gz").write_bytes(one + two[:-20])
+    rows = W.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r.record_id for r in rows) == ["<urn:uuid:a>", "<urn:uuid:a>", "<urn:uuid:c>"]
+
+
+def rng_bytes(seed):
+    import random
+
+    return random.Random(seed).randbytes(5000).hex().encode()
+
+
+@pytest.mark.parametrize(("kind", "body", "extra", "want"), [
+    ("text/html; charset=iso-8859-1", "<p>café</p>".encode("latin-1"), b"", "café"),
+    ("text/html", '<meta charset="windows-1251"><p>мир</p>'.encode("cp1251"), b"", "мир"),
+    ("text/html", '<meta http-equiv="Content-Type" content="text/html; charset=shift_jis"><p>日本</p>'.encode("shift_jis"), b"", "日本"),
+    ("text/html", "<p>mark</p>".encode("utf-16"), b"", "mark"),
+    ("text/html; charset=nonsense", "<p>é</p>".encode(), b"", "é"),
+    ("text/html; charset=base64", "<p>é</p>".encode(), b"", "é"),
+    ("text/html", gzip.compress(b"<p>packed</p>"), b"Content-Encoding: gzip\r\n", "packed"),
+    ("text/html", b"5\r\n<p>ab\r\n6\r\ncd</p>\r\n0\r\n\r\n", b"Transfer-Encoding: chunked\r\n", "abcd"),
+    ("text/plain", b"a < b\n\n  c <p>", b"", "a < b\nc <p>"),
+    ("image/png", b"\x89PNG", b"", None),
+])
+def test_bodies_are_decoded(kind, body, extra, want):
+    r = next(W.parse(response("1", body, kind, extra)))
+    http, _, payload = r["block"].partition(b"\r\n\r\n")
+    got = W.derive_one("<r>", "u", "d", json.dumps(r["headers"]), http.decode() + "\r\n\r\n", payload)
+    assert [x[7] for x in got if x[0] == "conversion"] == ([] if want is None else [want])
+    meta = json.loads(got[-1][7])
+    assert got[-1][6] == W.digest(payload) and ("Conversion" in meta) == (want is not None)
+
+
+def test_headers_that_are_no_json():
+    got = W.derive_one("<r>", None, None, "{not json", None, b"<p>\xff\xfe</p>")
+    assert json.loads(got[-1][7])["Envelope"]["WARC-Header-Metadata"] == {"Malformed": "{not json"}
+
+
+class Visible(html.parser.HTMLParser):
+    """A brute-force conversion by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.hidden = [""], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "title"):
+            self.hidden.append(tag)
+        elif W._BREAK.fullmatch(f"<{tag}>"):
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.pop()
+            self.lines[-1] += " "
+        elif W._BREAK.fullmatch(f"</{tag}>"):
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.lines[-1] += data
+
+    def text(self):
+        return "\n".join(x for line in self.lines if (x := " ".join(line.split())))
+
+
+def test_conversions_match_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.block for r in W.derive(W.from_pages(pages), ["page_id"]).where("record_type = 'conversion'").collect()}
+    rows = pages.collect()
+    for r in rows:
+        v = Visible()
+        v.feed(r.html or "")
+        v.close()
+        assert got[r.page_id] == v.text(), r.page_id
+    assert len(got) == len(rows) > 100
+
+
 def test_plain_text_decodes():
     assert W.plain_text("<p>a&amp;b</p><p>c<b>d</b></p>") == "a&b\ncd" and html.unescape("&lt;") == "<"
 
