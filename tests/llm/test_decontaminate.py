@@ -28,14 +28,14 @@ def cases():
     return items, docs + [items[0], items[3], None]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 1500])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1500, 400])
 def test_brute_force(spark, block_bytes):
     items, docs = cases()
     want = set()
     for i, d in enumerate(docs):
-        own = plain(d)
         for j, t in enumerate(items):
             s = plain(t)
+            own = plain(d, min(5, len((t or "").split()) or 5))
             if s and len(s & own) / len(s) >= 0.8:
                 want.add((i, j, round(len(s & own) / len(s), 9)))
     a = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
@@ -46,6 +46,27 @@ def test_brute_force(spark, block_bytes):
     assert kept == set(range(len(docs))) - {w[0] for w in want}
 
 
+def test_short_items_inside_long_texts():
+    find = D.Searcher(["four word test item", "one", "two words", "five words are a shingle"])
+    text = "A sentence with a four-word test item in it; it has two words more. " * 3
+    assert find.search(text.encode()) == [(0, 1.0), (2, 1.0)] and find.search(b"One!") == [(1, 1.0)] and find.search(b"item four word test") == []
+
+
+def test_sketches_prune_and_lose_nothing():
+    rng = random.Random(5)
+    items = [" ".join(f"i{j}w{rng.randrange(50)}" for _ in range(rng.choice((8, 20, 60, 300)))) for j in range(60)]
+    find = D.Searcher(items)
+    for j, t in enumerate(items):
+        w = t.split()
+        n = len(find.shingles(j))
+        for cut in range(0, len(w), max(1, len(w) // 12)):
+            text = " ".join(["before", *w[cut:], "after"]).encode()
+            share = len(set(find._shingles(w[cut:] and [x.encode() for x in w[cut:]])) & set(find.shingles(j))) / n if len(w) - cut >= 5 else 0
+            assert (share >= 0.8) == (j in [i for i, _ in find.search(text)])
+            assert share >= 0.5 or j not in find.candidates(text)  # far from contained: no candidate
+    assert all(p[1].size <= sum(len(find.shingles(j)) for j in range(60)) for p in find.partitions)
+
+
 def test_a_text_in_pieces(monkeypatch):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     text = ("filler words " * 40 + item + " more words" * 40).encode()
