@@ -41,9 +41,11 @@ SECRET, SECRET_HAS, SECRET_KINDS = "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}+", ("[0
 SUPPORT, CHANCE = 3, 0.05
 #: Stands for the characters of base matches while terms are looked for.
 FILL = "\uFFFC"
-#: Separates words of a bare text; characters that a term starts and ends with, and others.
-SPLIT = f"[\\x20\\x09-\\x0D{FILL}]+"
+#: Characters that separate words of a bare text; characters that a term starts and ends with, and others.
+SPLIT = f"\\x20\\x09-\\x0D{FILL}"
 INNER, OUTER = "[\\p{L}\\p{M}\\p{N}]", "[^\\p{L}\\p{M}\\p{N}]"
+#: What is between terms: others at either end and around separators.  Taken from the start of a run, so once.
+BETWEEN = f"(?<![^\\p{{L}}\\p{{M}}\\p{{N}}{SPLIT}])[^\\p{{L}}\\p{{M}}\\p{{N}}{SPLIT}]*+(?:[{SPLIT}]{OUTER}*+|$)|^{OUTER}++"
 #: At the start of the name of a placeholder.
 HOLDER = "(?<=<)(?-i:EMAIL|IP|CARD|PHONE|SECRET)>"
 #: Near-duplicate classes: words a shingle, bands and MinHash values a band.
@@ -122,11 +124,7 @@ def _key(docs: DataFrame) -> list[Column]:
 
 def terms_of(text: Column) -> Column:
     """The distinct possible terms of a bare text: its words, from the first to the last letter, mark or digit of each."""
-    return F.array_distinct(F.array_remove(F.split(text, SPLIT), ""))
-
-
-def term(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, f"^{OUTER}++|{OUTER}++$", ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), BETWEEN), ""))
 
 
 def _let(value: Column, f) -> Column:
@@ -242,7 +240,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
         return None
     holders = scratch.keep(held.select("k_h").distinct())
     every = docs.select(_key(docs)[1], "text")
-    near = uses(every.join(scratch.broadcast_if_small(holders), "k_h", "left_semi")).distinct().join(scratch.broadcast_if_small(held), "k_h")
+    near = uses(every.join(scratch.broadcast_if_small(holders), "k_h", "left_semi")).join(scratch.broadcast_if_small(held), "k_h")
     both = scratch.keep(near.groupBy("entity", "n_c", "term").agg(F.countDistinct("class").alias("n_ct")).where(F.col("n_ct") >= support))
     pairs = both.count()
     if not pairs:
@@ -250,10 +248,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     # a share of ``discloses`` bounds n_t: terms of more classes than that need no further count
     most = F.max(F.col("n_ct") / F.col("n_c") * F.pow(F.col("n_c"), F.lit(discloses)) * F.lit(float(total) ** (1 - discloses)))
     bound = scratch.keep(both.groupBy("term").agg(most.alias("most")))
-    # at least so many classes: each counts once or, where only another of its texts has the term, not at all
+    # at least so many classes: each counts once or, where only another of its texts has the term, not at all;
+    # rows of one text share its count, so that nothing but sums by term is shuffled
+    copies = scratch.keep(found.groupBy(F.col("k_h").alias("node")).agg(F.count("*").alias("rows")).where("rows > 1"))
     roots = every.join(scratch.broadcast_if_small(classes), F.col("k_h") == F.col("node"), "left_anti")
-    few = uses(roots, scratch.broadcast_if_small(bound)).distinct().groupBy("term").agg(F.count("*").alias("n"))
-    wanted = scratch.keep(bound.join(few, "term", "left").where(F.coalesce("n", F.lit(0)) <= F.col("most") * 1.001).select("term"))
+    roots = roots.join(scratch.broadcast_if_small(copies), F.col("k_h") == F.col("node"), "left")
+    few = uses(roots.withColumn("part", 1 / F.coalesce("rows", F.lit(1))), scratch.broadcast_if_small(bound), "part").groupBy("term").agg(F.sum("part").alias("n"))
+    wanted = scratch.keep(bound.join(few, "term", "left").where(F.coalesce("n", F.lit(0.0)) <= F.col("most") * 1.001).select("term"))
     used = scratch.keep(with_class(uses(every, scratch.broadcast_if_small(wanted)).distinct(), classes))
     n_t = used.groupBy("term").agg(F.countDistinct("class").alias("n_t"))
     share = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t"))) / F.log2(F.lit(float(total)) / F.col("n_c"))
@@ -264,10 +265,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     return scratch.keep(used.join(scratch.broadcast_if_small(terms), "term").select("k_h", "term", "removed"))
 
 
-def uses(texts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(k_h, term): the terms of each text, of ``terms`` only if given."""
-    rows = bare(texts).select("k_h", terms_of(F.col("bare")).alias("ws")).select("k_h", F.explode_outer("ws").alias("w"))
-    rows = rows.select("k_h", term(F.col("w")).alias("term")).where(F.col("term") != "")
+def uses(texts: DataFrame, terms: DataFrame | None = None, *carry: str) -> DataFrame:
+    """(k_h, *carry, term): the terms of each text, of ``terms`` only if given."""
+    rows = bare(texts).select("k_h", *carry, terms_of(F.col("bare")).alias("ws")).select("k_h", *carry, F.explode_outer("ws").alias("term")).where("term is not null")
     return rows if terms is None else rows.join(terms, "term", "left_semi")
 
 

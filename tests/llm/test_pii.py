@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import regex
 from pyspark.sql import functions as F
 
 from memlode.llm import pii
@@ -194,6 +195,19 @@ def test_terms_match_brute_force(spark):
         assert (rows[i].n_term, rows[i].n_secret) == (hit, int(30 <= i < 60)) and rows[i].n_spans == len([s for s in rows[i].spans.split(",") if s])
 
 
+def test_words_of_a_text(spark):
+    """Terms are the words at white space, without what is no letter, mark or digit at their ends, lower-cased."""
+    rng = random.Random(2)
+    bits = ["a", "B", "é", "1", "e\u0301", "李", ".", "-", "'", " ", "  ", "\n", "\t", pii.FILL, "(", "\xa0", "😀"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(1500)] + ["!" * 2_000, "! " * 1_000, "a" + "." * 2_000 + "b", ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    for r in d.select("text", pii.terms_of(F.col("text")).alias("ws")).collect():
+        want = {w for x in re.split(f"[ \t-\r{pii.FILL}]+", r.text) if (w := regex.sub(r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "", x).lower())}
+        assert set(r.ws) == want and len(r.ws) == len(want), r.text[:80]
+    long = spark.createDataFrame([("!" * 300_000,), ("! " * 300_000,), ("a" + "." * 300_000 + "b",)], "text string")
+    assert [len(r.ws) for r in long.select(pii.terms_of(F.col("text")).alias("ws")).collect()] == [0, 0, 1]
+
+
 def test_secrets(spark):
     key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
     texts = [f'token = "{key}".', f"{key[:31]} short", "a1" * 40, "x" * 40, "9" * 40, f"{key}@example.org", f"AKIA-{key}_z"]
