@@ -3,9 +3,13 @@
 Sizes are words.  Targets come from weights by capped proportional sharing.  Each source is dealt by
 hash into shards of about ``shard_words``; equal-token blocks are apportioned to the shards of all
 sources by highest quotients target / (2 * blocks + 1), so every shard knows its integer quota.  In a
-shard the documents stand in seeded order on a ring of words; the quota covers the ring whole, once or
-twice, and then the blocks that follow a seeded start.  What a document gives is where those blocks
-overlap it, so a document's share never exceeds two copies and reruns agree.
+shard the documents stand in seeded order, a random permutation, and the blocks are cut along it; the
+quota takes the shard whole, once or twice, and then the first blocks of the order.  As neighbours in
+the order are unrelated that is a random selection, and one that takes documents whole: only the one
+in which the last block ends is cut, so blocks can be small and targets are met closely.
+
+What a document gives follows from its place before, at or after its shard's cut, a row a shard: texts
+meet that small table and are not shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_COPIES = 2
 BLOCK_TOKENS = 8
-SHARD_WORDS = 200_000
+SHARD_WORDS, SEED = 200_000, 17
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, share: float = SHARE, cap: float = MAX_COPIES) -> np.ndarray:
@@ -78,44 +82,58 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def allocate(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, block_tokens: int = BLOCK_TOKENS, shard_words: int = SHARD_WORDS, seed: int = 17):
-    """(sized, taken, info): sizes of all rows, words taken of each distinct row, and each source's size and target."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    key = [F.col("doc_id"), F.col("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
-    sized = scratch.keep(docs.select(*key, word_count(F.col("text")).alias("size")))
-    src = sized.groupBy("source").agg(F.sum("size").alias("words")).orderBy(F.asc_nulls_last("source")).collect()
+def _order(seed: int) -> F.Column:
+    """Where a row stands in its shard."""
+    return F.struct(F.xxhash64(F.lit(seed + 1), "doc_id", "mix_h").alias("r"), F.col("doc_id").alias("i"), F.col("mix_h").alias("h"))
+
+
+def _placed(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """``docs``, with the hash of its text as mix_h, and its source's columns of ``plan`` and its shard."""
+    out = docs.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("mix_src")), "left")
+    return out.withColumn("mix_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mix_h"), "mix_shards").cast("int"))
+
+
+def allocate(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, block_tokens: int = BLOCK_TOKENS, shard_words: int = SHARD_WORDS, seed: int = SEED):
+    """(plan, cuts) for rows (doc_id, source, mix_h, mix_size): each source's size, target and shards; each shard's
+    whole copies, the row in which its last block ends and the words that a row there gives."""
+    spark = sized.sparkSession
+    src = sized.groupBy("source").agg(F.sum("mix_size").alias("words")).orderBy(F.asc_nulls_last("source")).collect()
     names, size = [r.source for r in src], np.array([r.words for r in src], float)
     goal = targets(size, np.array([weights[i % len(weights)] for i in range(len(src))]), share) if src else size
     shards = [min(4096, 1 + int(s // shard_words)) for s in size]
     plan = spark.createDataFrame(
         [(i, n, int(s), float(g), k) for i, (n, s, g, k) in enumerate(zip(names, size, goal, shards))],
-        "s int, src string, source_size long, target double, shards int",
+        "mix_s int, mix_src string, mix_source_size long, mix_target double, mix_shards int",
     )
-    own = sized.join(plan, sized.source.eqNullSafe(plan.src)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h"), "shards").cast("int"))
-    cells = own.groupBy("s", "shard").agg(F.sum("size").alias("words")).orderBy("s", "shard").collect()
+    own = _placed(sized, plan, seed)
+    cells = own.groupBy("mix_s", "mix_shard").agg(F.sum("mix_size").alias("words")).orderBy("mix_s", "mix_shard").collect()
     words = np.array([r.words for r in cells], float)
-    of = np.array([r.s for r in cells], int)
+    of = np.array([r.mix_s for r in cells], int)
     want = goal[of] * words / np.maximum(size[of], 1) if len(cells) else words
     quota = apportion(want, round(want.sum() / block_tokens), np.floor(MAX_COPIES * words / block_tokens)) if len(cells) else words
-    rows = [(int(r.s), int(r.shard), int(r.words), int(q) * block_tokens) for r, q in zip(cells, quota)]
-    cell = spark.createDataFrame(rows, "s int, shard int, ring long, quota long")
-    keyed = own.groupBy("s", "shard", "doc_id", "h", "source", "size", "source_size", "target").agg(F.count("*").alias("n"))
-    order = W.partitionBy("s", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "h"), "doc_id", "h")
-    laid = keyed.join(cell, ["s", "shard"]).withColumn("end", F.sum(F.col("size") * F.col("n")).over(order))
-    laid = laid.withColumn("at", F.col("end") - F.col("size") * F.col("n"))
-    rest = F.col("quota") % F.col("ring")
-    first = F.pmod(F.xxhash64(F.lit(seed + 2), "s", "shard"), F.ceil(F.col("ring") / block_tokens)) * block_tokens
-
-    def overlap(lo, hi):
-        return F.greatest(F.lit(0), F.least("end", hi) - F.greatest("at", lo))
-
-    part = overlap(F.col("first"), F.least(F.col("first") + F.col("rest"), F.col("ring"))) + overlap(F.lit(0), F.col("first") + F.col("rest") - F.col("ring"))
-    full = F.floor(F.col("quota") / F.col("ring")) * F.col("size") * F.col("n")
-    laid = laid.where("ring > 0").withColumns({"rest": rest, "first": first})
-    taken = scratch.keep(laid.select(F.col("doc_id").alias("mix_id"), F.col("h").alias("mix_h"), F.col("source").alias("mix_src"), F.floor((full + part) / F.col("n")).cast("long").alias("mix_taken")))
-    info = plan.select(F.col("src").alias("mix_info"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    return sized, taken, info
+    rows = [(int(r.mix_s), int(r.mix_shard), *divmod(int(q) * block_tokens, int(r.words))) for r, q in zip(cells, quota) if r.words]
+    cell = F.broadcast(spark.createDataFrame(rows, "c_s int, c_shard int, mix_copies long, mix_rest long"))
+    at_cell = (F.col("mix_s") == F.col("c_s")) & (F.col("mix_shard") == F.col("c_shard"))
+    keyed = own.where("mix_size > 0").groupBy("mix_s", "mix_shard", "doc_id", "mix_h", "mix_size").agg(F.count("*").alias("n")).withColumn("mix_order", _order(seed))
+    line = W.partitionBy("mix_s", "mix_shard").orderBy("mix_order")
+    laid = keyed.withColumn("end", F.sum(F.col("mix_size") * F.col("n")).over(line)).join(cell, at_cell)
+    over = F.col("mix_rest") - F.col("end") + F.col("mix_size") * F.col("n")
+    ends = laid.where((over > 0) & (F.col("mix_rest") <= F.col("end"))).select("c_s", "c_shard", F.col("mix_order").alias("mix_cut"), F.floor(over / F.col("n")).cast("long").alias("mix_part"))
+    cuts = Scratch(spark).keep(cell.join(ends, ["c_s", "c_shard"], "left"))
+    return plan, cuts
+
+
+def attach(docs: DataFrame, plan: DataFrame, cuts: DataFrame, seed: int = SEED) -> DataFrame:
+    """``docs`` (with mix_h and mix_size) with mix_source_size, mix_target and mix_taken."""
+    out = _placed(docs, plan, seed).join(F.broadcast(cuts), (F.col("mix_s") == F.col("c_s")) & (F.col("mix_shard") == F.col("c_shard")), "left")
+    order = _order(seed)
+    rest = F.when(F.col("mix_cut").isNull(), F.lit(0)).when(order < F.col("mix_cut"), F.col("mix_size")).when(order == F.col("mix_cut"), F.col("mix_part")).otherwise(F.lit(0))
+    taken = F.coalesce(F.col("mix_copies") * F.col("mix_size") + F.when(F.col("mix_size") > 0, rest).otherwise(F.lit(0)), F.lit(0))
+    return out.withColumn("mix_taken", taken.cast("long"))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"mix_size": word_count(F.col("text")), "mix_h": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -123,22 +141,18 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Sources in code point order (null is a source of its own, last) get ``weights`` in turn.  Null text
     and wordless text have size 0 and give nothing.  Rows that repeat a doc_id are mixed as rows of
-    their own; of equal rows each gets the same number, their mean share (rounded down).  An empty table gives
-    an empty result.  The driver holds one row for each source and shard: sources are configuration,
-    shards hold ``shard_words`` words each or more where a source has over 4096 of them.
+    their own; equal rows stand together, and those in which a quota ends get the same number, their mean
+    share rounded down.  An empty table gives an empty result.  The driver holds one row for each source
+    and shard: sources are configuration, shards hold ``shard_words`` words each or more where a source
+    has over 4096 of them.
     """
-    _, taken, info = allocate(docs, **options)
-    base = docs.withColumns({"mix_size": word_count(F.col("text")), "mix_key": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return _attach(base, taken, info)
-
-
-def _attach(base: DataFrame, taken: DataFrame, info: DataFrame) -> DataFrame:
-    out = base.join(taken, base.doc_id.eqNullSafe(taken.mix_id) & (base.mix_key == taken.mix_h) & base.source.eqNullSafe(taken.mix_src), "left")
-    out = out.join(info, out.source.eqNullSafe(info.mix_info), "left")
-    return out.select(*[base[c] for c in base.columns if c != "mix_key"], "mix_source_size", "mix_target", F.coalesce("mix_taken", F.lit(0)).cast("long").alias("mix_taken"))
+    sized = _sized(docs)
+    plan, cuts = allocate(Scratch(docs.sparkSession).keep(sized.select("doc_id", "source", "mix_h", "mix_size")), **options)
+    out = attach(sized, plan, cuts, options.get("seed", SEED))
+    return out.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken")
 
 
 def op9_mixing(spark, sf_dir) -> DataFrame:
-    sized, taken, info = allocate(documents(spark, sf_dir))
-    out = _attach(sized.withColumnRenamed("h", "mix_key"), taken, info)
-    return out.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+    sized = Scratch(spark).keep(_sized(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text"))
+    out = attach(sized, *allocate(sized))
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))

@@ -63,6 +63,32 @@ def test_taken_words_meet_the_targets(spark):
     assert len(rows) == d.count()
 
 
+def test_taken_words_match_brute_force(spark):
+    """Every word of a shard's order is dealt a block, and the quota counted out word by word."""
+    d = frame(spark, 300).union(frame(spark, 20))
+    sized = M._sized(d)
+    plan, cuts = M.allocate(sized.select("doc_id", "source", "mix_h", "mix_size"), shard_words=400)
+    placed = M._placed(sized, plan, M.SEED).withColumn("o", M._order(M.SEED)).collect()
+    quota = {(r.c_s, r.c_shard): (r.mix_copies, r.mix_rest) for r in cuts.collect()}
+    shards = {}
+    for r in placed:
+        shards.setdefault((r.mix_s, r.mix_shard), []).append(r)
+    want = {}
+    for key, rows in shards.items():
+        copies, rest = quota.get(key, (0, 0))
+        line = [k for k, r in sorted(enumerate(rows), key=lambda x: (x[1].o.r, x[1].o.i, x[1].o.h)) for _ in range(r.mix_size)]
+        taken = [line.count(k) * copies + line[:rest].count(k) for k in range(len(rows))]
+        same = {}
+        for r, t in zip(rows, taken):
+            same.setdefault(tuple(r.o), []).append(t)
+        for o, ts in same.items():
+            want[o] = sum(ts) // len(ts) if sum(ts) % len(ts) else ts[0] if len(set(ts)) == 1 else sum(ts) // len(ts)
+    got = M.attach(sized, plan, cuts).withColumn("o", M._order(M.SEED)).collect()
+    assert len(got) == 320 and all(r.mix_taken == want[tuple(r.o)] for r in got) and len(quota) > 15
+    whole = sum(r.mix_taken % r.mix_size == 0 for r in got if r.mix_size)
+    assert whole >= sum(r.mix_size > 0 for r in got) - len(quota)  # one document a shard is cut
+
+
 def test_reruns_agree(spark):
     d = frame(spark)
     a = {r.doc_id: r.mix_taken for r in M.mix(d).collect()}
