@@ -190,7 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel
 
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     """``docs`` (as struct q_row) with score and predicted; every row is scored, null text as empty."""
-    out = with_features(docs).select("q_row", model.column([F.col(c) for c in NAMES]).alias("score"))
+    # inside a lambda the rules are walked as a tree: generated as one method they exceed what the JVM compiles
+    row = F.array(F.struct(*NAMES))
+    value = F.element_at(F.transform(row, lambda f: model.column([f[c] for c in NAMES])), 1)
+    out = with_features(docs).select("q_row", value.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
