@@ -214,22 +214,22 @@ def keep_one(docs: DataFrame, tau: int = 4) -> DataFrame:
 
     Where several rows of a class carry that id (or the class has no id at all) the one with the least
     fingerprint stays, and of rows that agree in both any one: those few rows are dealt with apart.
+    Whole rows meet only the ids that go, and are not shuffled while these are few enough to broadcast.
     """
     scratch = Scratch(docs.sparkSession)
     own = near_duplicates(docs, tau, scratch)
-    least = own.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = scratch.keep(least.groupBy(F.col("root"), F.col("doc_id").alias("keep_id")).agg(F.min("fp").alias("keep_fp")).select("keep_id", "keep_fp"))
-    counts = own.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
-    twice = scratch.keep(counts)
-    with_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    twice = scratch.keep(own.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id")))
+    gone = own.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
+    gone = scratch.keep(gone.union(twice).distinct())
+    single = docs.join(scratch.broadcast_if_small(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
     if twice.isEmpty():
-        return docs.join(kept, with_id, "left_semi")
-    print_of = _fingerprints(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
-    again = F.col("doc_id").eqNullSafe(F.col("twice_id"))
-    single = docs.join(twice, again, "left_anti").join(kept, with_id, "left_semi")
-    several = docs.join(twice, again, "left_semi").withColumn("own_fp", print_of)
-    several = several.join(kept, with_id & (F.col("own_fp") == F.col("keep_fp")), "left_semi").dropDuplicates(["doc_id", "own_fp"])
-    return single.unionByName(several.drop("own_fp"))
+        return single
+    again = scratch.broadcast_if_small(twice)
+    least = own.join(again, F.col("doc_id").eqNullSafe(F.col("twice_id")), "left_semi").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = scratch.keep(least.groupBy(F.col("root"), F.col("doc_id").alias("keep_id")).agg(F.min("fp").alias("keep_fp")).select("keep_id", "keep_fp"))
+    several = docs.join(again, F.col("doc_id").eqNullSafe(F.col("twice_id")), "left_semi").withColumn("own_fp", _fingerprints(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
+    several = several.join(scratch.broadcast_if_small(kept), F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own_fp") == F.col("keep_fp")), "left_semi")
+    return single.unionByName(several.dropDuplicates(["doc_id", "own_fp"]).drop("own_fp"))
 
 
 def op1_simhash(spark, sf_dir) -> DataFrame:
