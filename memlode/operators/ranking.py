@@ -273,49 +273,38 @@ def rrf(legs: DataFrame, key: str = "key", k: int = 60) -> DataFrame:
     return out.withColumn("score", T.js_round(F.col("rrf") * 1000))
 
 
-def dedupe_four(rows: pd.DataFrame, limit: int, similar: float = 0.85, prefix: int = 180) -> pd.DataFrame:
-    """The four ordered layers on one query's rows (best first): file cap 3, near-duplicates by word
-    3-gram Jaccard of the first characters, type saturation with a bench, file cap 2 (3 with a section)."""
-    import re
-
-    def grams(s: str) -> set:
-        t = re.sub(r"[^\w\s]|_", " ", s[:prefix].lower()).split()
-        return {tuple(t[i : i + 3]) for i in range(len(t) - 2)} or ({tuple(t)} if t else set())
-
-    files: dict = {}
-    kept: list[tuple[dict, set]] = []
-    for r in rows.to_dict("records"):
-        files[r["source_file"]] = files.get(r["source_file"], 0) + 1
-        if files[r["source_file"]] > 3:
-            continue
-        g = grams(r["chunk_text"] or "")
-        if not any(g and h and len(g & h) / len(g | h) >= similar for _, h in kept):
-            kept.append((r, g))
-    most, types, main, bench = max(1, math.ceil(limit * 0.6)), {}, [], []
-    for r, _ in kept:
-        types[r["chunk_type"]] = types.get(r["chunk_type"], 0) + 1
-        (main if types[r["chunk_type"]] <= most else bench).append(r)
-    main += bench[: max(0, limit - len(main))]
-    files, out = {}, []
-    for r in main:
-        n = files.get(r["source_file"], 0)
-        if n < (3 if r["section"] is not None and r["section"] == r["section"] else 2):
-            files[r["source_file"]] = n + 1
-            out.append(r)
-        if len(out) >= limit:
-            break
-    return pd.DataFrame(out, columns=rows.columns)
-
-
-def deduped(pool: DataFrame, limit: int) -> DataFrame:
-    """dedupe_four for each query of a pool (query_id, pos, source_file, chunk_type, section, chunk_text, ...).
-
-    A pool holds at most max(3 * limit, 15) rows a query, so a group is small whatever the corpus.
+def deduped(pool: DataFrame, limit: int, similar: float = 0.85) -> DataFrame:
+    """The rows of each query's pool (query_id, pos, source_file, chunk_type, section, chunk_text, ...) that pass
+    four layers, with their place: three rows a file; no near-duplicate (Jaccard of word 3-grams) of a row
+    kept before; rows of a type beyond 60 % of ``limit`` after all others; two rows a file, a third
+    only with a section; ``limit`` rows.
+
+    Ranks in windows but for the second layer, a fold over one query's rows.  A pool holds at most
+    max(3 * limit, 15) rows a query, so a group is small whatever the corpus.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return dedupe_four(rows.sort_values("pos"), limit)
-
-    return pool.groupBy("query_id").applyInPandas(run, pool.schema)
+    columns = pool.columns
+    first = W.partitionBy("query_id", "source_file").orderBy("pos")
+    rows = pool.withColumn("nth_", F.row_number().over(first)).where("nth_ <= 3")
+    rows = rows.withColumn("ws_", F.array_remove(F.split(F.lower(F.substring(F.coalesce("chunk_text", F.lit("")), 1, 180)), "[^\\p{L}\\p{N}]+"), ""))
+    gram = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws_") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("ws_", i, 3)))
+    rows = rows.withColumn("grams_", F.array_remove(F.array_distinct(gram), ""))
+    listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "grams_"))).alias("rows_"))
+    none = F.filter("rows_", lambda r: F.lit(False))
+
+    def like(a, b):
+        return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0)) >= similar
+
+    kept = F.aggregate("rows_", none, lambda acc, r: F.when(F.exists(acc, lambda k: like(k.grams_, r.grams_)), acc).otherwise(F.array_append(acc, r)))
+    kept = listed.select("query_id", F.explode(F.transform(kept, lambda r: r.pos)).alias("pos"))
+    rows = rows.join(kept, ["query_id", "pos"], "left_semi")
+    most = max(1, math.ceil(limit * 0.6))
+    over = F.row_number().over(W.partitionBy("query_id", "chunk_type").orderBy("pos")) > most
+    rows = rows.withColumn("over_", over)
+    rows = rows.withColumns({"at_": F.row_number().over(W.partitionBy("query_id").orderBy("over_", "pos")), "main_": F.sum((~F.col("over_")).cast("int")).over(W.partitionBy("query_id"))})
+    rows = rows.where(F.col("at_") <= F.greatest("main_", F.lit(limit)))
+    rows = rows.withColumn("nth_", F.row_number().over(W.partitionBy("query_id", "source_file").orderBy("at_"))).where((F.col("nth_") <= 2) | F.col("section").isNotNull())
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("at_"))).where(F.col("place") <= limit)
+    return rows.select(*columns, "place")
 
 
 def interleave(a: DataFrame, b: DataFrame, by: str = "query_id") -> DataFrame:

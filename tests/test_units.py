@@ -91,12 +91,15 @@ def plain_dedupe(rows, limit):
     return [r["id"] for r in out]
 
 
-def test_four_layer_dedup():
+def test_four_layer_dedup(spark):
     rng = random.Random(0)
-    for _ in range(200):
-        rows = [{"id": i, "source_file": rng.choice("abc"), "chunk_type": rng.choice("xy"), "section": rng.choice([None, "s"]), "chunk_text": " ".join(rng.choices("p q r s t u".split(), k=rng.choice((1, 2, 8))))} for i in range(15)]
-        got = ranking.dedupe_four(pd.DataFrame(rows), 5)["id"].tolist()
-        assert got == plain_dedupe(rows, 5)
+    pools = [[{"id": i, "source_file": rng.choice("abc"), "chunk_type": rng.choice("xy"), "section": rng.choice([None, "s"]), "chunk_text": " ".join(rng.choices("p q r s t u".split(), k=rng.choice((1, 2, 8))))} for i in range(15)] for _ in range(200)]
+    rows = [(q, i, r["id"], r["source_file"], r["chunk_type"], r["section"], r["chunk_text"]) for q, p in enumerate(pools) for i, r in enumerate(p)]
+    d = spark.createDataFrame(rows, "query_id long, pos long, id long, source_file string, chunk_type string, section string, chunk_text string")
+    got = {}
+    for r in ranking.deduped(d, 5).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert [got.get(q, []) for q in range(200)] == [plain_dedupe(p, 5) for p in pools]
 
 
 def test_dates():
@@ -342,7 +345,8 @@ def test_session_days(spark):
 def test_signatures_and_pain(spark):
     d = spark.createDataFrame([("Bash", None, "/usr/bin/git commit -m x"), ("Edit", "a/src/x.py", None), ("mcp__q", None, None), ("Bash", None, "ls -l")], "t string, p string, c string")
     got = [(r.coarse, r.primary, r.fine) for r in d.select(*stats.action_signatures(F.col("t"), F.col("p"), F.col("c"))).collect()]
-    assert got == [("bash|vcs", "Bash|git:write", "Bash|git:write|git:commit"), ("edit|file", "Edit|file:source", "Edit|file:source"), ("mcp|other", "mcp__q|none", "mcp__q|none"), ("bash|file", "Bash|fs:read", "Bash|fs:read|ls")]
+    assert got == [("execucao|vcs", "Bash|git:mutacao", "Bash|git:mutacao|git:commit"), ("escrita|arquivo", "Edit|arquivo:fonte", "Edit|arquivo:fonte"), ("mcp|outro", "mcp__q|sem-alvo", "mcp__q|sem-alvo"), ("execucao|arquivo", "Bash|fs:leitura", "Bash|fs:leitura|ls")]
+    assert spark.range(1).select(stats.action_signatures(F.lit("Task"), F.lit(None), F.lit(""), prompt=F.lit("do"))[0]).first()[0] == "delegacao|externo"
     p = spark.range(1000).select(*[stats.spread_pain(F.col("id"), k).alias(k) for k in ("uniform", "bimodal", "log")]).toPandas()
     assert set(p["bimodal"]) == {0.1, 1.0} and p["uniform"].between(0.1, 1.0).all() and p["log"].between(0.01, 10.01).all()
 
