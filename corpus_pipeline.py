@@ -47,7 +47,7 @@ STAGES = [
     ("mixture", mixture),
 ]
 
-#: The classifier and MinHash stages have no SQL form; tests hold the pipeline against brute force.
+#: The classifier and MinHash stages have no SQL form; a test holds run() against plain Python, stage by stage.
 ORACLE_SQL = None
 
 
@@ -55,5 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        with scratch.scope() as last:  # what a stage keeps for itself goes with it, and so does its input
+            done = last(stage(spark, docs, sf_dir))
+        scratch.drop(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from memlode.operators import maintenance
 from memlode.plans.base import Registry
-from memlode.session import scratch_root, table
+from memlode.session import Scratch, table
 from memlode.sources import readers
 
 R = Registry()
@@ -16,7 +14,7 @@ query = R.query
 
 
 def place(spark) -> str:
-    return f"{scratch_root(spark)}/memlode-source-{uuid.uuid4().hex}"
+    return Scratch(spark).place()
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")

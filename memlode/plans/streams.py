@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from memlode.plans.base import Registry, telemetry
-from memlode.session import drop_path, scratch_root, table
+from memlode.session import Scratch, drop_path, table
 from memlode.streaming import telemetry as S
 
 R = Registry()
@@ -16,7 +14,7 @@ query = R.query
 
 def streamed(spark, df, make, mode="append", sink=False):
     """Writes ``df`` as a file source, streams it through ``make`` and returns what the sink holds."""
-    root = f"{scratch_root(spark)}/memlode-stream-{uuid.uuid4().hex}"
+    root = Scratch(spark).place()
     df.write.parquet(f"{root}/in")
     S.run_available(make(S.file_stream(spark, f"{root}/in", df.schema)), f"{root}/out", f"{root}/cp", mode, S.idempotent_sink(f"{root}/out") if sink else None)
     out = spark.read.parquet(f"{root}/out")

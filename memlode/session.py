@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or our own where it is unset and the session is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "/tmp/memlode-scratch"
     return root.rstrip("/")
 
@@ -47,11 +50,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Paths that the scopes around the running code own, innermost last.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("memlode_scopes", default=())
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage.
 
     Unlike a local checkpoint they survive the loss of any executor, and unlike
-    ``checkpoint()`` they stay columnar, so later reads prune columns.
+    ``checkpoint()`` they stay columnar, so later reads prune columns.  They go at the end of the
+    process, or of the innermost ``scope`` around their making.
     """
 
     def __init__(self, spark: SparkSession):
@@ -59,15 +67,45 @@ class Scratch:
         self.paths: list[str] = []
         atexit.register(self.clear)
 
+    def place(self) -> str:
+        """A new path in the shared folder, dropped like a kept table."""
+        path = f"{scratch_root(self.spark)}/memlode-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        for paths in _scopes.get()[-1:]:
+            paths.append(path)
+        return path
+
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once; the returned frame reads the written rows."""
-        path = f"{scratch_root(self.spark)}/memlode-{uuid.uuid4().hex}"
+        path = self.place()
         df.write.parquet(path)
-        self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._memlode_path = path
         return out
 
+    @contextlib.contextmanager
+    def scope(self):
+        """Drops, at its end, what was kept within by any Scratch, but for the tables given to ``yield``ed function.
+
+        That function keeps a table beyond the scope: the last step of a stage.
+        """
+        own: list[str] = []
+        token = _scopes.set((*_scopes.get(), own))
+
+        def last(df: DataFrame) -> DataFrame:
+            out = self.keep(df)
+            own.remove(out._memlode_path)
+            for paths in _scopes.get()[-2:-1]:
+                paths.append(out._memlode_path)
+            return out
+
+        try:
+            yield last
+        finally:
+            _scopes.reset(token)
+            for path in own:
+                drop_path(self.spark, path)
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_memlode_path", None)
         if path in self.paths:

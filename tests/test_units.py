@@ -367,3 +367,18 @@ def test_unfinished_components_raise(spark):
     with pytest.raises(RuntimeError):
         connected_components(edges, max_rounds=2)
     assert {r.root for r in connected_components(edges).collect()} == {0}
+
+
+def test_scopes_drop_what_was_kept_within(spark):
+    import os
+
+    from memlode.session import Scratch
+
+    outer = Scratch(spark)
+    with outer.scope() as last:
+        inner = Scratch(spark).keep(spark.range(3))
+        done = last(inner.selectExpr("id + 1 as id"))
+        assert os.path.exists(inner._memlode_path)
+    assert not os.path.exists(inner._memlode_path) and sorted(r.id for r in done.collect()) == [1, 2, 3]
+    outer.clear()
+    assert not os.path.exists(done._memlode_path)
