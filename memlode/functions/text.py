@@ -160,13 +160,28 @@ def cnpj(d: Column) -> Column:
     return F.coalesce(d.rlike("^[0-9]{14}$") & ~d.rlike("^(.)\\1*$") & check(12) & check(13), F.lit(False))
 
 
-def signal_score(text: Column) -> Column:
-    """Heuristic share of signal in a text, 0 to 1: words, digits and sentence ends against length."""
-    n = F.greatest(F.length(text), F.lit(1))
-    letters = F.regexp_count(text, F.lit("\\p{L}")) / n
-    ends = F.least(F.lit(1.0), F.regexp_count(text, F.lit("[.!?]")) / F.lit(5.0))
-    size = F.least(F.lit(1.0), n / F.lit(200.0))
-    return clamp01(0.5 * letters + 0.2 * ends + 0.3 * size)
+def cnh(d: Column) -> Column:
+    """Check digits of an 11-digit driving licence; equal digits throughout fail."""
+    first = weighted_digits(d, list(range(9, 0, -1))) % 11
+    second = weighted_digits(d, list(range(1, 10))) % 11
+    over = first == 10  # the first digit is then 0 and the second loses 2
+    dv2 = F.when(second == 10, 0).otherwise(F.pmod(second - F.when(over, 2).otherwise(0), F.lit(11)))
+    given = lambda i: F.substring(d, i, 1).cast("int")
+    return F.coalesce(d.rlike("^[0-9]{11}$") & ~d.rlike("^(.)\\1*$") & (F.when(over, 0).otherwise(first) == given(10)) & (dv2 == given(11)), F.lit(False))
+
+
+def titulo(d: Column) -> Column:
+    """Check digits and state of a 12-digit voter's title; equal digits throughout fail."""
+    state = F.substring(d, 9, 2).cast("int")
+
+    def digit(total):
+        r = total % 11
+        return F.when(r == 10, 0).when((r == 0) & (state <= 2), 1).otherwise(r)
+
+    given = lambda i: F.substring(d, i, 1).cast("int")
+    first = digit(weighted_digits(d, list(range(2, 10))))
+    second = digit(given(9) * 7 + given(10) * 8 + first * 9)
+    return F.coalesce(d.rlike("^[0-9]{12}$") & ~d.rlike("^(.)\\1*$") & state.between(1, 28) & (first == given(11)) & (second == given(12)), F.lit(False))
 
 
 def escape_like(prefix: str) -> str:

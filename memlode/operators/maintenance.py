@@ -56,11 +56,6 @@ def marked(chunks: DataFrame, marks: DataFrame) -> DataFrame:
     return c.withColumns({"confidence": conf, "superseded_by": F.col("m.superseded_by"), "stale": F.coalesce(F.col("m.mark") == "stale", F.lit(False))}).drop("m")
 
 
-def default_confidence() -> Column:
-    """Confidence at write time by source and section."""
-    return F.when(F.col("section") == "compiled", 0.95).when(F.col("source_type") == "entity", 0.9).when(F.col("source_type") == "external", 0.6).when(F.col("source_type") == "ocr-cache", 0.5).otherwise(0.8)
-
-
 def bundle_manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """One row a table: rows and a checksum that does not depend on order."""
     parts = []

@@ -130,6 +130,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -
 
     Exact.  Queries go in blocks of about ``block`` vectors, each a bounded broadcast beside one pass
     over the corpus; a task keeps its best candidates for each query, so only those are shuffled.
+    Null vectors, and those of another length than a query's, are no neighbours and ask for none.
     """
     schema = "query_id long, id long, cos double"
     spark = corpus.sparkSession
@@ -137,8 +138,9 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -
     near = spark.createDataFrame([], schema)
     for i in range(n_blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).select("query_id", "vec").orderBy("query_id").collect()
-        if part:
-            near = near.unionByName(corpus.select("id", "vec").mapInPandas(_nearest([r.query_id for r in part], [r.vec for r in part], k, spark), schema))
+        for size in sorted({len(r.vec) for r in part if r.vec}):
+            own = [r for r in part if r.vec and len(r.vec) == size]
+            near = near.unionByName(corpus.select("id", "vec").mapInPandas(_nearest([r.query_id for r in own], [r.vec for r in own], k, spark), schema))
     return top_k(near, k, score="cos", places=9)
 
 
@@ -152,6 +154,9 @@ def _nearest(ids: list[int], vecs: list, k: int, spark):
         own_ids, q = box.value
         best_id, best_cos = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
         for f in frames:
+            if not len(f):
+                continue
+            f = f[[v is not None and len(v) == q.shape[1] for v in f["vec"]]]  # a vector of another length is near to none
             if not len(f):
                 continue
             m = np.stack([np.asarray(v, np.float64) for v in f["vec"]])
@@ -307,6 +312,23 @@ def deduped(pool: DataFrame, limit: int, similar: float = 0.85) -> DataFrame:
     return rows.select(*columns, "place")
 
 
+def coverage_order(rows: DataFrame, by: str, served_at: str, weight: str) -> DataFrame:
+    """``rows`` with their place within ``by``: never served first, then the longest unserved, equal ones by weight, then id."""
+    w = W.partitionBy(by).orderBy(F.asc_nulls_first(served_at), F.desc_nulls_last(weight), "id")
+    return rows.withColumn("place", F.row_number().over(w))
+
+
+def merged_stores(stores: dict[str, DataFrame], k: int = 10, c: int = 60) -> DataFrame:
+    """(query_id, store, id, score, rank): hits (query_id, id, rank from 1) of several stores by reciprocal rank; ids are
+    their store's own, ties go by store and id."""
+    every = None
+    for name, hits in sorted(stores.items()):
+        own = hits.select("query_id", F.lit(name).alias("store"), "id", (1.0 / (c + F.col("rank"))).alias("score"))
+        every = own if every is None else every.unionByName(own)
+    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "store", "id")
+    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def interleave(a: DataFrame, b: DataFrame, by: str = "query_id") -> DataFrame:
     """Round robin of two ranked lists (id, rank from 1); the first place of an id counts."""
     both = a.select(by, "id", (F.col("rank") * 2).alias("place")).union(b.select(by, "id", (F.col("rank") * 2 + 1).alias("place")))

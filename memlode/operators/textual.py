@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window as W
 
 from memlode.functions import text as T
@@ -29,11 +29,6 @@ SECRETS = {
     "env-secret": "(?m)^(?:export\\s+)?[A-Z0-9_]*(?:PASSWORD|SECRET|TOKEN|API_KEY|PRIVATE_KEY|ACCESS_KEY)[A-Z0-9_]*\\s*=\\s*[\"']?[^\\s\"'\\r\\n]{4,}[\"']?",
 }
 CARD = "\\b(?:\\d{4}[-\\s]?\\d{4}[-\\s]?\\d{4}[-\\s]?\\d{4}|\\d{16})\\b"
-#: Brazilian personal identifiers, their patterns and the confidence without a checksum.
-BRAZIL = {
-    "cpf": (r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b", 0.6), "cnpj": (r"\b\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}\b", 0.6), "cep": (r"\b\d{5}-\d{3}\b", 0.7),
-    "phone": (r"(?<!\d)(?:\+55\s?)?\(?\d{2}\)?\s?9?\d{4}-?\d{4}(?!\d)", 0.6), "email": (r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b", 0.95), "plate": (r"\b[A-Z]{3}-?\d[A-Z0-9]\d{2}\b", 0.7),
-}
 DIRS = "|".join(sorted(set(SINGULAR) | set(SINGULAR.values()), key=lambda x: (-len(x), x)))
 SLUG = "[a-z0-9][a-z0-9\\-]*"
 LINKS = {
@@ -66,48 +61,6 @@ def secret_counts(text: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p.n > 0))
 
 
-def _check(kind: str, value: str) -> bool | None:
-    d = re.sub(r"\D", "", value)
-    if kind == "cpf":
-        sums = [sum(int(d[i]) * (n + 1 - i) for i in range(n)) * 10 % 11 % 10 for n in (9, 10)]
-        return len(set(d)) > 1 and sums == [int(d[9]), int(d[10])]
-    if kind == "cnpj":
-        def digit(n):
-            w = [(n - 7 - i) if i < n - 8 else (n + 1 - i) for i in range(n)]
-            r = sum(int(d[i]) * w[i] for i in range(n)) % 11
-            return 0 if r < 2 else 11 - r
-
-        return len(set(d)) > 1 and [digit(12), digit(13)] == [int(d[12]), int(d[13])]
-    return None
-
-
-def brazil_spans(text: str | None) -> list[tuple]:
-    """Personal identifiers (kind, start, end, confidence): a passed checksum raises confidence, a failed one
-    lowers it; of overlapping spans the first, then longest, then surest stays."""
-    found = []
-    for order, (kind, (pattern, base)) in enumerate(BRAZIL.items()):
-        for m in re.finditer(pattern, text or ""):
-            ok = _check(kind, m.group())
-            found.append((m.start(), -(m.end() - m.start()), -(0.99 if ok else 0.3 if ok is False else base), order, kind, m.end()))
-    out, upto = [], 0
-    for start, _, conf, _, kind, end in sorted(found):
-        if start >= upto:
-            out.append((kind, start, end, -conf))
-            upto = end
-    return out
-
-
-SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("at", IntegerType()), StructField("till", IntegerType()), StructField("confidence", DoubleType())]))
-
-
-def brazil_column(text: Column) -> Column:
-    """brazil_spans as a column; match offsets and overlap need Python, Arrow batches carry the texts."""
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([brazil_spans(t) for t in texts])
-
-    return F.pandas_udf(run, SPANS)(text)
-
-
 def strip_code(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "(?s)```[^\\n]*\\n.*?```", " "), "`[^`\\n]+`", " ")
 
@@ -129,22 +82,6 @@ def code_refs(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("id", F.explode(pair).alias("m")).select("id", F.col("m.p").alias("path"), F.nullif(F.col("m.l"), F.lit("")).cast("int").alias("line")).distinct()
 
 
-#: Fast entity kinds: what is structured enough to need no model.
-FAST = {
-    "url": "https?://[^\\s<>\"']+", "email": "[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+", "ip": "\\b\\d{1,3}(?:\\.\\d{1,3}){3}\\b", "date": "\\b\\d{4}-\\d{2}-\\d{2}\\b",
-    "version": "\\bv\\d+\\.\\d+(?:\\.\\d+)?\\b", "issue": "(?<=\\s|^)#\\d+\\b", "mention": "(?<=\\s|^)@[a-z][\\w-]+", "money": "(?:R\\$|US\\$|€)\\s?\\d[\\d.,]*", "hash": "\\b[0-9a-f]{40}\\b",
-}
-
-
-def fast_entities(rows: DataFrame, text: str = "text", cap: int = 20) -> DataFrame:
-    """(id, kind, value): up to ``cap`` distinct structured entities a row, by kind and place."""
-    def of(kind, pattern):
-        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-
-    found = F.slice(F.array_distinct(F.concat(*[of(k, p) for k, p in FAST.items()])), 1, cap)
-    return rows.select("id", found.alias("f")).select("id", F.explode("f").alias("e")).select("id", "e.kind", "e.value")
-
-
 def html_text(html: Column) -> Column:
     """Tags, scripts and comments stripped, the five named entities decoded, white space single."""
     t = F.regexp_replace(html, "(?is)<(script|style)\\b.*?</\\1>|<!--.*?-->", " ")

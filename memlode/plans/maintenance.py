@@ -45,11 +45,6 @@ def confidence_marks(spark, sf_dir):
     return O.marked(chunks(spark, sf_dir), marks).select("id", "confidence", "stale")
 
 
-@query("SELECT id, CASE WHEN section = 'compiled' THEN 0.95::DOUBLE WHEN source_type = 'entity' THEN 0.9 WHEN source_type = 'external' THEN 0.6 WHEN source_type = 'ocr-cache' THEN 0.5 ELSE 0.8 END AS confidence FROM @chunks")
-def write_defaults(spark, sf_dir):
-    return chunks(spark, sf_dir).select("id", O.default_confidence().alias("confidence"))
-
-
 @query("""WITH b AS (SELECT agent, id // 1000 AS block, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM @telemetry GROUP BY 1, 2) SELECT agent, CAST(block AS BIGINT) AS block, first_id, last_id, n, coalesce(lag(last_id) OVER (PARTITION BY agent ORDER BY block), -1) AS previous_last FROM b""")
 def audit_checkpoints(spark, sf_dir):
     c = O.checkpoints(telemetry(spark, sf_dir), "agent")

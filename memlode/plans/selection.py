@@ -76,11 +76,6 @@ def zombie_operations(spark, sf_dir):
     return S.zombies(ops, F.lit("2024-01-31").cast("timestamp")).select("id", "status")
 
 
-@query("""SELECT id, CASE WHEN section = 'frontmatter' THEN 'frontmatter' WHEN access_count % 5 >= 3 THEN 'regex' WHEN chunk_type IN ('daily', 'team') AND access_count % 5 > 0 THEN 'hybrid' ELSE 'llm' END AS route FROM @chunks""")
-def extraction_routes(spark, sf_dir):
-    return chunks(spark, sf_dir).select("id", S.extraction_route(F.col("section"), F.col("chunk_type"), F.col("access_count") % 5).alias("route"))
-
-
 @query("""SELECT id, sha256(feature) AS query, sha256('s' || user_id) AS user FROM @telemetry""")
 def read_audit(spark, sf_dir):
     reads = telemetry(spark, sf_dir).select("id", "ts", F.col("feature").alias("query"), F.col("user_id").alias("user"))

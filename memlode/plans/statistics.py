@@ -108,20 +108,6 @@ def itt_by_arm(spark, sf_dir):
     return rounded(g, "density", "opp_rate", "proportion")
 
 
-@query()
-def cluster_bootstrap(spark, sf_dir):
-    """Ratio of sums by arm with whole epochs resampled; own hash draws, so no SQL twin."""
-    u = itt_units(spark, sf_dir).withColumn("cluster", F.unix_micros(F.col("epoch").cast("timestamp")))
-    return rounded(S.bootstrap(u, "arm", "rep", "hours", 500), "estimate", "lo", "hi")
-
-
-@query()
-def permutation_test(spark, sf_dir):
-    """Re-randomisation of epochs; own hash draws, so no SQL twin."""
-    u = itt_units(spark, sf_dir).withColumn("unit", F.unix_micros(F.col("epoch").cast("timestamp"))).withColumn("y", F.col("rep") / F.col("hours"))
-    return rounded(S.permutation(u.select("unit", "y", "arm"), "y", "arm", 500), "d", "p")
-
-
 @query("""WITH c AS (SELECT o_orderpriority AS sig, o_custkey AS k, count(*) AS n, avg(o_totalprice) AS cost FROM orders GROUP BY 1, 2 HAVING count(*) >= 2) SELECT sig, k, round(cost - min(cost) OVER (PARTITION BY sig), 4) AS regret FROM c""")
 def task_regret(spark, sf_dir):
     c = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("sig"), F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("cost")).where("n >= 2")

@@ -72,24 +72,12 @@ def secrets_redacted(spark, sf_dir):
     return d.select("id", F.sha2(O.redact(O.strip_private(F.col("text"))), 256).alias("redacted_sha256"), F.size("kinds").alias("n_kinds"), F.aggregate(F.map_values("kinds"), F.lit(0), lambda a, n: a + n).alias("n"))
 
 
-@query()
-def national_ids(spark, sf_dir):
-    """Personal identifiers with offsets and overlap rules: needs match positions, so no SQL."""
-    s = docs(spark, sf_dir).select("id", F.explode(O.brazil_column(F.col("text"))).alias("s"))
-    return s.select("id", "s.kind", "s.at", "s.till", "s.confidence")
-
-
 @query("""WITH c AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '\\b\\d{16}\\b')) AS v FROM documents), d AS (SELECT id, v, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN (CAST(v[i] AS INT) * 2) // 10 + (CAST(v[i] AS INT) * 2) % 10 ELSE CAST(v[i] AS INT) END)) % 10 = 0 AS ok FROM c) SELECT id, count(*) AS found, count(*) FILTER (WHERE ok) AS valid FROM d GROUP BY 1""")
 def luhn_checked(spark, sf_dir):
     v = docs(spark, sf_dir).select("id", F.explode(F.regexp_extract_all("text", F.lit("\\b\\d{16}\\b"), F.lit(0))).alias("v"))
     return v.groupBy("id").agg(F.count("*").alias("found"), F.count(F.when(T.luhn(F.col("v")), 1)).alias("valid"))
 
 
-@query("""WITH f AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+')) AS value FROM documents) SELECT DISTINCT id, 'email' AS kind, value FROM f""")
-def fast_entities(spark, sf_dir):
-    return O.fast_entities(docs(spark, sf_dir), cap=100_000).where("kind = 'email'")
-
-
 LINKED = "doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'see [x](../entities/people/p-' || doc_id || '.md) and people/p-' || doc_id WHEN 1 THEN 'note [[projects/q-' || (doc_id % 7) || '|Q]] now' WHEN 2 THEN 'of agents/a-' || (doc_id % 5) || ', src/lib/m' || (doc_id % 9) || '.py:12' ELSE '`people/code` none' END AS text"
 
 

@@ -107,14 +107,3 @@ def markdown(df: DataFrame, title: str, most: int = 200) -> str:
     return "\n".join([f"## {title}", "", cells(df.columns), "|" + "---|" * len(df.columns), *map(cells, rows), ""])
 
 
-def bare_event(value: Column) -> Column:
-    """A JSON event without forbidden fields at any depth; absolute paths shrink to their last part.
-
-    Works on the text of the JSON, so nesting needs no recursion; values that are objects or arrays
-    under a forbidden name go up to their matching close for one level.
-    """
-    names = "content|body|text|raw_text|prompt|response|embedding|embedding_vector|vector|password|token|api_key|secret"
-    v = '(?:"(?:[^"\\\\]|\\\\.)*"|\\[[^\\[\\]]*\\]|\\{[^{}]*\\}|[^,}\\]]+)'
-    out = F.regexp_replace(value, f',\\s*"(?:{names})"\\s*:\\s*{v}', "")
-    out = F.regexp_replace(out, f'"(?:{names})"\\s*:\\s*{v}\\s*,?\\s*', "")
-    return F.regexp_replace(out, '"(?:/[^"/]+)+/([^"/]+)"', '"$1"')

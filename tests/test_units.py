@@ -133,11 +133,6 @@ def test_secrets(spark):
     assert one(spark, textual.secret_counts(F.lit(t))) == {"aws-access-key-id": 1, "github-token": 1, "credit-card": 1}
 
 
-def test_national_ids():
-    got = textual.brazil_spans("cpf 529.982.247-25 bad 529.982.247-26 cep 01310-100 mail a@b.co")
-    assert [(k, round(c, 2)) for k, _, _, c in got] == [("cpf", 0.99), ("cpf", 0.3), ("cep", 0.7), ("email", 0.95)]
-
-
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=300), st.integers(5, 60))
 def test_fixed_chunks_lose_nothing(text, size):
@@ -170,16 +165,6 @@ def test_statistics(spark):
     assert abs(Counter(arms.values())["t"] - 8) <= 1
 
 
-def test_bootstrap_covers_the_estimate(spark):
-    rng = random.Random(1)
-    rows = [(i, "t" if i % 2 else "c", float(rng.randint(0, 5) + 2 * (i % 2)), 5.0) for i in range(80)]
-    d = spark.createDataFrame(rows, "cluster long, arm string, y double, n double")
-    got = {r.arm: r for r in stats.bootstrap(d, "arm", "y", "n", 300).collect()}
-    assert all(r.lo < r.estimate < r.hi for r in got.values())
-    units = d.select(F.col("cluster").alias("unit"), "y", F.when(F.col("arm") == "t", "treatment").otherwise("control").alias("arm"))
-    assert stats.permutation(units, "y", "arm", 300).first().p < 0.02
-
-
 def test_components_against_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000, i) for i in range(1001, 1400)] + [(i, i + 1) for i in range(2000, 2100)]
