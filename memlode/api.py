@@ -36,7 +36,7 @@ class Memory:
         return Memory(temporal.changed_since(self.chunks, t), self.now, self.vectors, self.embed, self.write, self.options)
 
     def _full_text(self, queries: DataFrame, limit: int) -> DataFrame:
-        hits = ranking.top_k(ranking.bm25(self.chunks, queries, **self.options), 20)
+        hits = ranking.bm25_top(self.chunks, queries, 20, **self.options)
         own = ranking.boosted(hits.join(self.chunks, "id"), "fts", self.now.cast("date"))
         w = W.partitionBy("query_id").orderBy(F.desc("score"), "rank")
         return own.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < 2 * limit).select("query_id", F.lit("fts").alias("leg"), "rank0", "id")

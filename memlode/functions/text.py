@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and their base letters, lower case.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _marked() -> tuple[str, str]:
+    """Lower-case letters with marks whose base is an ASCII letter, and these; then the combining marks, which go."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower()]
+    pairs = [(c, base) for c, base in pairs if base != c and base.isascii()]
+    return "".join(c for c, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(base for _, base in pairs)
+
+
+MARKED, PLAIN = _marked()
 
 
 def let(value: Column, f) -> Column:
@@ -18,7 +24,7 @@ def let(value: Column, f) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents (Latin-1 letters); plain ASCII text skips the translation."""
+    """Lower case without accents (Latin letters and combining marks); plain ASCII text skips the translation."""
     return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(F.lower(text), MARKED, PLAIN)).otherwise(F.lower(text))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -95,6 +97,117 @@ def _scored(post: DataFrame, stats: DataFrame, q: DataFrame, k1: float, b: float
     return hits.select("query_id", "id", "score")
 
 
+#: Queries that are scored in one pass over the documents' terms.
+QUERY_BLOCK = 1024
+
+
+class _Best:
+    """The k best ids of each query among those added: by score rounded to ``places``, then the lower id."""
+
+    def __init__(self, queries: int, k: int, places: int):
+        self.k, self.unit = k, 10.0**places
+        self.ids, self.scores = np.zeros((queries, 0), np.int64), np.zeros((queries, 0))
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` has a row for each query and a column for each id; -inf is no hit."""
+        order = np.argsort(ids, kind="stable")
+        scores, n = scores[:, order], min(self.k, len(ids))
+        # rounded score, then the lower id: one integer orders both, so ties are exact
+        key = (np.where(np.isinf(scores), -(1 << 40), np.rint(np.where(np.isinf(scores), 0, scores) * self.unit)).astype(np.int64) << 20) - np.arange(len(ids))
+        keep = np.argpartition(-key, n - 1, axis=1)[:, :n]
+        both = np.hstack([self.scores, np.take_along_axis(scores, keep, 1)])
+        both_ids = np.hstack([self.ids, ids[order][keep]])
+        top = np.lexsort((both_ids, -np.where(np.isinf(both), both, np.rint(both * self.unit))), axis=1)[:, : self.k]
+        self.scores, self.ids = np.take_along_axis(both, top, 1), np.take_along_axis(both_ids, top, 1)
+
+    def rows(self, query_ids: list, value: str) -> pd.DataFrame:
+        hit = ~np.isinf(self.scores)
+        return pd.DataFrame({"query_id": np.repeat(query_ids, hit.sum(axis=1)), "id": self.ids[hit], value: self.scores[hit]})
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, kind: str = "lucene", fields: dict | None = None, match_all: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): what top_k(bm25(...), k) gives, without a row for every query and matching document.
+
+    One pass finds each document's terms of the queries and is kept; document frequencies are sums over it.
+    A second one scores documents against a block of queries at a time by matrix products and keeps the
+    best of each task, so only k rows a query and task are shuffled, however frequent the terms are.
+    """
+    fields = fields or {"chunk_text": 1.0}
+    spark, schema = docs.sparkSession, "query_id long, id long, score double"
+    scratch = Scratch(spark)
+    asked = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
+    out = spark.createDataFrame([], schema)
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").collect()
+        vocab = sorted({t for r in part for t in r.terms})
+        if not vocab:
+            continue
+        held = scratch.keep(_terms_held(docs, vocab, fields))
+        n, mean = held.agg(F.count("*"), F.avg("dl")).first()
+        df = np.zeros(len(vocab))
+        for r in held.select(F.explode("term").alias("t")).groupBy("t").count().collect():  # one row a term of the block
+            df[r.t] = r["count"]
+        if n:
+            weight = np.log(1 + (n - df + 0.5) / (df + 0.5)) if kind == "lucene" else np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+            out = out.unionByName(held.mapInArrow(_score(part, vocab, weight, mean, k, k1, b, match_all, spark), schema))
+    return top_k(out, k)
+
+
+def _terms_held(docs: DataFrame, vocab: list[str], fields: dict) -> DataFrame:
+    """(id, dl, term, tf): for every document its length and, as arrays, the places of its terms in ``vocab`` and
+    their weighted frequencies."""
+    weights = list(fields.values())
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent.value)
+        for b in batches:
+            n, dl, keys, amounts = b.num_rows, np.zeros(b.num_rows, np.int64), [], []
+            for col, w in zip(b.columns[1:], weights):
+                size = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+                dl += size
+                place = pc.fill_null(pc.index_in(pc.list_flatten(col), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(n), size)[place >= 0]
+                keys.append(row * len(known) + place[place >= 0])
+                amounts.append(np.full(len(row), w))
+            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            tf = np.bincount(inverse, np.concatenate(amounts), len(key))
+            starts = pa.array(np.searchsorted(key, np.arange(n + 1) * len(known)), pa.int32())
+            term = pa.ListArray.from_arrays(starts, pa.array(key % len(known), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dl), term, pa.ListArray.from_arrays(starts, pa.array(tf))], ["id", "dl", "term", "tf"])
+
+    toks = docs.select(F.col("id").cast("long").alias("id"), *[T.tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(fields)])
+    return toks.mapInArrow(run, "id long, dl long, term array<int>, tf array<double>")
+
+
+def _score(part: list, vocab: list[str], weight: np.ndarray, mean: float, k: int, k1: float, b: float, match_all: bool, spark):
+    """A mapInArrow function over _terms_held() rows that yields its task's best documents of each query."""
+    place = {t: i for i, t in enumerate(vocab)}
+    asks = np.zeros((len(vocab), len(part)))
+    for j, r in enumerate(part):
+        asks[[place[t] for t in r.terms], j] = 1
+    box = spark.sparkContext.broadcast((asks, weight, np.array([len(r.terms) for r in part]), [r.query_id for r in part]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks, weight, need, ids = box.value
+        best = _Best(len(ids), k, 6)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                rows = whole.slice(at, 512)
+                size = pc.list_value_length(rows.column(2)).to_numpy(zero_copy_only=False)
+                row, term = np.repeat(np.arange(rows.num_rows), size), pc.list_flatten(rows.column(2)).to_numpy(zero_copy_only=False)
+                tf, dl = pc.list_flatten(rows.column(3)).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False)
+                dense = np.zeros((rows.num_rows, len(weight)))
+                dense[row, term] = weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / mean))
+                score = dense @ asks
+                hit = ((dense > 0) @ asks >= need) & (need > 0) if match_all else score > 0
+                best.add(rows.column(0).to_numpy(zero_copy_only=False), np.where(hit, score, -np.inf).T)
+        yield pa.RecordBatch.from_pandas(best.rows(ids, "score"), pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]), preserve_index=False)
+
+    return run
+
+
 def build_index(docs: DataFrame, path: str, fields: dict | None = None, buckets: int = 64) -> None:
     """Writes the postings of all terms, partitioned by a hash of the term, and the collection's statistics.
 
@@ -152,7 +265,7 @@ def _nearest(ids: list[int], vecs: list, k: int, spark):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_ids, q = box.value
-        best_id, best_cos = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        best = _Best(len(q), k, 9)
         for f in frames:
             if not len(f):
                 continue
@@ -161,19 +274,8 @@ def _nearest(ids: list[int], vecs: list, k: int, spark):
                 continue
             m = np.stack([np.asarray(v, np.float64) for v in f["vec"]])
             m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            own = f["id"].to_numpy()
-            order = np.argsort(own, kind="stable")
-            cos = q @ m[order].T
-            # cosine to 9 places, then the lower id: one integer orders both, so ties are exact
-            key = (np.rint(cos * 1e9).astype(np.int64) << 20) - np.arange(len(own))
-            n = min(k, len(own))
-            keep = np.argpartition(-key, n - 1, axis=1)[:, :n]
-            both_cos = np.hstack([best_cos, np.take_along_axis(cos, keep, 1)])
-            both_id = np.hstack([best_id, own[order][keep]])
-            top = np.lexsort((both_id, -np.rint(both_cos * 1e9)), axis=1)[:, :k]
-            best_cos, best_id = np.take_along_axis(both_cos, top, 1), np.take_along_axis(both_id, top, 1)
-        n = best_cos.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(own_ids, n), "id": best_id.ravel(), "cos": best_cos.ravel()})
+            best.add(f["id"].to_numpy(), q @ m.T)
+        yield best.rows(own_ids, "cos")
 
     return run
 

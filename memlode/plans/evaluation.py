@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from memlode.operators import metrics as M
 from memlode.operators import ranking
-from memlode.plans.base import Registry, chunks
+from memlode.plans.base import Registry, chunks, texts
 from memlode.plans.retrieval import BM25, items, vectors
 from memlode.session import table
 
@@ -32,7 +32,7 @@ def gold(spark, sf_dir):
 
 
 def ranked(spark, sf_dir):
-    hits = ranking.top_k(ranking.bm25(chunks(spark, sf_dir), items(spark, sf_dir)), 10)
+    hits = ranking.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 10)
     g = gold(spark, sf_dir).withColumn("is_gold", F.lit(True))
     return hits.join(g, ["query_id", "id"], "left").select("query_id", "id", "rank", F.coalesce("is_gold", F.lit(False)).alias("is_gold"))
 

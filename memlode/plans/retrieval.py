@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from memlode.functions import text as T
 from memlode.operators import ranking as R_
 from memlode.operators import stats, temporal
-from memlode.plans.base import AS_OF, Registry, chunks
+from memlode.plans.base import AS_OF, Registry, chunks, texts
 from memlode.session import table
 
 R = Registry()
@@ -27,12 +27,6 @@ def items(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def keywords(spark, sf_dir):
-    """Short queries: the alphabetically first six distinct terms of each item."""
-    t = F.array_join(F.slice(F.array_sort(F.array_distinct(T.tokens(F.col("text")))), 1, 6), " ")
-    return items(spark, sf_dir).withColumn("text", t)
-
-
 def toks(col: str) -> str:
     return f"list_filter(regexp_split_to_array(strip_accents(lower({col})), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
 
@@ -50,13 +44,12 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 
 @query(f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
 def bm25_top10(spark, sf_dir):
-    hits = R_.bm25(chunks(spark, sf_dir), items(spark, sf_dir))
-    return R_.top_k(hits, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 FTS = f"""
 d AS (SELECT id, {toks('chunk_text')} AS t, {toks('source_file')} AS f, {toks('chunk_type')} AS y FROM @chunks),
-q AS (SELECT query_id, unnest(list_slice(list_sort(list_distinct(t)), 1, 6)) AS term FROM (SELECT item_id AS query_id, {toks('text')} AS t FROM benchmark)),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({toks('text')}) AS term FROM benchmark),
 st AS (SELECT count(*) AS n, avg(len(t) + len(f) + len(y)) AS avgdl FROM d),
 r AS (SELECT id, dl, unnest(t) AS term, CAST(1.0 AS DOUBLE) AS w FROM (SELECT *, len(t) + len(f) + len(y) AS dl FROM d)
   UNION ALL SELECT id, dl, unnest(f), 0.5 FROM (SELECT *, len(t) + len(f) + len(y) AS dl FROM d)
@@ -72,8 +65,7 @@ FIELDS = {"chunk_text": 1.0, "source_file": 0.5, "chunk_type": 0.5}
 
 
 def fts(spark, sf_dir, k1=1.2, b=0.75):
-    hits = R_.bm25(chunks(spark, sf_dir), keywords(spark, sf_dir), k1, b, "fts5", FIELDS, match_all=True)
-    return R_.top_k(hits, 20)
+    return R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 20, k1, b, "fts5", FIELDS, match_all=True)
 
 
 @query(f"WITH {FTS} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM top20")
@@ -144,7 +136,7 @@ fused AS (SELECT query_id, key, sum(1.0::DOUBLE / (60 + rank0 + 1)) AS rrf, min(
 
 
 def legs(spark, sf_dir):
-    full = R_.top_k(R_.bm25(chunks(spark, sf_dir), items(spark, sf_dir)), 10).select("query_id", F.lit("fts").alias("leg"), (F.col("rank") - 1).alias("rank0"), "id")
+    full = R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 10).select("query_id", F.lit("fts").alias("leg"), (F.col("rank") - 1).alias("rank0"), "id")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     q = items(spark, sf_dir).join(e, F.col("query_id") == F.col("id")).select("query_id", "vec")
     near = R_.knn(e, q, 10).select("query_id", F.lit("semantic").alias("leg"), (F.col("rank") - 1).alias("rank0"), "id")
@@ -276,7 +268,7 @@ def temporal_intent(spark, sf_dir):
 s AS (SELECT *, CASE WHEN rank <= 20 THEN round(score, 6) + 10 * 0.5 * exp(-pow(datediff('day', DATE '2024-06-15', source_date), 2) / (2 * 900.0)) ELSE round(score, 6) END AS v FROM t)
 SELECT query_id, id, round(v, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 20 THEN 0 ELSE 1 END, CASE WHEN rank <= 20 THEN round(v, 6) END DESC, rank) AS INTEGER) AS rank FROM s""")
 def temporal_rerank(spark, sf_dir):
-    hits = R_.top_k(R_.bm25(chunks(spark, sf_dir), items(spark, sf_dir)), 30).withColumn("score", F.round("score", 6))
+    hits = R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 30).withColumn("score", F.round("score", 6))
     own = hits.join(chunks(spark, sf_dir).select("id", "source_date"), "id").withColumn("anchor", F.lit("2024-06-15").cast("date"))
     return temporal.rerank(own).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -285,14 +277,14 @@ def temporal_rerank(spark, sf_dir):
 m AS (SELECT query_id, list_sort(list(source_date)) AS ds, max(score) FILTER (WHERE rank = 1) AS top1, max(score) FILTER (WHERE rank = 2) AS top2 FROM t GROUP BY query_id)
 SELECT query_id, ds[CAST(len(ds) // 2 + 1 AS BIGINT)] AS anchor, round(greatest(0.1, top1 - coalesce(top2, 0)), 6) AS gap FROM m""")
 def temporal_anchor(spark, sf_dir):
-    hits = R_.top_k(R_.bm25(chunks(spark, sf_dir), items(spark, sf_dir)), 5).withColumn("score", F.round("score", 6))
+    hits = R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 5).withColumn("score", F.round("score", 6))
     return temporal.inferred_anchor(hits.join(chunks(spark, sf_dir).select("id", "source_date"), "id"))
 
 
 @query(f"""WITH {BM25}, alt AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) - 1 AS rank0, id FROM ranked WHERE rank <= 10)
 SELECT query_id, id, round(sum(1.0::DOUBLE / (61 + rank0)), 9) AS rrf FROM (SELECT query_id, rank - 1 AS rank0, id FROM ranked WHERE rank <= 10 UNION ALL SELECT query_id, rank0, id FROM alt) GROUP BY ALL""")
 def multi_query_rrf(spark, sf_dir):
-    top = R_.top_k(R_.bm25(chunks(spark, sf_dir), items(spark, sf_dir)), 10)
+    top = R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 10)
     alt = top.select("query_id", (F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank"))) - 1).alias("rank0"), "id")
     both = top.select("query_id", (F.col("rank") - 1).alias("rank0"), "id").union(alt)
     return both.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (61 + F.col("rank0"))), 9).alias("rrf"))
@@ -303,7 +295,7 @@ def multi_query_rrf(spark, sf_dir):
 u AS (SELECT query_id, id, min(p) AS place FROM (SELECT query_id, id, rank * 2 AS p FROM a UNION ALL SELECT query_id, id, rank * 2 + 1 FROM b) GROUP BY ALL)
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INTEGER) AS rank FROM u""")
 def interleaved(spark, sf_dir):
-    hits = R_.bm25(chunks(spark, sf_dir), items(spark, sf_dir))
+    hits = R_.bm25(texts(spark, sf_dir), items(spark, sf_dir))
     b = hits.join(chunks(spark, sf_dir).select("id", "access_count"), "id")
     b = b.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("access_count"), "id"))).where("rank <= 5")
     return R_.interleave(R_.top_k(hits, 5), b)
@@ -324,7 +316,7 @@ def query_entities(spark, sf_dir):
 @query(f"""WITH {BM25}, f AS (SELECT query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10)
 SELECT query_id, f.id, round(score * CASE WHEN 2 * n >= 3 THEN 1.4::DOUBLE WHEN n = 0 THEN 0.75 ELSE 1 END, 6) AS score FROM f JOIN (SELECT id, contains(lower(chunk_text), 'the')::INT + contains(lower(chunk_text), 'der')::INT + contains(lower(chunk_text), 'que')::INT AS n FROM @chunks) c ON c.id = f.id""")
 def focus_boost(spark, sf_dir):
-    hits = R_.top_k(R_.bm25(chunks(spark, sf_dir), items(spark, sf_dir)), 10).withColumn("score", F.round("score", 6))
+    hits = R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
     own = hits.join(chunks(spark, sf_dir).select("id", "chunk_text"), "id")
     return temporal.focus(own, ["the", "der", "que"]).select("query_id", "id", F.round("score", 6).alias("score"))
 
@@ -333,5 +325,5 @@ def focus_boost(spark, sf_dir):
 u AS (SELECT *, row_number() OVER (PARTITION BY query_id, h ORDER BY rank) AS n FROM f)
 SELECT query_id, id, 'chunk_' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS marker FROM u WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8""")
 def answer_context(spark, sf_dir):
-    hits = R_.top_k(R_.bm25(chunks(spark, sf_dir), items(spark, sf_dir)), 16).join(chunks(spark, sf_dir).select("id", "chunk_text"), "id")
+    hits = R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 16).join(chunks(spark, sf_dir).select("id", "chunk_text"), "id")
     return temporal.answer_context(hits, 8).select("query_id", "id", "marker")

@@ -8,7 +8,7 @@ from memlode.functions import text as T
 from memlode.operators import ranking
 from memlode.operators import selection as S
 from memlode.operators import similarity
-from memlode.plans.base import Registry, chunks, telemetry
+from memlode.plans.base import Registry, chunks, telemetry, texts
 from memlode.plans.retrieval import BM25, as_of, items
 from memlode.session import table
 
@@ -48,7 +48,7 @@ def multi_hop_class(spark, sf_dir):
 @query(f"""WITH {BM25}, h AS (SELECT query_id, r.id, rank, round(score, 6) * CASE section WHEN 'compiled' THEN 1.4::DOUBLE WHEN 'frontmatter' THEN 1.2 WHEN 'timeline' THEN 0.9 ELSE 1 END AS s FROM ranked r JOIN @chunks c ON c.id = r.id WHERE rank <= 20)
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, rank) AS INTEGER) AS new_rank FROM h""")
 def protected_rerank(spark, sf_dir):
-    hits = ranking.top_k(ranking.bm25(chunks(spark, sf_dir), items(spark, sf_dir)), 20).join(chunks(spark, sf_dir).select("id", "section"), "id")
+    hits = ranking.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 20).join(chunks(spark, sf_dir).select("id", "section"), "id")
     f = F.when(F.col("section") == "compiled", 1.4).when(F.col("section") == "frontmatter", 1.2).when(F.col("section") == "timeline", 0.9).otherwise(1.0)
     return S.reranked(hits, F.round(F.round("score", 6) * f, 6)).select("query_id", "id", "new_rank")
 
@@ -57,7 +57,7 @@ def protected_rerank(spark, sf_dir):
 FROM ranked r JOIN @chunks c ON c.id = r.id JOIN benchmark b ON b.item_id = query_id WHERE rank <= 10)
 SELECT query_id, id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, rank) AS INTEGER) AS new_rank FROM h""")
 def lexical_rerank(spark, sf_dir):
-    hits = ranking.top_k(ranking.bm25(chunks(spark, sf_dir), items(spark, sf_dir)), 10).drop("score")
+    hits = ranking.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 10).drop("score")
     own = hits.join(chunks(spark, sf_dir).select("id", "chunk_text"), "id").join(items(spark, sf_dir), "query_id").withColumn("score", S.lexical_score(F.col("text"), F.col("chunk_text")))
     return S.reranked(own, F.round("score", 9)).select("query_id", "id", F.round("score", 6).alias("score"), "new_rank")
 

@@ -367,3 +367,26 @@ def test_scopes_drop_what_was_kept_within(spark):
     assert not os.path.exists(inner._memlode_path) and sorted(r.id for r in done.collect()) == [1, 2, 3]
     outer.clear()
     assert not os.path.exists(done._memlode_path)
+
+
+@pytest.mark.parametrize("options", [{}, {"kind": "fts5", "match_all": True, "fields": {"t": 1.0, "f": 0.5}}, {"k1": 0.9, "b": 0.4, "fields": {"t": 1.0}}])
+def test_bm25_top_equals_the_joined_form(spark, monkeypatch, options):
+    rng = random.Random(4)
+    word = lambda: rng.choice("ação acao śnieg snieg x y z w v u t s r q p".split())
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 12))) if i % 9 else None, word()) for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, t string, f string").repartition(5)
+    options = {"fields": {"t": 1.0}} | options
+    q = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 3)))) for i in range(40)] + [(99, None), (98, "none of these")], "query_id long, text string")
+    want = sorted((r.query_id, r["rank"], r.id, round(r.score, 6)) for r in ranking.top_k(ranking.bm25(d, q, **options), 7).collect())
+    for block in (1024, 9):
+        monkeypatch.setattr(ranking, "QUERY_BLOCK", block)
+        assert sorted((r.query_id, r["rank"], r.id, round(r.score, 6)) for r in ranking.bm25_top(d, q, 7, **options).collect()) == want
+    assert len(want) > 50 and ranking.bm25_top(d.where("false"), q, 7, **options).count() == 0 and ranking.bm25_top(d, q.where("false"), 7, **options).count() == 0
+
+
+def test_fold(spark):
+    import unicodedata
+
+    text = "Ação ŚNIEG żółw őr é ñ ệ Ø ß 漢 😀"
+    want = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    assert one(spark, T.fold(F.lit(text))) == want
