@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from memlode.functions import text as T
@@ -56,55 +62,76 @@ def marked(chunks: DataFrame, marks: DataFrame) -> DataFrame:
     return c.withColumns({"confidence": conf, "superseded_by": F.col("m.superseded_by"), "stale": F.coalesce(F.col("m.mark") == "stale", F.lit(False))}).drop("m")
 
 
-def bundle_manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row a table: rows and a checksum that does not depend on order."""
-    parts = []
-    for name, df in sorted(tables.items()):
-        h = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)")
-        parts.append(df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("checksum")).select(F.lit(name).alias("name"), "n", "checksum"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def file_digests(spark, path: str) -> DataFrame:
+    """(file, bytes, sha256) of the files under a folder, by their place in it; each is read as a stream by one task."""
+    root = "".join(path.rstrip("/").split(":", 1)[-1].lstrip("/"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for name in f["path"]:
+                fs, local = pyarrow.fs.FileSystem.from_uri(name)
+                digest, size = hashlib.sha256(), 0
+                with fs.open_input_stream(local, compression=None) as stream:
+                    while part := stream.read(1 << 20):
+                        digest.update(part)
+                        size += len(part)
+                rows.append((name.split(root + "/", 1)[-1], size, digest.hexdigest()))
+            yield pd.DataFrame(rows, columns=["file", "bytes", "sha256"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("path")
+    return files.repartition(max(1, min(256, files.count()))).mapInPandas(run, "file string, bytes long, sha256 string")
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
+def write_bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes tables as gzipped JSON lines and a manifest with size and SHA-256 of every file, which is returned."""
     for name, df in tables.items():
-        df.write.mode("errorifexists").json(f"{path}/{name}.jsonl", compression="gzip")
-    bundle_manifest(tables).coalesce(1).write.json(f"{path}/manifest.json")
+        df.write.mode("errorifexists").json(f"{path}/tables/{name}", compression="gzip")
+    spark = next(iter(tables.values())).sparkSession
+    file_digests(spark, f"{path}/tables").coalesce(1).write.json(f"{path}/manifest")
+    return spark.read.schema("file string, bytes long, sha256 string").json(f"{path}/manifest")
 
 
 def read_bundle(spark, path: str, schemas: dict) -> dict[str, DataFrame]:
-    """The tables of a bundle; a table that does not match its manifest row raises."""
-    tables = {n: spark.read.schema(s).json(f"{path}/{n}.jsonl") for n, s in schemas.items()}
-    want = {r["name"]: (r.n, r.checksum) for r in spark.read.json(f"{path}/manifest.json").collect()}
-    got = {r["name"]: (r.n, r.checksum) for r in bundle_manifest(tables).collect()}
-    if bad := [n for n in schemas if want.get(n) != got[n]]:
+    """The tables of a bundle; files that are changed, lost or added since the manifest was written raise."""
+    want = spark.read.schema("file string, bytes long, sha256 string").json(f"{path}/manifest")
+    got = file_digests(spark, f"{path}/tables").select("file", F.col("bytes").alias("b"), F.col("sha256").alias("s"))
+    odd = want.join(got, "file", "full").where(~(F.col("bytes").eqNullSafe(F.col("b")) & F.col("sha256").eqNullSafe(F.col("s"))))
+    if bad := [r.file for r in odd.select("file").orderBy("file").limit(20).collect()]:
         raise ValueError(f"bundle does not match its manifest: {bad}")
-    return tables
+    return {n: spark.read.schema(s).json(f"{path}/tables/{n}") for n, s in schemas.items()}
 
 
 def checkpoints(rows: DataFrame, scope: str, size: int = 1000) -> DataFrame:
-    """Chain of range digests of a log: each block of ids by scope, its rows' digest and the range before it.
+    """Digests of ranges of a log, chained: each block of ids by scope with its rows' digest, the range before it
+    and ``chain``, which hashes the chain of the block before it and its own digest.
 
     A block's digest hashes its rows' digests in order, so only 64 characters a row are gathered, in
-    blocks of bounded size.
+    blocks of bounded size.  A scope's chain is a stream of one row a block, which holds one digest.
     """
     each = rows.select(scope, "id", F.floor(F.col("id") / size).alias("block"), F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256).alias("h"))
     g = each.groupBy(scope, "block").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "h"))), lambda s: s.h), ""), 256).alias("digest"))
     w = W.partitionBy(scope).orderBy("block")
-    return g.withColumns({"previous_last": F.lag("last_id").over(w), "previous_digest": F.lag("digest").over(w)})
-
-
-def chain(marks: list[tuple[str, str]]) -> list[str]:
-    """Chained digests of (name, digest) in order: each hashes the one before."""
-    import hashlib
-
-    out, last = [], ""
-    for name, d in marks:
-        last = hashlib.sha256(f"{last}|{name}|{d}".encode()).hexdigest()
-        out.append(last)
-    return out
+    g = g.withColumns({"previous_last": F.lag("last_id").over(w), "previous_digest": F.lag("digest").over(w)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = object(), ""
+        for f in frames:
+            out = []
+            for key, digest in zip(f[scope], f["digest"]):
+                last = hashlib.sha256(f"{last if key == now else ''}|{digest}".encode()).hexdigest()
+                now = key
+                out.append(last)
+            yield f.assign(chain=out)
+
+    return g.repartition(scope).sortWithinPartitions(scope, "block").mapInPandas(run, StructType([*g.schema, StructField("chain", StringType())]))
+
+
+def broken_links(old: DataFrame, new: DataFrame, scope: str) -> DataFrame:
+    """The first block of each scope whose chain differs between two readings of a log, or that one of them lacks."""
+    a, b = (x.select(scope, "block", F.col("chain").alias(n)) for x, n in ((old, "was"), (new, "now")))
+    odd = a.join(b, [scope, "block"], "full").where(~F.col("was").eqNullSafe(F.col("now")))
+    return odd.groupBy(scope).agg(F.min("block").alias("block"))
 
 
 def brief(chunks: DataFrame, salience: Column, as_of: Column, n: int = 140) -> DataFrame:

@@ -27,8 +27,11 @@ def interpolated(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The value at offset count / 2 of each group in order."""
-    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("v")).select(*by, F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("median"))
+    """The value at offset count / 2 of each group in order: the least one with more than half of the rows at or below it.
+
+    Counts of values combine map-side; no group's rows are gathered.
+    """
+    return rows.groupBy(*by).agg(F.expr(f"percentile_disc(0.5000000000001) WITHIN GROUP (ORDER BY {value})").alias("median"))
 
 
 def shares(rows: DataFrame, by: str) -> DataFrame:
@@ -87,15 +90,25 @@ def exposition(metrics: list[tuple[str, dict, float]]) -> str:
     return "\n".join(out) + "\n"
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, key: str, value: str, slice_seconds: int = 6 * 3600) -> DataFrame:
     """Each row of left (key, ts) with the latest ``value`` of right (key, ts) at or before it; ties count.
 
-    One sort of the union by key and time instead of a range join.
+    A sort of the union by key and time instead of a range join, within slices of time, so a key with
+    most of the rows is many tasks' work.  What a slice starts with is the last value of the slices
+    before it: a window over one row a key and slice.
     """
+    slice_of = lambda ts: F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (slice_seconds * 1_000_000))
+    cut = right.withColumn("slice_", slice_of("ts"))
+    last = cut.where(F.col(value).isNotNull()).groupBy(key, "slice_").agg(F.max(F.struct("ts", value)).alias("m"))
+    spots = left.select(key, slice_of("ts").alias("slice_")).distinct().join(last, [key, "slice_"], "full").select(key, "slice_", F.col(f"m.{value}").alias("own_"))
+    earlier = F.last("own_", ignorenulls=True).over(W.partitionBy(key).orderBy("slice_").rowsBetween(W.unboundedPreceding, -1))
+    carried = spots.withColumn("carried_", earlier).select(key, "slice_", "carried_")
     both = left.withColumns({"side": F.lit(1), value: F.lit(None).cast(right.schema[value].dataType)}).select(key, "ts", "side", "id", value)
     both = both.unionByName(right.select(key, "ts", F.lit(0).alias("side"), F.lit(None).cast(left.schema["id"].dataType).alias("id"), value))
-    w = W.partitionBy(key).orderBy("ts", "side", value).rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("side = 1").select("id", key, "ts", value)
+    both = both.withColumn("slice_", slice_of("ts"))
+    w = W.partitionBy(key, "slice_").orderBy("ts", "side", value).rowsBetween(W.unboundedPreceding, 0)
+    own = both.withColumn("near_", F.last(value, ignorenulls=True).over(w)).where("side = 1")
+    return own.join(carried, [key, "slice_"], "left").select("id", key, "ts", F.coalesce("near_", "carried_").alias(value))
 
 
 def epochs(ts: Column, hour: int = 9) -> Column:

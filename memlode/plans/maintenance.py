@@ -9,7 +9,7 @@ from memlode.operators import maintenance as O
 from memlode.operators import ranking
 from memlode.plans.base import Registry, chunks, telemetry
 from memlode.plans.retrieval import SALIENCE, as_of
-from memlode.session import table
+from memlode.session import Scratch, table
 
 R = Registry()
 query = R.query
@@ -45,10 +45,14 @@ def confidence_marks(spark, sf_dir):
     return O.marked(chunks(spark, sf_dir), marks).select("id", "confidence", "stale")
 
 
-@query("""WITH b AS (SELECT agent, id // 1000 AS block, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM @telemetry GROUP BY 1, 2) SELECT agent, CAST(block AS BIGINT) AS block, first_id, last_id, n, coalesce(lag(last_id) OVER (PARTITION BY agent ORDER BY block), -1) AS previous_last FROM b""")
+@query("""WITH RECURSIVE e AS (SELECT agent, id, id // 1000 AS block, sha256('{"agent":"' || agent || '","feature":"' || feature || '","id":' || id || '}') AS h FROM @telemetry),
+b AS (SELECT agent, block, min(id) AS first_id, max(id) AS last_id, count(*) AS n, sha256(string_agg(h, '' ORDER BY id)) AS digest FROM e GROUP BY 1, 2),
+o AS (SELECT *, coalesce(lag(last_id) OVER w, -1) AS previous_last, row_number() OVER w AS k FROM b WINDOW w AS (PARTITION BY agent ORDER BY block)),
+c AS (SELECT *, sha256('|' || digest) AS chain FROM o WHERE k = 1 UNION ALL SELECT o.*, sha256(c.chain || '|' || o.digest) FROM o JOIN c ON o.agent = c.agent AND o.k = c.k + 1)
+SELECT agent, CAST(block AS BIGINT) AS block, first_id, last_id, n, previous_last, digest, chain FROM c""")
 def audit_checkpoints(spark, sf_dir):
-    c = O.checkpoints(telemetry(spark, sf_dir), "agent")
-    return c.select("agent", "block", "first_id", "last_id", "n", F.coalesce("previous_last", F.lit(-1)).alias("previous_last"))
+    c = O.checkpoints(telemetry(spark, sf_dir).select("agent", "feature", "id"), "agent")
+    return c.select("agent", "block", "first_id", "last_id", "n", F.coalesce("previous_last", F.lit(-1)).alias("previous_last"), "digest", "chain")
 
 
 @query("""SELECT (SELECT count(*) FROM lineitem l LEFT JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL) AS orphans, (SELECT count(*) FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_custkey IS NULL) AS dangling, (SELECT count(*) - count(DISTINCT o_orderkey) FROM orders) AS doubled""")
@@ -116,10 +120,20 @@ def latest_runs(spark, sf_dir):
     return telemetry(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n <= 10").select("id", "feature", "ts")
 
 
-@query()
+@query("SELECT 'customer' AS name, count(*) AS n, true AS whole FROM customer UNION ALL SELECT 'orders', count(*), true FROM orders UNION ALL SELECT 'events', count(*), true FROM events")
 def archive_manifest(spark, sf_dir):
-    """Rows and an order-free checksum of each table; the checksum is Spark's own hash, so no SQL."""
-    return O.bundle_manifest({t: table(spark, sf_dir, t) for t in ("customer", "orders", "events")})
+    """Tables written as a bundle and read back against its manifest: rows, and whether every file has a digest."""
+    names = ("customer", "orders", "events")
+    path = Scratch(spark).place()
+    own = {t: table(spark, sf_dir, t) for t in names}
+    manifest = O.write_bundle(own, path)
+    back = O.read_bundle(spark, path, {n: df.schema for n, df in own.items()})
+    out = None
+    for n in names:
+        files = manifest.where(F.col("file").startswith(f"{n}/")).agg(F.every(F.length("sha256") == 64).alias("whole"))
+        one = back[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n").crossJoin(files)
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query()

@@ -69,9 +69,10 @@ def eval_summaries(spark: SparkSession, path: str) -> DataFrame:
 
 def log_tail(spark: SparkSession, path: str, n: int = 3) -> DataFrame:
     """The last n (1 to 20) non-empty lines with their timestamp, if any, and whether they report success."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    at = F.monotonically_increasing_id()  # file order; only the last n rows are looked at
-    last = lines.select(at.alias("at"), F.col("value").alias("raw")).orderBy(F.desc("at")).limit(max(1, min(20, n)))
+    # by file, by the block of the file that a task reads, and within the task by line
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(at.alias("at"), F.col("value").alias("raw")).where(F.trim("raw") != "")
+    last = lines.orderBy(F.desc("at")).limit(max(1, min(20, n)))
     ts = F.nullif(F.regexp_extract("raw", "^\\[?(\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}(?:Z|[+-]\\d{2}:?\\d{2})?)\\]?", 1), F.lit(""))
     ok = F.col("raw").rlike("(?i)\\b(OK|PASS|all .* invariants OK)\\b|✓") & ~F.col("raw").rlike("(?i)\\b(FAIL|ERROR)\\b|✗")
     return last.select("at", F.trim("raw").alias("raw"), ts.alias("timestamp"), ok.alias("ok")).orderBy("at").drop("at")
