@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from memlode.operators.graph import connected_components
 from memlode.session import Scratch
@@ -64,8 +64,14 @@ def _fingerprints(raws: pd.Series) -> pd.Series:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row of ``docs``; other columns are not read."""
-    return docs.select("doc_id", _fingerprints(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("fp"))
+    """(doc_id, fp) for every row of ``docs``; other columns are not read.  A worker holds one batch as it came and one text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x.as_py()) for x in b.column(1)], pa.int64())], ["doc_id", "fp"])
+
+    kind = {f.name: f.dataType for f in docs.schema}["doc_id"]
+    schema = StructType([StructField("doc_id", kind), StructField("fp", LongType())])
+    return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw")).mapInArrow(run, schema)
 
 
 def ring(tau: int) -> list[list[int]]:
