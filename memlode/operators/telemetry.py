@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def hourly(events: DataFrame, value: str = "latency_ms", hour: str = "1 hour") -> DataFrame:
-    """Count and nearest-rank percentiles of each tumbling hour."""
+def hourly(events: DataFrame, value: str = "latency_ms", hour: str = "1 hour", by: tuple = ()) -> DataFrame:
+    """Count and nearest-rank percentiles of each tumbling hour (and of each group ``by``)."""
     pct = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]
-    return events.groupBy(F.window("ts", hour).alias("w")).agg(F.count("*").alias("n"), *pct).select(F.col("w.start").alias("hour"), "n", *["p50", "p95", "p99"])
+    return events.groupBy(*by, F.window("ts", hour).alias("w")).agg(F.count("*").alias("n"), *pct).select(*by, F.col("w.start").alias("hour"), "n", *["p50", "p95", "p99"])
 
 
-def filled_hours(buckets: DataFrame) -> DataFrame:
-    """The buckets with empty hours between the first and the last as rows of count 0."""
-    span = buckets.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).where("a is not null")
-    hours = span.select(F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("hour"))
-    return hours.join(buckets, "hour", "left").fillna(0, ["n"])
+def filled_hours(buckets: DataFrame, by: tuple = ()) -> DataFrame:
+    """The buckets with empty hours between the first and the last (of each group) as rows of count 0."""
+    span = buckets.groupBy(*by).agg(F.min("hour").alias("a"), F.max("hour").alias("b")).where("a is not null")
+    hours = span.select(*by, F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("hour"))
+    return hours.join(buckets, [*by, "hour"], "left").fillna(0, ["n"])
 
 
 def interpolated(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -60,10 +60,10 @@ def audit_violations(spark, sf_dir):
     return O.bad_transitions(steps).select("audit_id", "seq", "status")
 
 
-@query("""SELECT r.id, p_name AS source, s_name AS target, left(chunk_text, 40) AS evidence FROM @relations r JOIN part ON p_partkey = source_id JOIN supplier ON s_suppkey = target_id JOIN @chunks c ON c.id = evidence_id""")
+@query("""SELECT r.id, p_name AS source, s_name AS target, sha256(chunk_text) AS evidence FROM @relations r JOIN part ON p_partkey = source_id JOIN supplier ON s_suppkey = target_id JOIN @chunks c ON c.id = evidence_id""")
 def relation_star(spark, sf_dir):
     r = relations(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("source_id")).join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("target_id"))
-    c = chunks(spark, sf_dir).select(F.col("id").alias("evidence_id"), F.substring("chunk_text", 1, 40).alias("evidence"))
+    c = chunks(spark, sf_dir).select(F.col("id").alias("evidence_id"), F.sha2("chunk_text", 256).alias("evidence"))
     return r.join(c, "evidence_id").select("id", F.col("p_name").alias("source"), F.col("s_name").alias("target"), "evidence")
 
 
@@ -101,20 +101,22 @@ def one_hop_neighbours(spark, sf_dir):
 
 
 @query(f"""WITH b AS (SELECT a, b, max(c) AS c FROM (SELECT source_id AS a, target_id AS b, confidence AS c FROM {EDGES} UNION ALL SELECT target_id, source_id, confidence FROM {EDGES}) GROUP BY 1, 2),
-s AS (SELECT DISTINCT p_partkey AS seed FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)), h1 AS (SELECT seed, b AS node, max(0.5 * c) AS w FROM s JOIN b ON a = seed GROUP BY 1, 2),
-h2 AS (SELECT seed, b.b AS node, max(w * 0.5 * c) AS w FROM h1 JOIN b ON a = node GROUP BY 1, 2)
-SELECT seed, seed AS node, 0 AS hop, 1.0::DOUBLE AS weight FROM s UNION ALL SELECT seed, node, 1, round(w, 6) FROM h1
-UNION ALL SELECT seed, node, 2, round(w, 6) FROM h2 WHERE node <> seed AND node NOT IN (SELECT node FROM h1)""")
+s AS (SELECT DISTINCT p_partkey AS seed FROM part), h1 AS (SELECT seed, b AS node, max(0.5 * c) AS w FROM s JOIN b ON a = seed GROUP BY 1, 2),
+h2 AS (SELECT seed, b.b AS node, max(w * 0.5 * c) AS w FROM h1 JOIN b ON a = node GROUP BY 1, 2), x AS (SELECT h2.* FROM h2 LEFT JOIN h1 ON h1.seed = h2.seed AND h1.node = h2.node WHERE h1.node IS NULL AND h2.node <> h2.seed),
+e AS (SELECT seed, seed AS node, 0 AS hop, 1.0::DOUBLE AS weight FROM s UNION ALL SELECT seed, node, 1, w FROM h1 UNION ALL SELECT seed, node, 2, w FROM x)
+SELECT seed, hop, count(*) AS n, CAST(sum(node) AS BIGINT) AS nodes, round(sum(weight), 4) AS weight FROM e GROUP BY 1, 2""")
 def graph_walk(spark, sf_dir):
-    seeds = table(spark, sf_dir, "part").agg(F.min("p_partkey").alias("seed"))
-    return O.walk(edges(spark, sf_dir), seeds, 2).select("seed", "node", "hop", F.round("weight", 6).alias("weight"))
+    """Two hops from every part: what each hop reaches, its ids' sum and weight."""
+    seeds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seed")).distinct()
+    reached = O.walk(edges(spark, sf_dir), seeds, 2)
+    return reached.groupBy("seed", "hop").agg(F.count("*").alias("n"), F.sum("node").alias("nodes"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey % 7 * 25 + c_nationkey % 5 AS b FROM customer WHERE c_custkey % 7 < 3), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey % 7 * 25 + c_nationkey % 5 + c_custkey % 3 * 1000 * (c_nationkey % 5) AS b FROM customer), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS root FROM both_ UNION SELECT b, root FROM r JOIN both_ ON a = node) SELECT CAST(node AS BIGINT) AS node, CAST(min(root) AS BIGINT) AS root FROM r GROUP BY node HAVING min(root) <> node""")
 def connected_components(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 7 < 3")
-    e = c.select(F.col("c_nationkey").cast("long").alias("src"), (100 + F.col("c_custkey") % 7 * 25 + F.col("c_nationkey") % 5).cast("long").alias("dst"))
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    e = table(spark, sf_dir, "customer").select(n.cast("long").alias("src"), (100 + k % 7 * 25 + n % 5 + k % 3 * 1000 * (n % 5)).cast("long").alias("dst"))
     return graph.connected_components(e)
 
 
@@ -124,12 +126,26 @@ def merge_preview(spark, sf_dir):
     return O.merge_preview(p)
 
 
-@query("""WITH known AS (SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0), m AS (SELECT s.s_suppkey AS id, s.s_name AS name, k.id AS known FROM supplier s LEFT JOIN known k ON k.name = s.s_name)
-SELECT (SELECT max(id) FROM known) + row_number() OVER (ORDER BY id) AS id, name, 'supplier' AS entity_type FROM m WHERE known IS NULL""")
-def import_entities(spark, sf_dir):
+IMPORTED = """known AS (SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0), m AS (SELECT s.s_suppkey AS id, s.s_name AS name, k.id AS known FROM supplier s LEFT JOIN known k ON k.name = s.s_name),
+f AS (SELECT id AS old, (SELECT max(id) FROM known) + row_number() OVER (ORDER BY id) AS id, name FROM m WHERE known IS NULL)"""
+
+
+def imported(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("entity_type"))
-    none = spark.createDataFrame([], "source_id long, predicate string, target_id long, confidence double")
-    return O.merge_import(s.where("id % 2 = 0"), none, s, none)[0]
+    r = relations(spark, sf_dir).select(F.col("target_id").alias("source_id"), "predicate", (F.col("target_id") * 7 % 10).alias("target_id"), "confidence")
+    return O.merge_import(s.where("id % 2 = 0"), r.where("source_id % 2 = 0 AND target_id % 2 = 0 AND predicate = 'returned_to'"), s, r)
+
+
+@query(f"WITH {IMPORTED} SELECT id, name, 'supplier' AS entity_type FROM f")
+def import_entities(spark, sf_dir):
+    return imported(spark, sf_dir)[0]
+
+
+@query(f"""WITH {IMPORTED}, r AS (SELECT DISTINCT target_id AS a, predicate, target_id * 7 % 10 AS b FROM @relations), i AS (SELECT id, known AS new FROM m WHERE known IS NOT NULL UNION ALL SELECT old, id FROM f)
+SELECT x.new AS source_id, predicate, y.new AS target_id FROM r JOIN i x ON x.id = a JOIN i y ON y.id = b WHERE NOT (x.new % 2 = 0 AND a % 2 = 0 AND b % 2 = 0 AND predicate = 'returned_to')""")
+def import_relations(spark, sf_dir):
+    """Relations under the ids that their entities have in the store, without those it has."""
+    return imported(spark, sf_dir)[1].select("source_id", "predicate", "target_id")
 
 
 @query("""WITH o AS (SELECT c_nationkey AS src, c_name AS slug, md5(CAST(c_custkey % 400 AS VARCHAR)) AS sha FROM customer WHERE c_custkey % 5 <> 0), n AS (SELECT c_nationkey AS src, c_name AS slug, md5(CAST(c_custkey % 400 AS VARCHAR)) AS sha FROM customer WHERE c_custkey % 7 <> 0),

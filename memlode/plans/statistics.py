@@ -22,12 +22,15 @@ BATCH = "(SELECT l_linenumber AS batch, l_quantity AS x FROM lineitem)"
 TPOINT = "CASE WHEN n - 1 > 120 THEN 1.96 END"
 
 
-@query("""WITH g AS (SELECT s_nationkey AS batch, count(*) AS n, avg(s_acctbal) AS mean, stddev_samp(s_acctbal) AS sd FROM supplier GROUP BY 1),
-t AS (SELECT *, CASE n WHEN 2 THEN 12.706::DOUBLE WHEN 3 THEN 4.303 WHEN 4 THEN 3.182 WHEN 5 THEN 2.776 WHEN 6 THEN 2.571 WHEN 7 THEN 2.447 WHEN 8 THEN 2.365 WHEN 9 THEN 2.306 WHEN 10 THEN 2.262 WHEN 11 THEN 2.228 END AS t FROM g)
-SELECT batch, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - t * sd / sqrt(n), 6) AS lo, round(mean + t * sd / sqrt(n), 6) AS hi FROM t WHERE n <= 11""")
+#: Two-sided points of Student's t for n values, as a table the SQL joins.
+TPOINTS = "(VALUES " + ", ".join(f"({n}, {S.t95(n)}::DOUBLE)" for n in range(2, 122)) + ") AS tp(k, t)"
+
+
+@query(f"""WITH g AS (SELECT s_nationkey AS batch, count(*) AS n, avg(s_acctbal) AS mean, stddev_samp(s_acctbal) AS sd FROM supplier GROUP BY 1), t AS (SELECT g.*, CASE WHEN n < 2 THEN NULL ELSE coalesce(t, 1.96::DOUBLE) END AS t FROM g LEFT JOIN {TPOINTS} ON k = n)
+SELECT batch, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - t * sd / sqrt(n), 6) AS lo, round(mean + t * sd / sqrt(n), 6) AS hi FROM t""")
 def batch_mean_ci(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("batch"), F.col("s_acctbal").alias("x"))
-    return rounded(S.mean_ci(s, ["batch"], "x").where("n <= 11"), "mean", "sd", "lo", "hi").select("batch", "n", "mean", "sd", "lo", "hi")
+    return rounded(S.mean_ci(s, ["batch"], "x"), "mean", "sd", "lo", "hi").select("batch", "n", "mean", "sd", "lo", "hi")
 
 
 @query("""WITH g AS (SELECT c_mktsegment AS metric, count(*) AS n, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS sd FROM customer GROUP BY 1), b AS (SELECT c_mktsegment AS metric, avg(c_acctbal) - 400 AS base FROM customer WHERE c_mktsegment <> (SELECT min(c_mktsegment) FROM customer) GROUP BY 1)
@@ -127,11 +130,13 @@ def holm_adjusted(spark, sf_dir):
     return rounded(S.holm(t), "adjusted")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role FROM conversations), a AS (SELECT conv_id, min(turn) AS turn FROM t WHERE role = 'assistant' GROUP BY 1), u AS (SELECT conv_id, min(turn) AS turn FROM t WHERE role = 'user' GROUP BY 1) SELECT u.conv_id, u.turn AS asked, a.turn AS answered FROM u JOIN a ON a.conv_id = u.conv_id AND a.turn > u.turn""")
+@query("""WITH t AS (SELECT conv_id, turn, role, lead(turn) OVER w AS next_turn, lead(role) OVER w AS next_role FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role))
+SELECT conv_id, turn AS asked, next_turn AS answered FROM t WHERE role = 'user' AND next_role = 'assistant'""")
 def call_pairs(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
-    g = t.groupBy("conv_id").agg(F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("asked"), F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("answered"))
-    return g.where("answered > asked")
+    """Every question with the answer that directly follows it."""
+    w = W.partitionBy("conv_id").orderBy("turn", "role")
+    t = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").select("conv_id", "turn", "role", F.lead("turn").over(w).alias("answered"), F.lead("role").over(w).alias("next"))
+    return t.where("role = 'user' AND next = 'assistant'").select("conv_id", F.col("turn").alias("asked"), "answered")
 
 
 @query("""WITH u AS (SELECT p_partkey AS id, md5('7:' || p_partkey) AS h, p_brand FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY h, id) AS n FROM u) SELECT id, p_brand FROM r WHERE n <= 5""")

@@ -18,14 +18,12 @@ def hourly_buckets(spark, sf_dir):
     return O.hourly(telemetry(spark, sf_dir))
 
 
-@query("""WITH b AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM @telemetry WHERE feature = (SELECT min(feature) FROM @telemetry) GROUP BY 1),
-h AS (SELECT unnest(generate_series((SELECT min(hour) FROM b), (SELECT max(hour) FROM b), INTERVAL 1 HOUR)) AS hour)
-SELECT h.hour, coalesce(n, 0) AS n FROM h LEFT JOIN b ON b.hour = h.hour""")
+@query("""WITH b AS (SELECT agent, feature, date_trunc('hour', ts) AS hour, count(*) AS n FROM @telemetry WHERE failed = 1 GROUP BY 1, 2, 3),
+h AS (SELECT agent, feature, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM b GROUP BY 1, 2) SELECT h.agent, h.feature, h.hour, coalesce(n, 0) AS n FROM h LEFT JOIN b ON b.hour = h.hour AND b.agent = h.agent AND b.feature = h.feature""")
 def hourly_gap_fill(spark, sf_dir):
-    t = telemetry(spark, sf_dir)
-    first = t.agg(F.min("feature").alias("first"))
-    own = t.join(F.broadcast(first), F.col("feature") == F.col("first"))
-    return O.filled_hours(O.hourly(own).select("hour", "n"))
+    """Failures of each agent and feature by hour, with the hours without any between the first and the last."""
+    by = ("agent", "feature")
+    return O.filled_hours(O.hourly(telemetry(spark, sf_dir).where("failed = 1"), by=by).select(*by, "hour", "n"), by)
 
 
 @query("""SELECT feature, round(avg(latency_ms), 6) AS mean, round(stddev_pop(latency_ms), 6) AS std, round(quantile_cont(latency_ms, 0.25), 6) AS p25, round(quantile_cont(latency_ms, 0.5), 6) AS p50,

@@ -72,9 +72,10 @@ def secrets_redacted(spark, sf_dir):
     return d.select("id", F.sha2(O.redact(O.strip_private(F.col("text"))), 256).alias("redacted_sha256"), F.size("kinds").alias("n_kinds"), F.aggregate(F.map_values("kinds"), F.lit(0), lambda a, n: a + n).alias("n"))
 
 
-@query("""WITH c AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '\\b\\d{16}\\b')) AS v FROM documents), d AS (SELECT id, v, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN (CAST(v[i] AS INT) * 2) // 10 + (CAST(v[i] AS INT) * 2) % 10 ELSE CAST(v[i] AS INT) END)) % 10 = 0 AS ok FROM c) SELECT id, count(*) AS found, count(*) FILTER (WHERE ok) AS valid FROM d GROUP BY 1""")
+@query("""WITH c AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '\\b\\d{13,19}\\b')) AS v FROM documents), d AS (SELECT id, list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN (len(v) - i) % 2 = 1 THEN (CAST(v[i] AS INT) * 2) // 10 + (CAST(v[i] AS INT) * 2) % 10 ELSE CAST(v[i] AS INT) END)) % 10 = 0 AS ok FROM c) SELECT id, count(*) AS found, count(*) FILTER (WHERE ok) AS valid FROM d GROUP BY 1""")
 def luhn_checked(spark, sf_dir):
-    v = docs(spark, sf_dir).select("id", F.explode(F.regexp_extract_all("text", F.lit("\\b\\d{16}\\b"), F.lit(0))).alias("v"))
+    """Runs of 13 to 19 digits, and those of them that pass the check."""
+    v = docs(spark, sf_dir).select("id", F.explode(F.regexp_extract_all("text", F.lit("\\b\\d{13,19}\\b"), F.lit(0))).alias("v"))
     return v.groupBy("id").agg(F.count("*").alias("found"), F.count(F.when(T.luhn(F.col("v")), 1)).alias("valid"))
 
 
