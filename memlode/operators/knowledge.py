@@ -19,11 +19,14 @@ def live(relations: DataFrame, least: float = 0.5) -> DataFrame:
     return relations.where(F.col("superseded_by").isNull() & (F.col("confidence") >= least))
 
 
-def conflicts(relations: DataFrame, predicates: list[str] | None = None, least: float = 0.5) -> DataFrame:
-    """(subject, predicate) with more than one live target: how many, the relation ids and the kind."""
+def conflicts(relations: DataFrame, predicates: list[str] | None = None, least: float = 0.5, blocked: list[str] | None = None) -> DataFrame:
+    """(subject, predicate) with more than one live target: how many, the relation ids and the kind.  ``predicates``
+    allows these only, ``blocked`` leaves these out."""
     own = live(relations, least)
     if predicates:
         own = own.where(F.col("predicate").isin(*predicates))
+    if blocked:
+        own = own.where(~F.col("predicate").isin(*blocked))
     out = own.groupBy("source_id", "predicate").agg(F.countDistinct("target_id").alias("targets"), F.sort_array(F.collect_list("id")).alias("ids"))
     return out.where("targets > 1").withColumn("kind", F.when(F.col("targets") > 2, "multi_target").otherwise("pair"))
 

@@ -232,3 +232,30 @@ def test_nearest_vectors_skip_null_ones(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, []), (5, [1.0, 0.0, 0.0])], "id long, vec array<double>")
     q = spark.createDataFrame([(7, [1.0, 0.1]), (8, None)], "query_id long, vec array<double>")
     assert [(r.query_id, r.id) for r in ranking.knn(v, q, 5).orderBy("rank").collect()] == [(7, 1), (7, 3)]
+
+
+def test_sealed_rows_open_with_their_key_and_label_only(spark):
+    from memlode.operators import lifecycle as L
+
+    d = spark.createDataFrame([(1, "é"), (2, None)], "id long, v string")
+    s = L.sealed(d, b"k" * 32, "a/1")
+    assert sorted(L.opened(s, b"k" * 32, "a/1", "id long, v string").collect()) == sorted(d.collect())
+    for key, label in ((b"x" * 32, "a/1"), (b"k" * 32, "a/2")):
+        with pytest.raises(Exception, match="AES|decrypt|tag|Tag"):
+            L.opened(s, key, label, "id long, v string").collect()
+
+
+def test_budget_falls_back_to_the_first_text(spark):
+    from memlode.operators import lifecycle as L
+
+    fill = lambda ts, n: spark.range(1).select(L.filled_budget(F.array(*map(F.lit, ts)), F.lit(n), joiner="|").alias("x")).first().x
+    assert fill(["aaaa", "bbbbbbbb", "cc"], 7) == "aaaa|cc" and fill(["aaaa", "bb"], 3) == "bb" and fill(["aaaa", "bbbb"], 3) == "aaa" and fill(["a" * 95, "b" * 5], 100) == "a" * 95
+
+
+def test_reindex_guard(spark):
+    from memlode.operators import lifecycle as L
+
+    a = spark.createDataFrame([(f"f{i}", "x") for i in range(10)], "source_file string, fp string")
+    with pytest.raises(ValueError):
+        L.reindexed(a, a.limit(0))
+    assert L.reindexed(a, a.withColumn("fp", F.lit("y"))).count() == 10
