@@ -50,6 +50,8 @@ BETWEEN = f"(?<![^\\p{{L}}\\p{{M}}\\p{{N}}{SPLIT}])[^\\p{{L}}\\p{{M}}\\p{{N}}{SP
 HOLDER = "(?<=<)(?-i:EMAIL|IP|CARD|PHONE|SECRET)>"
 #: Near-duplicate classes: words a shingle, bands and MinHash values a band.
 SHINGLE, BANDS, ROWS = 3, 4, 5
+#: A text's shingle hashes are represented by so many of the least: a uniform sample that like texts share.
+SKETCH = 128
 DISCLOSES, REMOVES = 0.85, 0.97
 
 
@@ -135,10 +137,12 @@ def _let(value: Column, f) -> Column:
 def bands(text: Column) -> Column:
     """array<bigint>: a hash of each band of MinHash values over the shingles of ``SHINGLE`` words.
 
-    A shorter text is one shingle; all texts without words agree.
+    The values are those of the text's bottom sketch, whose Jaccard similarity to another's is that of the
+    shingle sets but for sampling.  A shorter text is one shingle; all texts without words agree.
     """
     def shingles(ws):
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(SHINGLE)]))
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(SHINGLE)]))
+        return F.slice(F.sort_array(F.array_distinct(every)), 1, SKETCH)
 
     def least(hs):
         return F.transform(F.array(*[F.lit(b) for b in range(BANDS * ROWS)]), lambda b: F.array_min(F.transform(hs, lambda h: F.xxhash64(h, b))))
@@ -196,8 +200,12 @@ def entities(spans: dict[str, Column]) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """For every row: its key, the base spans of each kind and, outside them, the secrets."""
-    out = bare(docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text")), KINDS)
-    return out.select("k_id", "k_h", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], base_spans(F.col("bare"), "secret").alias("secret"))
+    out = docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("text"))
+    # the outer explode of one row keeps the spans from being computed for every use of them
+    out = out.select("*", F.explode_outer(F.array(F.struct(*[base_spans(F.col("text"), k).alias(k) for k in KINDS]))).alias("base"))
+    some = F.greatest(*[F.size(f"base.{k}") for k in KINDS]) > 0
+    out = bare(out, some, KINDS)
+    return out.select("k_id", "k_h", "base.*", base_spans(F.col("bare"), "secret").alias("secret"))
 
 
 def masked(text: Column, kind: str, shown=None) -> Column:
@@ -209,12 +217,13 @@ def masked(text: Column, kind: str, shown=None) -> Column:
     return F.when(_maybe(kind, text), F.array_join(pieces, "")).otherwise(text)
 
 
-def bare(docs: DataFrame, kinds: tuple = ALL_KINDS) -> DataFrame:
-    """``docs`` with column bare: the text with ``FILL`` for each character of a match, so offsets stay."""
-    out = docs.withColumn("bare", F.coalesce("text", F.lit("")))
-    for kind in kinds:
-        out = out.withColumn("bare", masked(F.col("bare"), kind, lambda v: F.repeat(F.lit(FILL), F.length(v))))
-    return out
+def bare(docs: DataFrame, some: Column, kinds: tuple = ALL_KINDS) -> DataFrame:
+    """``docs`` with column bare: the text with ``FILL`` for each character of a match, so offsets stay.  ``some`` says
+    which texts may have matches at all."""
+    out = docs.withColumn("bare", F.coalesce("text", F.lit(""))).withColumn("some_", some)
+    for kind in kinds:  # a step each: in one expression every step would hold several copies of the one before
+        out = out.withColumn("bare", F.when(F.col("some_"), masked(F.col("bare"), kind, lambda v: F.repeat(F.lit(FILL), F.length(v)))).otherwise(F.col("bare")))
+    return out.drop("some_")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES, removes: float = REMOVES, chance: float = CHANCE) -> DataFrame | None:
@@ -239,7 +248,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     if held.isEmpty():
         return None
     holders = scratch.keep(held.select("k_h").distinct())
-    every = docs.select(_key(docs)[1], "text")
+    spotted = scratch.keep(found.where(F.greatest(*[F.size(k) for k in ALL_KINDS]) > 0).select(F.col("k_h").alias("s_h")).distinct())
+    every = docs.select(_key(docs)[1], "text").join(scratch.broadcast_if_small(spotted), F.col("k_h") == F.col("s_h"), "left").withColumn("some", F.col("s_h").isNotNull()).drop("s_h")
     near = uses(every.join(scratch.broadcast_if_small(holders), "k_h", "left_semi")).join(scratch.broadcast_if_small(held), "k_h")
     both = scratch.keep(near.groupBy("entity", "n_c", "term").agg(F.countDistinct("class").alias("n_ct")).where(F.col("n_ct") >= support))
     pairs = both.count()
@@ -266,8 +276,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
 
 
 def uses(texts: DataFrame, terms: DataFrame | None = None, *carry: str) -> DataFrame:
-    """(k_h, *carry, term): the terms of each text, of ``terms`` only if given."""
-    rows = bare(texts).select("k_h", *carry, terms_of(F.col("bare")).alias("ws")).select("k_h", *carry, F.explode_outer("ws").alias("term")).where("term is not null")
+    """(k_h, *carry, term): the terms of each text (k_h, text, and whether it has ``some`` matches), of ``terms`` only if given."""
+    rows = bare(texts, F.col("some")).select("k_h", *carry, terms_of(F.col("bare")).alias("ws")).select("k_h", *carry, F.explode_outer("ws").alias("term")).where("term is not null")
     return rows if terms is None else rows.join(terms, "term", "left_semi")
 
 
@@ -299,7 +309,7 @@ def find(docs: DataFrame, **options) -> DataFrame:
     if terms is None:
         out = out.withColumn("term", none)
     else:
-        spans = bare(docs.select(_key(docs)[1], F.col("text")).join(own_patterns(terms), F.col("k_h") == F.col("p_h")))
+        spans = bare(docs.select(_key(docs)[1], F.col("text")).join(own_patterns(terms), F.col("k_h") == F.col("p_h")), F.lit(True))
         spans = spans.select("p_h", matches(F.col("bare"), F.col("k_any")).alias("term")).dropDuplicates(["p_h"])
         out = out.join(spans, F.col("k_h") == F.col("p_h"), "left").withColumn("term", F.coalesce("term", none))
     number = {k: F.size(k).cast("long") for k in (*ALL_KINDS, "term")}
