@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from memlode.functions import text as T
 from memlode.operators import ranking as R_
 from memlode.operators import stats, temporal
-from memlode.plans.base import AS_OF, Registry, chunks, texts
+from memlode.plans.base import AS_OF, Registry, chunks, relations, texts
 from memlode.session import table
 
 R = Registry()
@@ -281,13 +281,33 @@ def temporal_anchor(spark, sf_dir):
     return temporal.inferred_anchor(hits.join(chunks(spark, sf_dir).select("id", "source_date"), "id"))
 
 
-@query(f"""WITH {BM25}, alt AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) - 1 AS rank0, id FROM ranked WHERE rank <= 10)
-SELECT query_id, id, round(sum(1.0::DOUBLE / (61 + rank0)), 9) AS rrf FROM (SELECT query_id, rank - 1 AS rank0, id FROM ranked WHERE rank <= 10 UNION ALL SELECT query_id, rank0, id FROM alt) GROUP BY ALL""")
+VARIANT = """hits2 AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * dl / avgdl))) AS score FROM p JOIN dfs USING (term) JOIN q USING (term), st GROUP BY query_id, id),
+ranked2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM hits2)"""
+
+
+@query(f"WITH {BM25}, {VARIANT} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked2 WHERE rank <= 10")
+def bm25_variant(spark, sf_dir):
+    """The other published parameters: k1 0.9, b 0.4."""
+    return R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 10, 0.9, 0.4).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {BM25}, {VARIANT} SELECT query_id, id, round(sum(1.0::DOUBLE / (61 + rank0)), 9) AS rrf FROM (SELECT query_id, rank - 1 AS rank0, id FROM ranked WHERE rank <= 10 UNION ALL SELECT query_id, rank - 1, id FROM ranked2 WHERE rank <= 10) GROUP BY ALL""")
 def multi_query_rrf(spark, sf_dir):
-    top = R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 10)
-    alt = top.select("query_id", (F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank"))) - 1).alias("rank0"), "id")
-    both = top.select("query_id", (F.col("rank") - 1).alias("rank0"), "id").union(alt)
-    return both.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (61 + F.col("rank0"))), 9).alias("rrf"))
+    """Two lists for a query, fused."""
+    legs = [R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 10, *p).select("query_id", (F.col("rank") - 1).alias("rank0"), "id") for p in ((1.5, 0.75), (0.9, 0.4))]
+    return legs[0].union(legs[1]).groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (61 + F.col("rank0"))), 9).alias("rrf"))
+
+
+@query(f"""WITH {BM25}, t AS (SELECT query_id, r.id, rank, round(score, 6) AS score, source_date FROM ranked r JOIN @chunks c ON c.id = r.id WHERE rank <= 10),
+m AS (SELECT query_id, list_sort(list(source_date) FILTER (WHERE rank <= 5)) AS ds, max(score) FILTER (WHERE rank = 1) AS top1, max(score) FILTER (WHERE rank = 2) AS top2 FROM t GROUP BY query_id),
+a AS (SELECT query_id, ds[CAST(len(ds) // 2 + 1 AS BIGINT)] AS anchor, round(greatest(0.1, top1 - coalesce(top2, 0)), 6) AS gap FROM m)
+SELECT query_id, id, round(score + gap * 0.5::DOUBLE * exp(-pow(date_diff('day', anchor, source_date), 2) / 1800) * 2 * 0.8, 6) AS score FROM t JOIN a USING (query_id)""")
+def temporal_gap_bump(spark, sf_dir):
+    """Hits near the date their own best hits suggest gain by the gap of the first two scores."""
+    hits = R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 10).withColumn("score", F.round("score", 6)).join(chunks(spark, sf_dir).select("id", "source_date"), "id")
+    own = hits.join(temporal.inferred_anchor(hits), "query_id")
+    near = temporal.proximity(F.col("source_date"), F.col("anchor"))
+    return own.select("query_id", "id", F.round(temporal.gap_bump(F.col("score"), F.col("gap"), near, F.lit(0.8)), 6).alias("score"))
 
 
 @query(f"""WITH {BM25}, a AS (SELECT query_id, id, rank FROM ranked WHERE rank <= 5), b AS (SELECT query_id, c.id, row_number() OVER (PARTITION BY query_id ORDER BY access_count DESC, c.id) AS rank
@@ -327,3 +347,12 @@ SELECT query_id, id, 'chunk_' || row_number() OVER (PARTITION BY query_id ORDER
 def answer_context(spark, sf_dir):
     hits = R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 16).join(chunks(spark, sf_dir).select("id", "chunk_text"), "id")
     return temporal.answer_context(hits, 8).select("query_id", "id", "marker")
+
+
+@query("""WITH w AS (SELECT source_id AS id, least(0.3::DOUBLE, sum(CASE method WHEN 'manual' THEN 0.1 WHEN 'llm' THEN 0.04 ELSE 0 END)) AS plus FROM @relations GROUP BY 1)
+SELECT p_partkey AS id, round(p_size * (1 + coalesce(plus, 0)), 6) AS score FROM part LEFT JOIN w ON id = p_partkey""")
+def reason_boost(spark, sf_dir):
+    """Scores rise with the weights of what points at a hit, by 0.3 at most."""
+    hits = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"))
+    reasons = relations(spark, sf_dir).select(F.col("source_id").alias("id"), F.col("method").alias("reason"))
+    return temporal.reason_boost(hits, reasons, {"manual": 0.1, "llm": 0.04}).select("id", F.round("score", 6).alias("score"))

@@ -45,12 +45,31 @@ def multi_hop_class(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), score.alias("score"), hop.alias("multi_hop"))
 
 
-@query(f"""WITH {BM25}, h AS (SELECT query_id, r.id, rank, round(score, 6) * CASE section WHEN 'compiled' THEN 1.4::DOUBLE WHEN 'frontmatter' THEN 1.2 WHEN 'timeline' THEN 0.9 ELSE 1 END AS s FROM ranked r JOIN @chunks c ON c.id = r.id WHERE rank <= 20)
-SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, rank) AS INTEGER) AS new_rank FROM h""")
+HITS = f"""{BM25}, h AS (SELECT query_id, r.id, rank, round(score, 6) AS score, section, coalesce(section IN ('compiled', 'frontmatter'), false) AS e, access_count AS s FROM ranked r JOIN @chunks c ON c.id = r.id WHERE rank <= 20)"""
+
+
+def hits(spark, sf_dir):
+    return ranking.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 20).join(chunks(spark, sf_dir).select("id", "section", "access_count"), "id")
+
+
+@query(f"""WITH {HITS}, f AS (SELECT *, score * CASE section WHEN 'compiled' THEN 1.4::DOUBLE WHEN 'frontmatter' THEN 1.2 WHEN 'timeline' THEN 0.9 ELSE 1.0::DOUBLE END AS w FROM h)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY w DESC, rank) AS INTEGER) AS new_rank FROM f""")
 def protected_rerank(spark, sf_dir):
-    hits = ranking.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 20).join(chunks(spark, sf_dir).select("id", "section"), "id")
-    f = F.when(F.col("section") == "compiled", 1.4).when(F.col("section") == "frontmatter", 1.2).when(F.col("section") == "timeline", 0.9).otherwise(1.0)
-    return S.reranked(hits, F.round(F.round("score", 6) * f, 6)).select("query_id", "id", "new_rank")
+    return S.protected(hits(spark, sf_dir), F.round("score", 6), "factor").select("query_id", "id", "new_rank")
+
+
+@query(f"""WITH {HITS}, a AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM h WHERE NOT e), b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS n FROM h WHERE NOT e)
+SELECT query_id, id, CAST(rank AS INTEGER) AS new_rank FROM a JOIN b USING (query_id, n) UNION ALL SELECT query_id, id, CAST(rank AS INTEGER) FROM h WHERE e""")
+def protected_bypass(spark, sf_dir):
+    """Entity rows stay where they are, the others share the free ranks."""
+    return S.protected(hits(spark, sf_dir), F.col("access_count"), "bypass").select("query_id", "id", F.col("new_rank").cast("int").alias("new_rank"))
+
+
+@query(f"""WITH {HITS}, t AS (SELECT *, e AND row_number() OVER (PARTITION BY query_id, e ORDER BY rank) <= 3 AS top FROM h)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN top THEN 0 ELSE 1 END, CASE WHEN top THEN rank END, s DESC, rank) AS INTEGER) AS new_rank FROM t""")
+def protected_anchor(spark, sf_dir):
+    """The first three entity rows on top, the rest by score."""
+    return S.protected(hits(spark, sf_dir), F.col("access_count"), "anchor").select("query_id", "id", "new_rank")
 
 
 @query(f"""WITH {BM25}, h AS (SELECT query_id, r.id, rank, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')), list_filter(regexp_split_to_array(lower(c.chunk_text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) / len(list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')))::DOUBLE AS s
