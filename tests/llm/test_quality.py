@@ -117,3 +117,36 @@ def test_rules_awkward_rows(spark):
     assert QR.quality_rules(no_documents(spark)).count() == 0
     alone = QR.quality_rules(documents(spark).where("doc_id = 9")).selectExpr("*").collect()
     assert len(alone) == 1 and alone[0].n_words == 60_000
+
+
+def test_lasso_meets_its_optimality_conditions():
+    rng = np.random.default_rng(3)
+    h = (rng.random((1500, 25)) < rng.uniform(0.1, 0.9, 25)).astype(np.float32)
+    y = (rng.random(1500) < 1 / (1 + np.exp(-(h[:, 0] * 2 - h[:, 1] * 1.5 + h[:, 2] - 0.5)))).astype(float)
+    for l1 in (0.0015, 0.02):
+        b, w = Q.lasso_logistic(h, y, l1, steps=3000)
+        g = h.T @ (1 / (1 + np.exp(-(h @ w + b))) - y) / len(y)
+        assert abs((1 / (1 + np.exp(-(h @ w + b))) - y).mean()) < 1e-5
+        on = np.abs(w) > 1e-8
+        assert np.abs(g[on] + l1 * np.sign(w[on])).max() < 1e-4 and (np.abs(g[~on]) <= l1 + 1e-4).all() and 3 <= on.sum()
+        short = Q.lasso_logistic(h, y, l1)
+        assert np.abs(short[1] - w).max() < 0.02  # the steps that fit() takes come near enough
+
+
+def test_paths_hold_for_the_rows_of_their_nodes():
+    """Every path is the conjunction that leads to its node: children split the rows of their parent."""
+    rng = np.random.default_rng(5)
+    x = rng.random((600, 4))
+    r = (x[:, 0] > 0.4) * 1.0 - (x[:, 1] < 0.3) * (x[:, 2] > 0.5)
+    cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, Q.BINS + 1)[1:-1])) for k in range(4)]
+    binned = np.stack([np.searchsorted(c, x[:, k], "left") for k, c in enumerate(cuts)], axis=1)
+    out = []
+    leaves = Q._grow(binned, cuts, r, np.arange(600), np.arange(4), 3, (), out)
+    assert sorted(np.concatenate([rows for rows, _ in leaves]).tolist()) == list(range(600))
+    paths = [p for p in out if not any(q[: len(p)] == p and len(q) > len(p) for q in out)]
+    held = sorted(tuple(np.flatnonzero(Q.holds(p, x))) for p in paths)
+    assert held == sorted(tuple(sorted(rows.tolist())) for rows, _ in leaves) and len(leaves) > 4
+    assert all(abs(r[rows].mean() - m) < 1e-12 for rows, m in leaves)
+    k, _, t = out[0][0]
+    gain = lambda k, t: (r[x[:, k] <= t].sum() ** 2 / (x[:, k] <= t).sum() + r[x[:, k] > t].sum() ** 2 / (x[:, k] > t).sum())
+    assert gain(k, t) >= max(gain(j, c) for j in range(4) for c in cuts[j]) - 1e-9  # the first split is the best of all

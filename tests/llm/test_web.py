@@ -229,3 +229,37 @@ def test_ancestors_end_under_many_open_elements():
     for n in (5, 250, 5000):
         one, two = B.blocks("<nav>" + "<b>" * n + "x</nav><article>y</article>")
         assert one.mask == B.blocks("<nav>x</nav>")[0].mask and two.mask == B.blocks("<article>y</article>")[0].mask
+
+
+def test_training_maximises_the_likelihood():
+    """The regularised likelihood, by summing over all labellings, is higher at the fit than around it."""
+    from itertools import product
+
+    import numpy as np
+
+    pages = [(bs[:7], ls[:7]) for bs, ls in (H.labelled(p) for p in H.training_pages(12, seed=3))]
+    m = H.fit(pages, epochs=1500, l2=0.05)
+
+    def objective(theta):
+        a, t, step, start = theta[: H.N_ANCESTOR], theta[H.N_ANCESTOR : -5], theta[-5:-1].reshape(2, 2), theta[-1]
+        total, n = 0.0, 0
+        for bs, ls in pages:
+            main = H.has_main(bs)
+            e = []
+            for i, b in enumerate(bs):
+                own = H.text_mask(b, i, len(bs), main)
+                e.append(sum(a[k] for k in range(H.N_ANCESTOR) if b.mask >> k & 1) + sum(t[k] for k in range(len(H.TEXT_FEATURES)) if own >> k & 1))
+            value = lambda y: start * y[0] + sum(x for x, on in zip(e, y) if on) + sum(step[p, q] for p, q in zip(y, y[1:]))
+            every = [value(y) for y in product((0, 1), repeat=len(bs))]
+            total += value([int(x) for x in ls]) - np.logaddexp.reduce(every)
+            n += len(bs)
+        return total / n - 0.05 / 2 * (theta**2).sum()
+
+    best = np.r_[m.ancestor, m.text, m.step.ravel(), m.start]
+    top, rng = objective(best), np.random.default_rng(1)
+    for _ in range(25):
+        assert objective(best + rng.normal(0, 0.05, len(best))) < top
+    for k in (0, 5, H.N_ANCESTOR, H.N_ANCESTOR + 4, len(best) - 5, len(best) - 2, len(best) - 1):
+        d = np.zeros(len(best))
+        d[k] = 1e-4
+        assert abs(objective(best + d) - objective(best - d)) / 2e-4 < 2e-3  # the gradient is zero
