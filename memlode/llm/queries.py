@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from memlode.llm.chat_format import op6_chat_format
 from memlode.llm.decontaminate import op2_decontamination
+from memlode.llm.divergence import DIVERGENCE_SQL, op11_source_divergence
 from memlode.llm.html_extract import op10_html_extract
 from memlode.llm.language_id import op7_language_id
 from memlode.llm.mixing import op9_mixing
 from memlode.llm.pii import op8_pii
 from memlode.llm.quality_model import op3_quality_classifier
 from memlode.llm.quality_rules import op5_quality_rules
+from memlode.llm.repair import REPAIR_SQL, op12_conversation_repair
 from memlode.llm.simhash import op1_simhash
+from memlode.llm.topk import TOPK_SQL, op13_topk
 from memlode.llm.warc import op4_warc_derivatives
 
 OPERATORS = (
     op1_simhash, op2_decontamination, op3_quality_classifier, op4_warc_derivatives, op5_quality_rules,
     op6_chat_format, op7_language_id, op8_pii, op9_mixing, op10_html_extract,
+    op11_source_divergence, op12_conversation_repair, op13_topk,
 )
 
 
@@ -38,4 +42,4 @@ FROM e GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict:
-    return {"op6_chat_format": CHAT_SQL}
+    return {"op6_chat_format": CHAT_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_conversation_repair": REPAIR_SQL, "op13_topk": TOPK_SQL}
