@@ -38,7 +38,7 @@ _THOUSANDS = 3
 #: Bytes of text taken at once; one longer text is taken whole.
 PIECE = 8 << 20
 #: Entries (sources with the term) of a block of terms, about.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 _COUNTS = "lang string, source string, term string, n long, docs long"
 _FOUND = "lang string, source string, part string, item string, value long"
 

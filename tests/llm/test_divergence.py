@@ -105,7 +105,7 @@ def found(docs, **more):
     return sorted((r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in D.divergences(D.term_counts(docs), **more).collect())
 
 
-@pytest.mark.parametrize("block", [1 << 18, 7])
+@pytest.mark.parametrize("block", [1 << 16, 7])
 def test_whole_operator(spark, monkeypatch, block):
     monkeypatch.setattr(D, "BLOCK", block)
     monkeypatch.setattr(D, "PIECE", 500)
