@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -114,8 +115,7 @@ class Searcher:
     def _hashes(self, words: list[bytes], k: int) -> np.ndarray:
         """Hashes of all shingles of k words, in order."""
         n = max(0, len(words) - k + 1)
-        w = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-        w = (w ^ (w >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         out = np.full(n, k, np.uint64)
         for j in range(k):
             out += w[j : j + n] * self.mult[j]

@@ -56,6 +56,7 @@ def test_sketches_prune_and_lose_nothing():
     rng = random.Random(5)
     items = [" ".join(f"i{j}w{rng.randrange(50)}" for _ in range(rng.choice((8, 20, 60, 300)))) for j in range(60)]
     find = D.Searcher(items)
+    far = false = 0
     for j, t in enumerate(items):
         w = t.split()
         n = len(find.shingles(j))
@@ -63,7 +64,9 @@ def test_sketches_prune_and_lose_nothing():
             text = " ".join(["before", *w[cut:], "after"]).encode()
             share = len(set(find._shingles(w[cut:] and [x.encode() for x in w[cut:]])) & set(find.shingles(j))) / n if len(w) - cut >= 5 else 0
             assert (share >= 0.8) == (j in [i for i, _ in find.search(text)])
-            assert share >= 0.5 or j not in find.candidates(text)  # far from contained: no candidate
+            far += share < 0.5
+            false += share < 0.5 and j in find.candidates(text)
+    assert far > 300 and false <= 0.02 * far  # a sketch is a sample: few that are far from contained get through, and are verified
     assert all(p[1].size <= sum(len(find.shingles(j)) for j in range(60)) for p in find.partitions)
 
 
