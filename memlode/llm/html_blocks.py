@@ -34,11 +34,22 @@ NAME_FEATURES = {
     "name:meta": "byline|author|date|tags|tag|meta|timestamp|info",
     "name:hidden": "hidden|invisible|sr-only|screen-reader",
 }
+#: Such a part at the head or end of a class name tells a state of the element, not what it is: has-sidebar, comments-open.
+STATE_HEADS = frozenset("has no with without is not hide show enable disable js".split())
+STATE_TAILS = frozenset("open closed opened enabled disabled on off active inactive visible hidden shown count".split())
 FEATURES = [f"tag:{t}" for t in TAG_FEATURES] + list(NAME_FEATURES)
 _BIT = {f: 1 << i for i, f in enumerate(FEATURES)}
 _NAMES = [(_BIT[f], frozenset(p.split("|"))) for f, p in NAME_FEATURES.items()]
+#: What an element is that holds an article, and what it stays whatever it holds.
+_MAIN = _BIT["tag:article"] | _BIT["tag:main"] | _BIT["name:main"]
+_TAG_BITS = sum(_BIT[f"tag:{t}"] for t in TAG_FEATURES)
+_STAYS = _BIT["name:comment"] | _BIT["name:hidden"]
+_SELF_STAYS = _STAYS | _BIT["name:ad"] | _BIT["name:notice"]
+_SIDE = sum(_BIT[f] for f in ("tag:nav", "tag:header", "tag:footer", "tag:aside", "tag:form", "tag:dialog", "tag:menu", "name:ad", "name:nav", "name:header", "name:footer", "name:side", "name:comment", "name:notice", "name:form", "name:share", "name:hidden"))
+#: A paragraph of so many characters stands for an article where a page names none.
+_LONG = 200
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
@@ -49,15 +60,25 @@ _end_tags: dict[tuple[str, str], re.Pattern] = {}
 _masks: dict[tuple[str, str], int] = {}
 
 
+def _parts(value: str) -> set[str]:
+    """The parts of the names in a class, id or role; of a hyphenated name that tells a state, none."""
+    out: set[str] = set()
+    for name in value.split():
+        parts = [p for p in _PARTS.split(name) if p]
+        if len(parts) < 2 or not (parts[0] in STATE_HEADS or parts[-1] in STATE_TAILS):
+            out.update(parts, (name,))
+    return out
+
+
 def _mask(tag: str, attrs: str) -> int:
+    """What an element's own tag and attributes say."""
     key = (tag, attrs)
     got = _masks.get(key)
     if got is None:
         got = _BIT.get(f"tag:{tag}", 0)
         if attrs and tag not in ("html", "body"):  # what they are called says nothing about a block
             for m in _ATTR.finditer(attrs):
-                value = (m[1] or m[2] or m[3] or "").lower()
-                parts = set(_PARTS.split(value)) | set(value.split())
+                parts = _parts((m[1] or m[2] or m[3] or "").lower())
                 for bit, names in _NAMES:
                     if not names.isdisjoint(parts):
                         got |= bit
@@ -77,21 +98,64 @@ class Block:
     linked: int
 
 
-class _Open:
-    """The open elements with their features: closing looks up the place of a name, however many are open."""
+class _Elements:
+    """All elements that say something: parent, own features and, once the page is read, what they hold.
+
+    An element may be called a form, a banner or a sidebar and yet hold the page: one with at least half
+    of the text outside comments that holds (or is) an article is a wrapper, and then only its tag as an
+    article, comments and what is hidden count.  On a page without articles a long paragraph stands for one.
+    """
 
     def __init__(self) -> None:
+        self.parent, self.own = [-1], [0]
+
+    def add(self, parent: int, bits: int) -> int:
+        self.parent.append(parent)
+        self.own.append(bits)
+        return len(self.own) - 1
+
+    def masks(self, texts: list[tuple[int, int, bool]]) -> list[int]:
+        """The features of each element and its ancestors; ``texts`` is (element, characters, paragraph) of each block."""
+        n = len(self.own)
+        size, article, said, long = [0] * n, [False] * n, [False] * n, [False] * n
+        for k in range(1, n):
+            said[k] = said[self.parent[k]] or bool(self.own[k] & _BIT["name:comment"])
+        for k, chars, paragraph in texts:
+            size[k] += 0 if said[k] else chars
+            long[k] |= paragraph and chars >= _LONG and not said[k]
+        for k in range(n - 1, 0, -1):
+            p, own = self.parent[k], self.own[k]
+            article[k] |= bool(own & _MAIN) and not said[k] and not own & (_SELF_STAYS if own & _TAG_BITS & _MAIN else _SIDE)
+            article[p] |= article[k]
+            size[p] += size[k]
+            long[p] |= long[k]
+        holds = article if article[0] else long
+        out = [0] * n
+        for k in range(1, n):
+            own = self.own[k]
+            if own & _SIDE and holds[k] and 2 * size[k] >= size[0]:
+                own &= _MAIN | _SELF_STAYS if own & _TAG_BITS & _MAIN else _MAIN & ~_TAG_BITS | _STAYS
+            out[k] = out[self.parent[k]] | own
+        return out
+
+
+class _Open:
+    """The open elements: closing looks up the place of a name, however many are open."""
+
+    def __init__(self, elements: _Elements) -> None:
+        self.elements = elements
         self.stack: list[tuple[str, int]] = []
         self.places: dict[str, list[int]] = {}
         self.block_places: list[int] = []
-        self.mask = self.links = self.muted = 0
+        self.element = self.links = self.muted = 0
 
     def push(self, tag: str, bits: int) -> None:
-        self.mask |= bits
+        if bits:
+            self.element = self.elements.add(self.element, bits)
         self.places.setdefault(tag, []).append(len(self.stack))
         if tag in BLOCK:
             self.block_places.append(len(self.stack))
-        self.stack.append((tag, self.mask))
+        self.stack.append((tag, self.element))
         self.links += tag == "a"
         self.muted += tag in MUTE
 
@@ -104,7 +168,7 @@ class _Open:
                 self.block_places.pop()
             self.links -= tag == "a"
             self.muted -= tag in MUTE
-        self.mask = self.stack[-1][1] if self.stack else 0
+        self.element = self.stack[-1][1] if self.stack else 0
 
     def end(self, tag: str) -> None:
         """An end tag closes the nearest element of its name; that of an inline element only within its block."""
@@ -135,7 +199,8 @@ def blocks(page: str | None) -> list[Block]:
     """
     page = page or ""
     out: list[Block] = []
-    now = _Open()
+    elements = _Elements()
+    now = _Open(elements)
     buf: list[tuple[str, bool]] = []
     last_end: dict[str, int] = {}
     hush = False  # in the text of an element that is never closed
@@ -146,7 +211,7 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join(_html.unescape("".join(t for t, _ in buf)).split())
             if text:
                 linked = sum(len(t.strip()) for t, a in buf if a)
-                out.append(Block(text, now.mask, min(linked, len(text))))
+                out.append(Block(text, now.element, min(linked, len(text))))
             buf.clear()
 
     def say(text: str) -> None:
@@ -198,4 +263,7 @@ def blocks(page: str | None) -> list[Block]:
                 now.begin_block(tag)
             now.push(tag, _mask(tag, attrs))
     flush()
+    masks = elements.masks([(b.mask, len(b.text), bool(elements.own[b.mask] & _BIT["tag:p"])) for b in out])
+    for b in out:
+        b.mask = masks[b.mask]
     return out

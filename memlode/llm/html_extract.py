@@ -161,7 +161,11 @@ def training_pages(n: int = PAGES, seed: int = SEED) -> list[list[tuple[str, boo
         page.append((shut[1], False))
         tail = draw(["share", "comment", "side", "ad", "form", "nav", "notice"], 0.35)
         rng.shuffle(tail)
-        pages.append(page + tail + draw(["footer"], 0.85))
+        whole = page + tail + draw(["footer"], 0.85)
+        if rng.random() < 0.25:  # what a page is wrapped in says nothing about its parts
+            head, end = pick([('<form id="aspnetForm">', "</form>"), ('<div id="page" class="has-sidebar">', "</div>"), ('<div class="wrapper no-banner comments-open">', "</div>"), ('<section class="layout sidebar-left">', "</section>")])
+            whole = [(head, False), *whole, (end, False)]
+        pages.append(whole)
     return pages
 
 

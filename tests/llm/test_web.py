@@ -32,6 +32,40 @@ def test_variants(page, want):
     assert H.main_text(page, H.default_model()) == want
 
 
+STORY = "<h1>The head of it</h1>" + "".join(f"<p>Paragraph {k} of the story, with words enough to be one.</p>" for k in range(4))
+TOLD = "The head of it " + " ".join(f"Paragraph {k} of the story, with words enough to be one." for k in range(4))
+AROUND = '<nav><ul><li><a href="/">Home</a></li></ul></nav><div class="sidebar"><p>Other things to read on this site.</p></div>'
+
+
+@pytest.mark.parametrize("page", [
+    f'<form id="aspnetForm">{AROUND}<article>{STORY}</article><footer>&copy; 2020</footer></form>',
+    f'<div id="page" class="has-sidebar"><main>{STORY}</main>{AROUND}</div>',
+    f'{AROUND}<div class="post comments-open">{STORY}</div>',
+    f'<div class="main-content no-banner">{STORY}</div>{AROUND}',
+    f'{AROUND}<article class="article search-result">{STORY}</article>',
+    f'<div class="popup-layout"><div class="content">{STORY}</div></div>{AROUND}',
+    f'<div id="sidebar-left-layout"><article>{STORY}</article><section class="comments"><div class="comment"><p>{"Nobody asked for this, said one reader. " * 40}</p></div></section></div>',
+    f"{AROUND}<!--><article>{STORY}</article><!-- x --!><footer>&copy; 2020</footer>",
+    f"{AROUND}<!---><article>{STORY}<!-- x --!></article>",
+])
+def test_wrapped_articles_and_odd_comments(page):
+    assert H.main_text(page, H.default_model()) == TOLD
+
+
+@pytest.mark.parametrize("page", [
+    f'<article>{STORY}</article><aside class="related"><article><h3>Another one</h3><p>Teaser of another story that is not this one.</p></article></aside>',
+    f'<article>{STORY}</article><div class="comments"><article class="comment"><p>A remark of a reader, longer than it should be.</p></article></div>',
+    f'<article>{STORY}<form class="newsletter"><p>Subscribe to our letter today.</p></form></article><dialog><p>Agree to all of it, please.</p></dialog>',
+])
+def test_articles_within_other_parts_stay_out(page):
+    assert H.main_text(page, H.default_model()) == TOLD
+
+
+def test_a_form_with_a_long_text_and_no_article():
+    page = f'<form id="f1"><div id="wrap"><h1>Head</h1><p>{"Long text that goes on. " * 20}</p></div></form>'
+    assert H.main_text(page, H.default_model()) == "Head " + ("Long text that goes on. " * 20).strip()
+
+
 def test_held_out_pages():
     m = H.default_model()
     pages = [H.labelled(p) for p in H.training_pages(150, seed=77)]
