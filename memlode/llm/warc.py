@@ -48,8 +48,11 @@ _META = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 _TEXT_TYPE = re.compile(r"text/|application/(?:[\w.-]+\+)?(?:xml|xhtml|json)\b|application/xhtml", re.I)
 _CHUNK = re.compile(rb"(?:\r\n)?([0-9A-Fa-f]{1,8})[^\r\n]*\r\n")
 _GZIP = b"\x1f\x8b\x08"
-_READ, _STEP, _HEAD, _BATCH_BYTES, _HOLD = 1 << 20, 1 << 16, 1 << 20, 32 << 20, 64 << 20
-_WHOLE, _BROKEN = object(), object()
+_VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
+_HEAD_END = re.compile(rb"</head\b|<body\b", re.I)
+_COMMENT = re.compile(rb"<!--.*?-->", re.S)
+_READ, _STEP, _BATCH_BYTES = 1 << 20, 1 << 16, 32 << 20
+_CUT, _BROKEN = object(), object()
 
 
 def digest(data: bytes) -> str:
@@ -125,83 +128,104 @@ class _Window:
         return -1
 
 
+def _inflate(z, part: bytes) -> Iterator:
+    """What a part decompresses to; up to a broken place byte by byte, then ``_BROKEN``."""
+    spare = z.copy()
+    try:
+        got = z.decompress(part)
+    except zlib.error:
+        try:
+            for k in range(len(part)):
+                yield spare.decompress(part[k : k + 1])
+        except zlib.error:
+            pass
+        got = _BROKEN
+    yield got
+
+
 def _chunks(f: BinaryIO) -> Iterator:
-    """The bytes of a plain or gzipped file, with ``_WHOLE`` or ``_BROKEN`` after each gzip member and each piece of a plain file."""
+    """The bytes of a plain or gzipped file; ``_CUT`` where a gzip member ends early, ``_BROKEN`` where its data are wrong."""
     w, place = _Window(f), 0
     if not w.at(0).startswith(_GZIP):
         while part := w.at(place):
             place += len(part)
             yield part
-            yield _WHOLE
         return
     start = 0
     while start >= 0:
-        z, place = zlib.decompressobj(31), start
-        try:
-            while not z.eof and (part := w.at(place)):
-                place += len(part)
-                yield z.decompress(part)
-        except zlib.error:
-            pass
-        if z.eof:
-            yield _WHOLE
+        z, place, broken = zlib.decompressobj(31), start, False
+        while not z.eof and not broken and (part := w.at(place)):
+            place += len(part)
+            for got in _inflate(z, part):
+                broken = got is _BROKEN
+                yield got
+        if z.eof and not broken:
             start = w.find(_GZIP, place - len(z.unused_data))
-        else:
-            yield _BROKEN
-            start = w.find(_GZIP, start + 1)
+            continue
+        if not broken:
+            yield _CUT
+        start = w.find(_GZIP, start + 1)
 
 
 def records(f: BinaryIO) -> Iterator[dict]:
     """The records of a WARC file (gzip members or plain) as headers and block.
 
-    A record without a length, cut short, or in a broken gzip member is left out; reading goes on at the
-    next start of a record.  Records are held until their member has proved whole; of a member that holds
-    more than ``_HOLD`` bytes of them, the first are given before.
+    Every record whose bytes are there is given, however large its gzip member is and wherever it ends;
+    only the record next to wrong data (a failed check of a member included) is left out, as it may hold
+    them.  So are records without a length or cut short; reading goes on at the next start of a record.
     """
     chunks = _chunks(f)
-    buf, held, size, ready = bytearray(), [], 0, False
+    buf, last, seek = bytearray(), None, 0
 
     def more() -> bool:
-        nonlocal ready, size
+        nonlocal last, seek
         got = next(chunks, None)
-        if got is _BROKEN:
-            buf.clear(), held.clear()
-            size = 0
-        elif got is _WHOLE:
-            ready = True
+        if got is _BROKEN or got is _CUT:
+            buf.clear()
+            seek = 0
+            last = None if got is _BROKEN else last
         elif got is not None:
             buf.extend(got)
         return got is not None
 
     while True:
-        if ready or size > _HOLD:
-            yield from held
-            held.clear()
-            size, ready = 0, False
         at = buf.find(b"WARC/")
         if at < 0:
             del buf[: max(0, len(buf) - 4)]
-            if not more():
-                return
-            continue
+            if more():
+                continue
+            if last:
+                yield last
+            return
+        if last:  # more bytes of a record have come after it
+            yield last
+            last = None
         del buf[:at]
-        stop = buf.find(b"\r\n\r\n")
-        if stop < 0 and len(buf) < _HEAD and more():
+        if len(buf) < 16 and more():
+            continue
+        if not _VERSION.match(buf[:16]):
+            del buf[:5]
+            continue
+        stop = buf.find(b"\r\n\r\n", max(0, seek - 3))
+        seek = len(buf)
+        if stop < 0 and more():
             continue
+        seek = 0
         head = _headers(bytes(buf[: max(0, stop)]))
         length = head.get("Content-Length", "")
         if not length.isdecimal():
             del buf[:5]
             continue
         till = stop + 4 + int(length)
-        if len(buf) < till and more():
-            continue
-        if len(buf) >= till:
-            held.append({"headers": head, "block": bytes(buf[stop + 4 : till])})
-            size += till
-            del buf[:till]
-        else:
+        if len(buf) < till:
+            seek = stop
+            if more():
+                continue
+            seek = 0
             del buf[:5]
+            continue
+        last = {"headers": head, "block": bytes(buf[stop + 4 : till])}
+        del buf[:till]
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -262,11 +286,12 @@ def body_of(http: dict[str, str], raw: bytes) -> bytes:
 
 
 def decode(content_type: str, raw: bytes) -> str:
-    """The text of a body: by its byte order mark, the charset of its header, that of a meta tag, else UTF-8."""
+    """The text of a body: by its byte order mark, the charset of its header, that of a meta tag of its head, else UTF-8."""
     for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
         if raw.startswith(mark):
             return raw[len(mark) :].decode(name, "replace")
-    head, meta = _CHARSET.search(content_type), _META.search(raw[:2048])
+    head, end = _CHARSET.search(content_type), _HEAD_END.search(raw)
+    meta = None if head else _META.search(_COMMENT.sub(b"", raw[: end.start()] if end else raw))
     name = head[1] if head else meta[1].decode("ascii", "replace") if meta else "utf-8"
     name = {"iso-8859-1": "cp1252", "latin1": "cp1252", "latin-1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252"}.get(name.lower(), name)
     try:

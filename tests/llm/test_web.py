@@ -172,6 +172,35 @@ def test_broken_files_lose_the_broken_records_only(spark, tmp_path, monkeypatch)
     assert sorted(r.record_id for r in rows) == ["<urn:uuid:a>", "<urn:uuid:a>", "<urn:uuid:c>"]
 
 
+def test_whole_records_at_every_size_of_a_member(monkeypatch):
+    plain = [response(str(k), rng_bytes(str(k)) * (1 + 40 * (k == 3))) for k in range(10)]
+    ends = [0]
+    for r in plain:
+        ends.append(ends[-1] + len(r))
+    member = gzip.compress(b"".join(plain))
+    for step in (1 << 16, 1000):
+        monkeypatch.setattr(W, "_STEP", step)
+        for cut in (8, 9, 500, len(member) // 2, len(member) - 300):
+            got = __import__("zlib").decompressobj(31).decompress(member[:-cut])
+            there = [str(k) for k in range(10) if ends[k + 1] - 4 <= len(got)]  # but for the two line ends after it
+            assert names(member[:-cut]) == there, (step, cut)
+            every = [str(k) for k in range(10)]  # what follows is wrong data to the broken member: the record next to it may go, or be garbled
+            got = [r["headers"].get("WARC-Record-ID", "")[10:-1] for r in W.parse(member[:-cut] + member)]
+            assert got[-10:] == every and got[: len(there) - 1] == there[:-1] and len(got) <= len(there) + 11, (step, cut)
+        wrong = member[:-8] + bytes([member[-8] ^ 1]) + member[-7:]
+        assert names(wrong) == [str(k) for k in range(9)]  # the check fails: the last record may be wrong
+    many = b"".join(gzip.compress(p) for p in plain)
+    assert names(many[:-8]) == [str(k) for k in range(10)]
+
+
+def test_long_headers_and_a_late_charset():
+    long = response("a", b"x").replace(b"WARC-Date", b"X-Long: " + b"y" * (2 << 20) + b"\r\nWARC-Date")
+    assert names(long + response("b", b"y")) == ["a", "b"] and names(b"WARC/ no WARC/1.0 none" + response("b", b"y")) == ["b"]
+    late = b"<html><head><!-- <meta charset=koi8-r> --><style>" + b"p{}" * 3000 + b"</style><meta charset='latin-1'></head><body><meta charset='koi8-r'><p>caf\xe9</p>"
+    assert W.decode("text/html", late).endswith("<p>café</p>")
+    assert W.decode("text/html; charset=utf-8", late.replace(b"\xe9", "é".encode())).endswith("<p>café</p>")
+
+
 def rng_bytes(seed):
     import random
 
