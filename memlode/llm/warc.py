@@ -172,7 +172,7 @@ def records(f: BinaryIO) -> Iterator[dict]:
 
     Every record whose bytes are there is given, however large its gzip member is and wherever it ends;
     only the record next to wrong data (a failed check of a member included) is left out, as it may hold
-    them.  So are records without a length or cut short; reading goes on at the next start of a record.
+    them.  What a broken member decompresses to before the break shows counts as its bytes.  Left out, too, are records without a length or cut short; reading goes on at the next start of a record.
     """
     chunks = _chunks(f)
     buf, last, seek = bytearray(), None, 0

@@ -111,6 +111,85 @@ def test_js_distance(spark):
     assert abs(got - js(p, q)) < 1e-12
 
 
+def plain_histograms(text):
+    """Base counts and histograms of one text, by the definitions, in plain Python."""
+    text = text or ""
+    ws = [w for w in re.split("[\x20\x09-\x0D]+", text) if w]
+    windows = Counter(tuple(ws[i : i + 3]) for i in range(len(ws) - 2))
+    covered = {k for i in range(len(ws) - 2) if windows[tuple(ws[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    classes = {"upper": str.isupper, "accent": lambda c: 0xC0 <= ord(c) <= 0x24F, "stop": lambda c: c in ".,", "shout": lambda c: c in "!?", "quote": lambda c: c in "\"'():;/_=~^+@-"}
+    ascii_upper = lambda c: "A" <= c <= "Z"
+    n = [sum((ascii_upper if k == "upper" else f)(c) for c in text) for k, f in classes.items()]
+    chars = sum(len(w) for w in ws)
+    symbols, digits = sum(c in "#*$%&|<>" for c in text), sum("0" <= c <= "9" for c in text)
+    h_c = [chars - digits - sum(n) - symbols, len(text) - chars, symbols, *n]
+    vocab = sorted({w for v in QR.COMMON.values() for w in v.split()})
+    shapes = {x + y: w for w in vocab for x in (w, w.capitalize(), w.upper()) for y in ("", *QR.AFTER)}
+    hits = Counter(shapes[w] for w in ws if w in shapes)
+    h_w = [hits[w] for w in vocab]
+    share = lambda h: [x / max(1, sum(h)) for x in h]
+    cover = [x / max(1, len(ws)) for x in h_w] + [1 - sum(h_w) / max(1, len(ws))]
+    failed = len(ws) < 50 or 100 * len(covered) > 50 * len(ws)
+    return {"n": len(ws), "failed": failed, "hists": (share(h_c), share(h_w), cover), "totals": (sum(h_c), sum(h_w), len(ws))}
+
+
+def plain_kept(rows):
+    """The verdicts of (text, lang): medians, then means over what is kept, then the limits."""
+    prof = [(plain_histograms(t), lang) for t, lang in rows]
+
+    def refs(chosen, robust):
+        out = {}
+        for lang in QR.COMMON:
+            own = [p["hists"] for p, x in chosen if x == lang and not p["failed"]]
+            if own:
+                middle = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+                c = [(middle if robust else lambda v: sum(v) / len(v))([h[0][i] for h in own]) for i in range(len(own[0][0]))]
+                out[lang] = ([x / (sum(c) or 1) for x in c], *([sum(h[k][i] for h in own) / len(own) for i in range(len(own[0][k]))] for k in (1, 2)))
+        return out
+
+    def js(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        kl = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m) if a > 0)
+        return np.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    def kept(p, known, words_too):
+        if p["failed"]:
+            return False
+        near = [min((js(p["hists"][k], r[k]) for r in known.values()), default=0) for k in range(3)]
+        limits = [a + b / np.sqrt(max(1, t)) for a, b, t in zip((QR.MAX_CHAR, QR.MAX_WORD, QR.MAX_COVER), (QR.SLACK_CHAR, QR.SLACK_WORD, QR.SLACK_COVER), p["totals"])]
+        return all(near[k] <= limits[k] for k in range(3 if words_too else 1))
+
+    known = refs(prof, True)
+    for words_too in (False, *[True] * (QR.ROUNDS - 1)):
+        known = refs([x for x in prof if kept(x[0], known, words_too)], False) or known
+    return [kept(p, known, True) for p, _ in prof]
+
+
+def test_verdicts_equal_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    want = dict(zip([r.doc_id for r in rows], plain_kept([(r.text, r.lang) for r in rows])))
+    got = {r.doc_id: r.kept for r in QR.quality_rules(docs).collect()}
+    assert got == want and 0.1 < sum(want.values()) / len(want) < 0.99
+    some = [(k, t, lang) for k, (t, lang) in enumerate(awkward_texts())]
+    d = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    assert [r.kept for r in QR.quality_rules(d).orderBy("doc_id").collect()] == plain_kept([(t, lang) for _, t, lang in some])
+
+
+def awkward_texts():
+    rng = random.Random(12)
+    for k in range(90):
+        lang = rng.choice(["en", "fr", "de", "es", None, "xx"])
+        common = QR.COMMON.get(lang or "en", QR.COMMON["en"]).split()
+        word = lambda: "".join(rng.choices("abcdeéß", k=5))
+        ws = [rng.choice(common) if rng.random() < 0.4 else word() for _ in range(rng.choice([0, 10, 49, 50, 80, 400]))]
+        if k % 9 == 0:
+            ws = [w.upper() + "!" for w in ws]
+        if k % 11 == 0:
+            ws = ws[:20] * (len(ws) // 20)
+        yield (None if k % 17 == 0 else rng.choice([" ", "\n", ", "]).join(ws) + rng.choice(["", ".", " 12 $ #"])), lang
+
+
 def test_rules_awkward_rows(spark):
     out = QR.quality_rules(documents(spark)).collect()
     assert len(out) == documents(spark).count()

@@ -186,7 +186,7 @@ def test_whole_records_at_every_size_of_a_member(monkeypatch):
             assert names(member[:-cut]) == there, (step, cut)
             every = [str(k) for k in range(10)]  # what follows is wrong data to the broken member: the record next to it may go, or be garbled
             got = [r["headers"].get("WARC-Record-ID", "")[10:-1] for r in W.parse(member[:-cut] + member)]
-            assert got[-10:] == every and got[: len(there) - 1] == there[:-1] and len(got) <= len(there) + 11, (step, cut)
+            assert got[-10:] == every and got[: max(0, len(there) - 1)] == there[:-1], (step, cut)
         wrong = member[:-8] + bytes([member[-8] ^ 1]) + member[-7:]
         assert names(wrong) == [str(k) for k in range(9)]  # the check fails: the last record may be wrong
     many = b"".join(gzip.compress(p) for p in plain)
