@@ -97,8 +97,8 @@ def _scored(post: DataFrame, stats: DataFrame, q: DataFrame, k1: float, b: float
     return hits.select("query_id", "id", "score")
 
 
-#: Queries that are scored in one pass over the documents' terms.
-QUERY_BLOCK = 1024
+#: Bounds of what is scored in one pass over the documents' terms: queries, and terms times queries (and documents times terms at once).
+QUERY_BLOCK, CELLS = 1024, 1 << 22
 
 
 class _Best:
@@ -137,7 +137,8 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: fl
     scratch = Scratch(spark)
     asked = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
     out = spark.createDataFrame([], schema)
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    n_asked, n_terms = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n_asked / QUERY_BLOCK), math.ceil(math.sqrt(n_asked * n_terms / CELLS)))
     for i in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").collect()
         vocab = sorted({t for r in part for t in r.terms})
@@ -184,17 +185,17 @@ def _terms_held(docs: DataFrame, vocab: list[str], fields: dict) -> DataFrame:
 def _score(part: list, vocab: list[str], weight: np.ndarray, mean: float, k: int, k1: float, b: float, match_all: bool, spark):
     """A mapInArrow function over _terms_held() rows that yields its task's best documents of each query."""
     place = {t: i for i, t in enumerate(vocab)}
-    asks = np.zeros((len(vocab), len(part)))
-    for j, r in enumerate(part):
-        asks[[place[t] for t in r.terms], j] = 1
-    box = spark.sparkContext.broadcast((asks, weight, np.array([len(r.terms) for r in part]), [r.query_id for r in part]))
+    terms = np.array([place[t] for r in part for t in r.terms], np.int64)
+    box = spark.sparkContext.broadcast((terms, weight, np.array([len(r.terms) for r in part]), [r.query_id for r in part]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asks, weight, need, ids = box.value
-        best = _Best(len(ids), k, 6)
+        terms, weight, need, ids = box.value
+        asks = np.zeros((len(weight), len(ids)))
+        asks[terms, np.repeat(np.arange(len(ids)), need)] = 1
+        best, step = _Best(len(ids), k, 6), max(1, min(512, CELLS // len(weight)))
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                rows = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, step):
+                rows = whole.slice(at, step)
                 size = pc.list_value_length(rows.column(2)).to_numpy(zero_copy_only=False)
                 row, term = np.repeat(np.arange(rows.num_rows), size), pc.list_flatten(rows.column(2)).to_numpy(zero_copy_only=False)
                 tf, dl = pc.list_flatten(rows.column(3)).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False)

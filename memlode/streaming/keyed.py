@@ -42,7 +42,7 @@ class LastRuns(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.runs.clear()
-        yield pd.DataFrame({"feature": [], "id": [], "us": [], "place": []})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -94,7 +94,8 @@ class ClientQueues(StatefulProcessor):
         out, dropped, enqueued = moved(list(zip(own["id"].tolist(), own["read"].tolist())), queue, dropped, enqueued, self.capacity)
         self.stats.update((dropped, enqueued))
         self.queue.put([(i,) for i in queue]) if queue else self.queue.clear()
-        yield pd.DataFrame(out, columns=["id", "outcome", "dropped", "enqueued", "size"]).assign(client=key[0])[["client", "id", "outcome", "dropped", "enqueued", "size"]]
+        if out:
+            yield pd.DataFrame(out, columns=["id", "outcome", "dropped", "enqueued", "size"]).assign(client=key[0])[["client", "id", "outcome", "dropped", "enqueued", "size"]]
 
     def close(self) -> None:
         pass
