@@ -5,6 +5,7 @@ All is built-in expressions but the viewer events, whose JSON nests to any depth
 
 from __future__ import annotations
 
+import functools
 import json
 
 import pandas as pd
@@ -176,10 +177,25 @@ KEYS = (
     "ghp_[A-Za-z0-9]{20,}", "key=[A-Za-z0-9_-]{16,}", "token=[A-Za-z0-9_-]{16,}", "(?i)password=[^\\s&]+", "(?i)passphrase=[^\\s&]+",
     "(?i)\\bGEMINI_API_KEY=[^\\s]+", "(?i)\\bANTHROPIC_API_KEY=[^\\s]+", "\\bAWS_[A-Z_]+=[^\\s]+",
 )
-PATHS = "/(?:Users|home|root|var|etc|tmp|opt)/[^\\s'\"`]+|(?i:C):\\\\[^\\s'\"`]+|\\(node:\\d+\\)|[A-Za-z]:\\\\Users\\\\[^\\s'\"`]+"
+PATHS = (
+    "/Users/[^\\s'\"`]+",
+    "/home/[^\\s'\"`]+",
+    "/root/[^\\s'\"`]+",
+    "/var/[^\\s'\"`]+",
+    "/etc/[^\\s'\"`]+",
+    "/tmp/[^\\s'\"`]+",
+    "/opt/[^\\s'\"`]+",
+    "(?i)C:\\\\[^\\s'\"`]+",
+    "\\(node:\\d+\\)",
+    "[A-Za-z]:\\\\Users\\\\[^\\s'\"`]+",
+)
 MOST = 200
 
 
+def _any(text: Column, patterns: tuple[str, ...]) -> Column:
+    return functools.reduce(Column.__or__, [text.rlike(p) for p in patterns])
+
+
 def scrubbed(message: Column) -> Column:
     """A message without keys, settings, line breaks and beyond 200 characters; one that holds a path is replaced."""
     out = message
@@ -187,7 +203,7 @@ def scrubbed(message: Column) -> Column:
         out = F.regexp_replace(out, pattern, "[REDACTED]")
     flat = F.regexp_replace(out, "[\\r\\n]+", " ")
     flat = F.when(F.length(flat) > MOST, F.concat(F.substring(flat, 1, MOST), F.lit("…"))).otherwise(flat)
-    return F.when(F.coalesce(F.length(message), F.lit(0)) == 0, "request failed").when(out.rlike(PATHS), "request failed (details redacted)").otherwise(flat)
+    return F.when(F.coalesce(F.length(message), F.lit(0)) == 0, "request failed").when(_any(out, PATHS), "request failed (details redacted)").otherwise(flat)
 
 
 def safe_error(name: Column, message: Column) -> list[Column]:
@@ -206,12 +222,12 @@ def safe_details(details: Column) -> Column:
     import re
 
     keys = [re.compile(p) for p in KEYS]
-    paths, gone = re.compile(PATHS), re.compile("(?i)(stack|cause|env|process|__proto__)")
+    paths, gone = [re.compile(p) for p in PATHS], re.compile("(?i)(stack|cause|env|process|__proto__)")
 
     def text(s: str) -> str | None:
         for k in keys:
             s = k.sub("[REDACTED]", s)
-        if paths.search(s):
+        if any(p.search(s) for p in paths):
             return None
         s = re.sub("[\r\n]+", " ", s) or "request failed"
         return s if len(s) <= MOST else s[:MOST] + "…"
@@ -231,7 +247,7 @@ def safe_details(details: Column) -> Column:
 # --- viewer events ---------------------------------------------------------------------------------
 
 #: Fields that never leave, and what stands for a query.
-FORBIDDEN = "content body text raw_text prompt response embedding embedding_vector vector password token api_key secret"
+FORBIDDEN = ("content", "body", "text", "raw_text", "prompt", "response", "embedding", "embedding_vector", "vector", "password", "token", "api_key", "secret")
 REDACTED = "<redacted>"
 
 
@@ -253,7 +269,7 @@ def _json_column(change):
 def bare_event(event: Column, show_query: bool = False) -> Column:
     """A JSON event without forbidden fields at any depth; absolute paths shrink to their last part and a search's
     query is hidden.  Broken JSON gives null: nothing that cannot be read leaves."""
-    forbidden = frozenset(FORBIDDEN.split())
+    forbidden = frozenset(FORBIDDEN)
 
     def short(s: str) -> str:
         unix = len(s) >= 4 and s[0] == "/" and s[1] != "/" and "/" in s[1:]
@@ -306,23 +322,48 @@ def signal_score(text: Column, least: int = 20) -> Column:
 
 
 #: Words of a relation and the reason they stand for.
-REASONS = {
-    "depends_on": "depends_on,depends on,requires,needs,blocked_by,blocked by,uses,consumes",
-    "mentions": "mentions,mentioned_in,mentioned in,mentioned_with,mentioned with,references,referenced by,includes commit",
-    "extends": "extends,enhances,augments",
-    "replaces": "replaces,supersedes,migrates_from",
-    "derived_from": "derived_from,derived from,extracted_from,extracted from,generated_from",
-    "opposes": "opposes,contradicts,blocks,conflicts_with",
+VERBS = {
+    "depends_on": "depends_on",
+    "depends on": "depends_on",
+    "requires": "depends_on",
+    "needs": "depends_on",
+    "blocked_by": "depends_on",
+    "blocked by": "depends_on",
+    "uses": "depends_on",
+    "consumes": "depends_on",
+    "mentions": "mentions",
+    "mentioned_in": "mentions",
+    "mentioned in": "mentions",
+    "mentioned_with": "mentions",
+    "mentioned with": "mentions",
+    "references": "mentions",
+    "referenced by": "mentions",
+    "includes commit": "mentions",
+    "extends": "extends",
+    "enhances": "extends",
+    "augments": "extends",
+    "replaces": "replaces",
+    "supersedes": "replaces",
+    "migrates_from": "replaces",
+    "derived_from": "derived_from",
+    "derived from": "derived_from",
+    "extracted_from": "derived_from",
+    "extracted from": "derived_from",
+    "generated_from": "derived_from",
+    "opposes": "opposes",
+    "contradicts": "opposes",
+    "blocks": "opposes",
+    "conflicts_with": "opposes",
 }
 
 
 def relation_reason(verb: Column, given: Column | None = None) -> Column:
     """The reason of a relation: the given one if it is one of the known, else by its verb, else unknown."""
-    by = F.create_map(*[F.lit(x) for reason, verbs in REASONS.items() for v in verbs.split(",") for x in (v, reason)])
+    by = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
     own = F.try_element_at(by, F.lower(F.trim(verb)))
     if given is not None:
         told = F.lower(F.trim(given))
-        own = F.coalesce(F.when(told.isin(*REASONS), told), own)
+        own = F.coalesce(F.when(told.isin(*set(VERBS.values())), told), own)
     return F.coalesce(own, F.lit("unknown"))
 
 
@@ -355,14 +396,14 @@ FAST = {
     "value_brl": "(?i)R\\$\\s?\\d[\\d.,]*(?:\\s?(?:mil|milh[ãa]o|milh[õo]es|bi|bilh[ãa]o|k|m|b))?",
     "value_usd": "(?i)US?\\$\\s?\\d[\\d.,]*(?:\\s?(?:k|m|b|million|thousand|billion))?",
     "value_eur": "€\\s?\\d[\\d.,]*",
-    "cnpj": "@\\d{2}\\.\\d{3}\\.\\d{3}/\\d{4}-\\d{2}@",
-    "cpf": "@\\d{3}\\.\\d{3}\\.\\d{3}-\\d{2}@",
-    "date": "@\\d{1,2}/\\d{1,2}/\\d{2,4}@",
+    "cnpj": f"{EDGE}\\d{{2}}\\.\\d{{3}}\\.\\d{{3}}/\\d{{4}}-\\d{{2}}{EDGE}",
+    "cpf": f"{EDGE}\\d{{3}}\\.\\d{{3}}\\.\\d{{3}}-\\d{{2}}{EDGE}",
+    "date": f"{EDGE}\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}}{EDGE}",
     "phone": "\\+?55[\\s-]?\\(?\\d{2}\\)?[\\s-]?\\d{4,5}[\\s-]?\\d{4}",
-    "email": "[A-Za-z0-9_.+\\-]+[@][A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-.]+",
+    "email": "[A-Za-z0-9_.+\\-]+@[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-.]+",
     "url": "https?://[^\\s)]+",
-    "percent": "@\\d+(?:[.,]\\d+)?\\s?%",
-    "proper_noun": f"@{_NAME}(?:\\s+(?:de|da|do|das|dos|e)\\s+)?(?:\\s+{_NAME})+@",
+    "percent": f"{EDGE}\\d+(?:[.,]\\d+)?\\s?%",
+    "proper_noun": f"{EDGE}{_NAME}(?:\\s+(?:de|da|do|das|dos|e)\\s+)?(?:\\s+{_NAME})+{EDGE}",
 }
 TYPES = {"email": "person", "phone": "person", "cnpj": "organization", "cpf": "person", "value_brl": "metric", "value_usd": "metric", "value_eur": "metric", "url": "document", "percent": "metric", "proper_noun": "person"}
 
@@ -370,8 +411,7 @@ TYPES = {"email": "person", "phone": "person", "cnpj": "organization", "cpf": "p
 def fast_hits(text: Column) -> Column:
     """array<struct<kind, value>>: the structured parts of a text by kind and place, repeats included."""
     def of(kind, pattern):
-        p = pattern if kind == "email" else pattern.replace("@", EDGE)
-        return F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(F.regexp_replace(v, "^\\s+|\\s+$", "")).alias("value")))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(F.regexp_replace(v, "^\\s+|\\s+$", "")).alias("value")))
 
     return F.concat(*[of(k, p) for k, p in FAST.items()])
 

@@ -101,7 +101,7 @@ def signal_scores(spark, sf_dir):
     return docs(spark, sf_dir).select("id", F.round(O.signal_score(F.col("text")), 6).alias("score"))
 
 
-FAST_SQL = " || ".join(f"list_transform(regexp_extract_all(text, '{p.replace('[@]', '~~') .replace('@', chr(92) + 'b').replace('~~', '@') if k != 'email' else p.replace('[@]', '@')}'), lambda v: struct_pack(kind := '{k}', name := trim(v, ' ' || chr(10) || chr(9) || chr(13))))" for k, p in O.FAST.items())
+FAST_SQL = " || ".join(f"list_transform(regexp_extract_all(text, '{p.replace(O.EDGE, chr(92) + 'b')}'), lambda v: struct_pack(kind := '{k}', name := trim(v, ' ' || chr(10) || chr(9) || chr(13))))" for k, p in O.FAST.items())
 
 
 @query(f"""WITH h AS (SELECT doc_id AS id, {FAST_SQL} AS h FROM documents), k AS (SELECT id, list_filter(h, lambda x: x.kind <> 'date') AS h FROM h WHERE len(list_filter(h, lambda x: x.kind <> 'proper_noun')) >= 3),
