@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from memlode.operators.stats import counted_below, uniform
+from memlode.session import Scratch
 
 
 def cluster_sums(rows: DataFrame, cluster: str, value: str, *by: str) -> DataFrame:
@@ -34,6 +35,18 @@ def resamples(clusters: DataFrame, draws: int, seed: int = 42) -> DataFrame:
     return times.join(clusters, F.col("drawn") == F.col("cluster")).drop("drawn", "number")
 
 
+def stratified_resamples(clusters: DataFrame, draws: int, seed: int = 42) -> DataFrame:
+    """As ``resamples``, of clusters (stratum, cluster, ...), drawing in each stratum as many of its clusters as it has."""
+    numbered = counted_below(clusters.select(F.struct("stratum", "cluster").alias("at")).distinct(), "at").select("at.stratum", "at.cluster", "n_below")
+    sizes = Scratch(clusters.sparkSession).keep(numbered.groupBy("stratum").agg(F.count("*").alias("size"), F.min("n_below").alias("base")))
+    places = sizes.select("stratum", "size", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
+    places = places.select("stratum", "size", "base", "draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size"))).alias("place"))
+    # the stratum's first number stands for it in the hash, so strata draw apart
+    taken = places.select("draw", (F.col("base") + F.floor(uniform(F.lit(seed).cast("long"), F.col("base"), F.col("draw"), F.col("place")) * F.col("size"))).alias("n_below"))
+    times = taken.groupBy("draw", "n_below").agg(F.count("*").alias("times")).join(numbered, "n_below")
+    return times.select("draw", "times", F.col("stratum").alias("s_"), F.col("cluster").alias("c_")).join(clusters, F.col("s_").eqNullSafe(F.col("stratum")) & F.col("c_").eqNullSafe(F.col("cluster"))).drop("s_", "c_")
+
+
 def interval(draws: DataFrame, value: str, level: float = 0.95, *by: str) -> DataFrame:
     """lo, hi, p (share of draws at or below zero, one added above and below) and n, the draws, dropped where null.
 
@@ -65,6 +78,14 @@ def ratios(rows: DataFrame, cluster: str, arm: str, num: str, den: str, draws: i
     return own.join(interval(both, "v", 0.95, "arm"), "arm")
 
 
+def stratified_ratio(rows: DataFrame, stratum: str, cluster: str, num: str, den: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """One row: sum(num) / sum(den) with its interval from whole clusters resampled within strata; draws without a
+    denominator are dropped and counted.  A cluster in two strata is two clusters."""
+    c = rows.groupBy(F.col(stratum).alias("stratum"), F.col(cluster).alias("cluster")).agg(F.sum(num).alias("x"), F.sum(den).alias("y"))
+    each = stratified_resamples(c, draws, seed).groupBy("draw").agg((F.sum(F.col("x") * F.col("times")) / F.nullif(F.sum(F.col("y") * F.col("times")), F.lit(0))).alias("v"))
+    return c.agg((F.sum("x") / F.nullif(F.sum("y"), F.lit(0))).alias("estimate"), F.countDistinct("stratum").alias("strata"), F.count("*").alias("clusters")).crossJoin(F.broadcast(interval(each, "v")))
+
+
 def ratio_difference(rows: DataFrame, cluster: str, arm: str, num: str, den: str, treated: str, control: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """One row: the difference of the two arms' ratios of sums, with its whole-cluster bootstrap interval."""
     part = lambda c, a, w: F.sum(F.when(F.col("arm") == a, F.col(c) * w))

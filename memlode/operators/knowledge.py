@@ -167,3 +167,31 @@ def inherit(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
 
 def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key).distinct(), key, "left_anti")
+
+
+def reference_ids(json: Column) -> Column:
+    """The ids of a JSON array of positive integers; null for all else, the empty array included."""
+    parts = F.split(F.regexp_extract(json, "(?s)^[ \\t\\r\\n]*\\[(.*)\\][ \\t\\r\\n]*$", 1), ",")
+    ids = F.transform(parts, lambda x: F.when(x.rlike("^[ \\t\\r\\n]*[1-9][0-9]*[ \\t\\r\\n]*$"), F.regexp_replace(x, "[ \\t\\r\\n]", "").try_cast("long")))
+    return F.when(~F.exists(ids, lambda x: x.isNull()), ids)
+
+
+def audit_references(audits: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """(audit_id, valid, missing_subject, missing_targets, missing_picked) of audits (audit_id, subject_id, targets, picked_id).
+
+    Targets and the picked one are ids of ``relations`` (id), the subject of ``entities`` (id).  A null subject is
+    missing, a null choice and null or empty targets are not; missing targets keep their order and repeats.  Ids of audits
+    are distinct.  Each id is looked up once: what is missing, mostly little, meets the audits again.
+    """
+    scratch = Scratch(audits.sparkSession)
+    named = lambda role, c: F.struct(F.lit(role).alias("role"), F.lit("entity" if role == "subject" else "relation").alias("kind"), c.cast("long").alias("id"))
+    targets = F.transform(F.coalesce("targets", F.array().cast("array<long>")), lambda t: named("target", t))
+    refs = audits.select("audit_id", F.posexplode(F.concat(F.array(named("subject", F.col("subject_id")), named("picked", F.col("picked_id"))), targets)).alias("pos", "r"))
+    refs = refs.select("audit_id", "pos", "r.role", "r.kind", "r.id").where("id is not null")
+    known = entities.select(F.lit("entity").alias("kind"), F.col("id").cast("long").alias("id")).unionByName(relations.select(F.lit("relation").alias("kind"), F.col("id").cast("long").alias("id")))
+    gone = scratch.broadcast_if_small(scratch.keep(refs.select("kind", "id").distinct().join(known, ["kind", "id"], "left_anti")))
+    has = lambda role: F.max(F.col("role") == role)
+    lost = refs.join(gone, ["kind", "id"]).groupBy(F.col("audit_id").alias("a_")).agg(has("subject").alias("s_"), has("picked").alias("p_"), F.array_sort(F.collect_list(F.when(F.col("role") == "target", F.struct("pos", "id")))).alias("t_"))
+    no = F.lit(False)
+    out = audits.join(lost, F.col("audit_id") == F.col("a_"), "left").select("audit_id", (F.col("subject_id").isNull() | F.coalesce("s_", no)).alias("missing_subject"), F.coalesce(F.transform("t_", lambda t: t.id), F.array().cast("array<long>")).alias("missing_targets"), F.coalesce("p_", no).alias("missing_picked"))
+    return out.withColumn("valid", ~F.col("missing_subject") & ~F.col("missing_picked") & (F.size("missing_targets") == 0))

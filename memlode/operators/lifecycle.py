@@ -190,21 +190,31 @@ def evidence_scores(got: Column, gold: Column, k: int) -> list[Column]:
 FIELD_RELATIONS = {"agent": "is_agent_of", "references": "references", "supersedes": "supersedes", "caused_by": "caused_by", "resolves": "resolves", "decided_by": "decided_by"}
 
 
-def stated_relations(rows: DataFrame, text: str = "text") -> DataFrame:
-    """(id, relation, target): relations that the leading --- block of a text states, as a scalar, [a, b] or dashed lines."""
-    block = F.regexp_extract(F.col(text), "^\\uFEFF?---[ \\t]*\\r?\\n([\\s\\S]*?)\\r?\\n---", 1)
+def leading_block(text: Column) -> Column:
+    """The leading --- block of a text, after a line break; only that break if there is none."""
+    block = F.regexp_extract(text, "^\\uFEFF?---[ \\t]*\\r?\\n([\\s\\S]*?)\\r?\\n---", 1)
+    return F.concat(F.lit("\n"), F.regexp_replace(block, "\\r", ""))
+
+
+def stated(b: Column) -> Column:
+    """array<struct<relation, target>>: relations that a leading block states, as a scalar, [a, b] or dashed lines."""
     bare = lambda v: F.regexp_replace(F.trim(v), "^(?:\"([\\s\\S]*)\"|'([\\s\\S]*)')$", "$1$2")
-    out = rows.select("id", F.concat(F.lit("\n"), F.regexp_replace(block, "\\r", "")).alias("b"))
     parts = []
     for name, relation in FIELD_RELATIONS.items():
-        line = F.regexp_extract("b", f"\\n[ \\t]*{name}[ \\t]*:[ \\t]*([^\\n]*)", 1)
-        dashed = F.regexp_extract("b", f"\\n[ \\t]*{name}[ \\t]*:[ \\t]*((?:\\n[ \\t]*(?:- [^\\n]*)?)+)", 1)
+        line = F.regexp_extract(b, f"\\n[ \\t]*{name}[ \\t]*:[ \\t]*([^\\n]*)", 1)
+        dashed = F.regexp_extract(b, f"\\n[ \\t]*{name}[ \\t]*:[ \\t]*((?:\\n[ \\t]*(?:- [^\\n]*)?)+)", 1)
         listed = F.transform(F.filter(F.split(dashed, "\\n"), lambda x: F.trim(x).startswith("- ")), lambda x: F.regexp_replace(x, "^[ \\t]*- ", ""))
         flow = F.regexp_extract(line, "^\\[(.*)\\][ \\t]*$", 1)
         items = F.when(F.trim(line) == "", listed).when(line.rlike("^\\[.*\\][ \\t]*$"), F.split(flow, ",")).otherwise(F.array(line))
         targets = F.filter(F.transform(items, bare), lambda x: F.trim(x) != "")
         parts.append(F.transform(targets, _tagged(relation)))
-    return out.select("id", F.explode(F.concat(*parts)).alias("r")).select("id", "r.relation", "r.target")
+    return F.concat(*parts)
+
+
+def stated_relations(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(id, relation, target): relations that the leading --- block of a text states."""
+    own = rows.select("id", leading_block(F.col(text)).alias("b"))
+    return own.select("id", F.explode(stated(F.col("b"))).alias("r")).select("id", "r.relation", "r.target")
 
 
 def _tagged(relation: str):

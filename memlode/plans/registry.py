@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "bm25_top10"
-MODULES = ("retrieval", "telemetry", "knowledge", "textual", "evaluation", "statistics", "maintenance", "selection", "sourced", "streams", "privacy", "inference", "lifecycle", "entities", "rounds")
+MODULES = ("retrieval", "telemetry", "knowledge", "textual", "evaluation", "statistics", "maintenance", "selection", "sourced", "streams", "privacy", "inference", "lifecycle", "entities", "rounds", "routing")
 
 
 def _all() -> list:
