@@ -19,7 +19,9 @@ MODEL_AFTER_NONE = "gemini_only_after_regex_zero"
 
 
 def _pairs(text: str, pattern: str) -> Column:
-    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b"))
+    """Both groups of each match; every pattern has a slash, so a text without one is not searched."""
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b"))
+    return F.when(F.contains(F.col(text), F.lit("/")), pairs).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
 
 
 def pattern_counts(rows: DataFrame, text: str = "text") -> DataFrame:
