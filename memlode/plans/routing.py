@@ -80,8 +80,8 @@ def stratified_bootstrap(spark, sf_dir):
 
 @query()
 def simulated_power(spark, sf_dir):
-    """Orders of two lines or more as pilot units, the days their lines ship as replicas; a test holds the whole simulation against plain Python."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("unit")).agg(F.array_sort(F.collect_list(F.unix_date(F.col("l_shipdate").cast("date")).cast("double"))).alias("values"))
-    curve = power.power_curve(lines, lambda a, b: F.abs(a - b), [4] * 12, [0.0, 0.1, 0.2, 0.4, 0.8], sims=25, draws=200)
+    """Four parts next to each other as a pilot unit, price and size of each as a replica; a test holds the whole simulation against plain Python."""
+    parts = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 4).alias("unit")).agg(F.array_sort(F.collect_list(F.col("p_retailprice") + F.col("p_size"))).alias("values"))
+    curve = power.power_curve(parts, lambda a, b: F.abs(a - b), [4] * 12, [0.0, 0.1, 0.25, 0.5, 1.0], sims=25, draws=200)
     effect = power.least_detectable(curve)
     return rounded(curve.join(F.broadcast(effect)), "mean_delta", "power", "effect")
