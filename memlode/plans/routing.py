@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlode.operators import dictionary, exposure, extraction, inference, knowledge, power
+from memlode.functions import text as T
+from memlode.operators import dictionary, exposure, extraction, inference, knowledge, power, stats
 from memlode.plans.base import Registry, chunks, relations
 from memlode.plans.inference import rounded
 from memlode.session import table
@@ -85,3 +86,26 @@ def simulated_power(spark, sf_dir):
     curve = power.power_curve(parts, lambda a, b: F.abs(a - b), [4] * 12, [0.0, 0.1, 0.25, 0.5, 1.0], sims=25, draws=200)
     effect = power.least_detectable(curve)
     return rounded(curve.join(F.broadcast(effect)), "mean_delta", "power", "effect")
+
+
+@query("""WITH e AS (SELECT l_partkey AS sig, l_returnflag <> 'R' AS ok, l_extendedprice AS price, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS quantity FROM lineitem),
+b AS (SELECT sig, min(price) FILTER (WHERE ok) AS p, min(quantity) FILTER (WHERE ok) AS q FROM e GROUP BY 1 HAVING count(*) FILTER (WHERE ok) >= 5)
+SELECT sig, price, quantity, round(CASE WHEN price > p THEN price - p ELSE 0 END, 4) AS regret_price, round(CASE WHEN quantity IS NULL OR q IS NULL THEN NULL WHEN quantity > q THEN quantity - q ELSE 0 END, 4) AS regret_quantity FROM e JOIN b USING (sig)""")
+def signature_regret(spark, sf_dir):
+    """Lines as episodes of their part: what each cost beyond the part's cheapest line that was not returned."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sig"), (F.col("l_returnflag") != "R").alias("ok"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("quantity"))
+    return rounded(stats.regrets(e, "sig", F.col("ok"), ["price", "quantity"]).drop("ok"), "regret_price", "regret_quantity", places=4)
+
+
+WORDS = "list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) >= 4))"
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {WORDS} AS t FROM conversations), p AS (SELECT a.conv_id, a.turn, len(list_intersect(a.t, b.t)) AS shared, least(len(a.t), len(b.t)) AS small FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, round(CASE WHEN small >= 3 THEN shared / small::DOUBLE ELSE 0 END, 6) AS share, small >= 3 AND shared / small::DOUBLE >= 0.6 AS same FROM p""")
+def turn_containment(spark, sf_dir):
+    """Share of the shorter turn's longer words that the next turn has too; from 0.6 on they say the same."""
+    words = F.array_distinct(F.filter(T.tokens(F.col("text")), lambda x: F.length(x) >= 4))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("a"))
+    both = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
+    share = both.select("conv_id", "turn", T.containment(F.col("a"), F.col("b")).alias("share"))
+    return share.select("conv_id", "turn", F.round("share", 6).alias("share"), (F.col("share") >= 0.6).alias("same"))

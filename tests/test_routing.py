@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from memlode.operators import exposure, extraction, inference, knowledge, power
+from memlode.operators import exposure, extraction, inference, knowledge, power, stats
 
 TEXTS = [
     ("see [x](../entities/people/ana.md) and people/ana, [[projects/q|Q]]", "compiled", "spec", (2, 0, 0)),
@@ -166,3 +166,17 @@ def test_power_is_the_simulation(spark):
     assert power.least_detectable(curve, 1.1).first().effect is None
     with pytest.raises(ValueError):
         power.power_curve(d.where("unit = 1"), lambda a, b: F.abs(a - b), sizes, grid)
+
+
+def test_regrets(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["a", "b", "c", None]), rng.choice([True, True, False, None]), rng.choice([None, *map(float, range(9))]), float(rng.randint(3, 20))) for k in range(60)] + [(100 + k, "few", True, 1.0, 1.0) for k in range(4)] + [(200 + k, "blank", True, None, 2.0) for k in range(5)]
+    d = spark.createDataFrame(rows, "id long, s string, ok boolean, x double, y double")
+    got = {r.id: (r.regret_x, r.regret_y) for r in stats.regrets(d.repartition(3), "s", F.col("ok"), ["x", "y"]).collect()}
+    want = {}
+    for i, s, _, x, y in rows:
+        good = [r for r in rows if r[1] == s and r[2]]
+        if len(good) >= 5:
+            known = [r[3] for r in good if r[3] is not None]
+            want[i] = (None if x is None or not known else max(0.0, x - min(known)), max(0.0, y - min(r[4] for r in good)))
+    assert got == want and 100 not in got and got[200] == (None, 0.0)
