@@ -1,0 +1,62 @@
+"""Work and memory that must not outgrow the input, and results that only larger tables show."""
+
+import datetime as dt
+
+import duckdb
+
+from memlode.plans import registry
+
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
+
+
+def stages(spark):
+    gateway = spark.sparkContext._gateway
+    listed = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    it, out = listed.iterator(), {}
+    while it.hasNext():
+        s = it.next()
+        out[s.stageId()] = s
+    return out
+
+
+def shuffled(spark, run):
+    """What run() returns and the rows that it shuffled."""
+    before = set(stages(spark))
+    out = run()
+    return out, sum(s.shuffleWriteRecords() for k, s in stages(spark).items() if k not in before)
+
+
+def unsent(spark, run):
+    """run() as on tables that are too large to be broadcast unasked."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def tables(spark, path, **rows):
+    """A folder of Parquet tables, each given as (schema, rows), and a DuckDB connection that sees them."""
+    duck = duckdb.connect()
+    for name, (schema, own) in rows.items():
+        spark.createDataFrame(own, schema).coalesce(1).write.parquet(f"{path}/{name}.parquet")
+        duck.execute(f"create view {name} as select * from '{path}/{name}.parquet/*.parquet'")
+    return str(path), duck
+
+
+def listed(rows):
+    return sorted(map(repr, map(tuple, rows)))
+
+
+def test_last_served_shuffles_no_pairs(spark, tmp_path):
+    path, duck = tables(
+        spark, tmp_path,
+        customer=("c_custkey long, c_nationkey int", [(i, i % 2) for i in range(300)] + [(7, 0), (301, None), (5, 1)]),
+        supplier=("s_suppkey long, s_nationkey int", [(i, i % 2) for i in range(200)] + [(205, None), (4, 1)]),
+        orders=("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz", [(i, i % 250, dt.datetime(2024, 1, 1 + i % 28)) for i in range(200)] + [(200, None, None)]),
+        lineitem=("l_orderkey long, l_suppkey long", [(i % 210, i * 7 % 210) for i in range(700)]),
+    )
+    got, n = shuffled(spark, lambda: unsent(spark, lambda: QUERIES["last_served"](spark, path).collect()))
+    want = duck.execute(SQL["last_served"]).fetchall()
+    assert listed(got) == listed(want) and len(want) > 30_000
+    assert n < 10_000  # orders and lines may move, the pairs may not
