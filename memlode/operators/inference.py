@@ -25,26 +25,31 @@ def resamples(clusters: DataFrame, draws: int, seed: int = 42) -> DataFrame:
     they were drawn.  All clusters of one id (of both arms, say) are drawn together.
 
     Each draw has as many places as there are clusters, and a hash of seed, draw and place says who takes it.
+    Draws and clusters meet by number in a merge join, for clusters grow with the rows and are no broadcast.
     """
     numbered = counted_below(clusters.select("cluster").distinct(), "cluster").select(F.col("cluster").alias("drawn"), F.col("n_below").alias("number"))
+    own = Scratch(clusters.sparkSession).keep(clusters.join(numbered.hint("merge"), F.col("drawn") == F.col("cluster")).drop("drawn"))
     size = numbered.agg(F.count("*").alias("size"))
     places = clusters.sparkSession.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(size)).where("size > 0")
     places = places.select("draw", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size"))).alias("place"))
     taken = places.select("draw", F.floor(uniform(F.lit(seed), F.col("draw"), F.col("place")) * F.col("size")).alias("number"))
-    times = taken.groupBy("draw", "number").agg(F.count("*").alias("times")).join(numbered, "number")
-    return times.join(clusters, F.col("drawn") == F.col("cluster")).drop("drawn", "number")
+    times = taken.repartition("number").groupBy("draw", "number").agg(F.count("*").alias("times"))
+    return times.join(own.hint("merge"), "number").drop("number")
 
 
 def stratified_resamples(clusters: DataFrame, draws: int, seed: int = 42) -> DataFrame:
     """As ``resamples``, of clusters (stratum, cluster, ...), drawing in each stratum as many of its clusters as it has."""
     numbered = counted_below(clusters.select(F.struct("stratum", "cluster").alias("at")).distinct(), "at").select("at.stratum", "at.cluster", "n_below")
     sizes = Scratch(clusters.sparkSession).keep(numbered.groupBy("stratum").agg(F.count("*").alias("size"), F.min("n_below").alias("base")))
+    at = F.col("s_").eqNullSafe(F.col("stratum")) & F.col("c_").eqNullSafe(F.col("cluster"))
+    own = Scratch(clusters.sparkSession).keep(clusters.join(numbered.select(F.col("stratum").alias("s_"), F.col("cluster").alias("c_"), "n_below").hint("merge"), at).drop("s_", "c_"))
     places = sizes.select("stratum", "size", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
+    places = places.repartition(max(1, min(draws, 200)), "stratum", "draw")  # else one task makes all places
     places = places.select("stratum", "size", "base", "draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size"))).alias("place"))
     # the stratum's first number stands for it in the hash, so strata draw apart
     taken = places.select("draw", (F.col("base") + F.floor(uniform(F.lit(seed).cast("long"), F.col("base"), F.col("draw"), F.col("place")) * F.col("size"))).alias("n_below"))
-    times = taken.groupBy("draw", "n_below").agg(F.count("*").alias("times")).join(numbered, "n_below")
-    return times.select("draw", "times", F.col("stratum").alias("s_"), F.col("cluster").alias("c_")).join(clusters, F.col("s_").eqNullSafe(F.col("stratum")) & F.col("c_").eqNullSafe(F.col("cluster"))).drop("s_", "c_")
+    times = taken.repartition("n_below").groupBy("draw", "n_below").agg(F.count("*").alias("times"))
+    return times.join(own.hint("merge"), "n_below").drop("n_below")
 
 
 def interval(draws: DataFrame, value: str, level: float = 0.95, *by: str) -> DataFrame:
@@ -81,7 +86,7 @@ def ratios(rows: DataFrame, cluster: str, arm: str, num: str, den: str, draws: i
 def stratified_ratio(rows: DataFrame, stratum: str, cluster: str, num: str, den: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """One row: sum(num) / sum(den) with its interval from whole clusters resampled within strata; draws without a
     denominator are dropped and counted.  A cluster in two strata is two clusters."""
-    c = rows.groupBy(F.col(stratum).alias("stratum"), F.col(cluster).alias("cluster")).agg(F.sum(num).alias("x"), F.sum(den).alias("y"))
+    c = Scratch(rows.sparkSession).keep(rows.groupBy(F.col(stratum).alias("stratum"), F.col(cluster).alias("cluster")).agg(F.sum(num).alias("x"), F.sum(den).alias("y")))
     each = stratified_resamples(c, draws, seed).groupBy("draw").agg((F.sum(F.col("x") * F.col("times")) / F.nullif(F.sum(F.col("y") * F.col("times")), F.lit(0))).alias("v"))
     return c.agg((F.sum("x") / F.nullif(F.sum("y"), F.lit(0))).alias("estimate"), F.countDistinct("stratum").alias("strata"), F.count("*").alias("clusters")).crossJoin(F.broadcast(interval(each, "v")))
 

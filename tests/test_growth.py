@@ -4,6 +4,7 @@ import datetime as dt
 
 import duckdb
 
+from memlode.operators import inference
 from memlode.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -60,3 +61,12 @@ def test_last_served_shuffles_no_pairs(spark, tmp_path):
     want = duck.execute(SQL["last_served"]).fetchall()
     assert listed(got) == listed(want) and len(want) > 30_000
     assert n < 10_000  # orders and lines may move, the pairs may not
+
+
+def test_resamples_broadcast_no_clusters(spark):
+    c = spark.range(3000).selectExpr("id % 2 as stratum", "id as cluster", "id * 1.0D as x")
+    for run, few in ((inference.resamples, 2), (inference.stratified_resamples, 0)):  # the two are the number of clusters and one row a range
+        got = run(c, 5)
+        got.collect()
+        assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("BroadcastExchange") <= few
+        assert got.groupBy("draw").agg({"times": "sum"}).where("`sum(times)` <> 3000").isEmpty()
