@@ -18,6 +18,17 @@ def shingles(rows: DataFrame, k: int = 5) -> DataFrame:
     return own.select("id", F.size("hs").alias("n"), F.explode_outer("hs").alias("h"))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.xxhash64("text").alias("t1"), F.coalesce(F.sha1("text"), F.lit("")).alias("t2"), "text")
+
+
+def exact_members(rows: DataFrame) -> DataFrame:
+    """(id, rep): each id and the least id with the same text.  Texts are hashed where they are read, and only hashes move."""
+    keyed = _keyed(rows).drop("text")
+    reps = keyed.groupBy("t1", "t2").agg(F.min("id").alias("rep"))
+    return keyed.join(reps, ["t1", "t2"]).select("id", "rep")
+
+
 def near_duplicates(rows: DataFrame, threshold: float = 0.8, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of rows (id, text).
 
@@ -28,10 +39,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.8, k: int = 5) -> tupl
     dropped before the join.
     """
     scratch = Scratch(rows.sparkSession)
-    keyed = rows.select("id", F.xxhash64("text").alias("t1"), F.sha1("text").alias("t2"), "text")
-    reps = keyed.groupBy("t1", "t2").agg(F.min("id").alias("rep"))
-    members = keyed.join(reps, ["t1", "t2"]).select("id", "rep")
-    texts = keyed.groupBy("t1", "t2").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id")).select("id", "text")
+    members = exact_members(rows)
+    texts = _keyed(rows).groupBy("t1", "t2").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id")).select("id", "text")
     sh = scratch.keep(shingles(texts, k))
     df = sh.groupBy("h").agg(F.count("*").alias("df"))
     ranked = sh.join(df, "h").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "h")))

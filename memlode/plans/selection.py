@@ -29,7 +29,7 @@ def near_duplicate_pairs(spark, sf_dir):
 @query("SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents")
 def near_duplicate_members(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return similarity.near_duplicates(d)[0]
+    return similarity.exact_members(d)
 
 
 @query("""SELECT item_id AS id, CASE WHEN len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) > 10 THEN 1 ELSE 0 END AS long FROM benchmark""")

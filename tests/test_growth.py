@@ -132,3 +132,11 @@ def test_terms_are_counted_in_a_bounded_slice(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "w1")], "id long, chunk_text string")
     rows, mb = peak_mb(monkeypatch, docs, lambda: ranking._terms_held(docs, words, {"chunk_text": 1.0}), batch)
     assert rows == 10_000 and mb < 20  # all at once: 16 MB for each of several arrays
+
+
+def test_members_make_no_shingles(spark, tmp_path):
+    text = lambda i: " ".join(f"word{i % 7}x{k}" for k in range(40))
+    path, duck = tables(spark, tmp_path, documents=("doc_id long, text string", [(i, text(i)) for i in range(300)] + [(301, None), (302, None), (303, "")]))
+    got, n = shuffled(spark, lambda: QUERIES["near_duplicate_members"](spark, path).collect())
+    assert listed(got) == listed(duck.execute(SQL["near_duplicate_members"]).fetchall())
+    assert n <= 2 * 303
