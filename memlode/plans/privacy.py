@@ -76,7 +76,9 @@ def error_messages(spark, sf_dir):
     k, name = F.col("c_custkey") % 6, F.col("c_name")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("ValidationError", "UnauthorizedError", "LLMTimeoutError", "TypeError", "ConflictError", "PayloadTooLargeError")]), (k + 1).cast("int"))
     said = F.when(k == 0, F.concat(F.lit("bad token=abcdefghijklmnop0123 of "), name, F.lit("\r\nline two"))).when(k == 4, F.concat(F.lit("open /home/"), name, F.lit("/x failed"))).when(k == 5, F.repeat(F.concat(name, F.lit(" ")), F.lit(30))).otherwise(name)
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), kind.alias("name"), said.alias("message"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    c = c.repartition(max(1, c.count() // 16_384), "c_custkey")  # a file of few row groups is else one task's patterns
+    c = c.select(F.col("c_custkey").alias("id"), kind.alias("name"), said.alias("message"))
     return c.select("id", *O.safe_error(F.col("name"), F.col("message")))
 
 

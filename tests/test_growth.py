@@ -140,3 +140,8 @@ def test_members_make_no_shingles(spark, tmp_path):
     got, n = shuffled(spark, lambda: QUERIES["near_duplicate_members"](spark, path).collect())
     assert listed(got) == listed(duck.execute(SQL["near_duplicate_members"]).fetchall())
     assert n <= 2 * 303
+
+
+def test_error_messages_spread_over_tasks(spark, tmp_path):
+    path, _ = tables(spark, tmp_path, customer=("c_custkey long, c_name string", [(i, f"c{i}") for i in range(70_000)]))
+    assert QUERIES["error_messages"](spark, path).rdd.getNumPartitions() == 4
