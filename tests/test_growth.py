@@ -145,3 +145,14 @@ def test_members_make_no_shingles(spark, tmp_path):
 def test_error_messages_spread_over_tasks(spark, tmp_path):
     path, _ = tables(spark, tmp_path, customer=("c_custkey long, c_name string", [(i, f"c{i}") for i in range(70_000)]))
     assert QUERIES["error_messages"](spark, path).rdd.getNumPartitions() == 4
+
+
+def test_near_duplicates_shuffle_each_shingle_once(spark, tmp_path):
+    words = lambda i, n=40: [f"w{i}x{k}" for k in range(n)]
+    line = [f"common{k}" for k in range(12)]
+    texts = [" ".join(words(i) + line) for i in range(60)] + [" ".join([*words(i)[:-1], "other", *line]) for i in range(0, 60, 6)]
+    texts += [" ".join(words(3, 20) + line), " ".join(line), " ".join(line[:3]), " ".join(line[:2]), "", None, texts[0].upper(), texts[1]]
+    path, duck = tables(spark, tmp_path, documents=("doc_id long, text string", list(enumerate(texts))))
+    got, n = unsent(spark, lambda: shuffled(spark, lambda: QUERIES["near_duplicate_pairs"](spark, path).collect()))
+    assert listed(got) == listed(duck.execute(SQL["near_duplicate_pairs"]).fetchall())
+    assert len(got) >= 10 and n < 2 * sum(len((t or "").split()) for t in texts)
