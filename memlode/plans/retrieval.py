@@ -9,7 +9,7 @@ from memlode.functions import text as T
 from memlode.operators import ranking as R_
 from memlode.operators import stats, temporal
 from memlode.plans.base import AS_OF, Registry, chunks, relations, texts
-from memlode.session import table
+from memlode.session import Scratch, table
 
 R = Registry()
 query = R.query
@@ -315,10 +315,8 @@ def temporal_gap_bump(spark, sf_dir):
 u AS (SELECT query_id, id, min(p) AS place FROM (SELECT query_id, id, rank * 2 AS p FROM a UNION ALL SELECT query_id, id, rank * 2 + 1 FROM b) GROUP BY ALL)
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INTEGER) AS rank FROM u""")
 def interleaved(spark, sf_dir):
-    hits = R_.bm25(texts(spark, sf_dir), items(spark, sf_dir))
-    b = hits.join(chunks(spark, sf_dir).select("id", "access_count"), "id")
-    b = b.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("access_count"), "id"))).where("rank <= 5")
-    return R_.interleave(R_.top_k(hits, 5), b)
+    hits = Scratch(spark).keep(R_.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 5, most="access_count"))  # read for either leg
+    return R_.interleave(hits.where("leg = 'score'"), hits.where("leg = 'most'"))
 
 
 @query("""WITH t AS (SELECT c_custkey AS id, c_name || ' ships from ' || n.n_name || ' to ' || m.n_name AS text FROM customer JOIN nation n ON n.n_nationkey = c_nationkey JOIN nation m ON m.n_nationkey = (c_custkey % 25))

@@ -166,3 +166,16 @@ def test_graph_boost_follows_the_hits(spark):
     got, n = unsent(spark, lambda: shuffled(spark, lambda: dictionary.graph_boosted(hits, asked, known, rel).collect()))
     assert {(r.query_id, r.id): round(r.score, 6) for r in got} == {(q, i): 1.0375 if i < 9000 else 1.0 for q in range(40) for i in (q, 9000)}
     assert n < 20_000  # a row for every query and chunk of its entities: 60 000, twice
+
+
+def test_interleaved_shuffles_its_best_alone(spark, tmp_path):
+    docs = [(i, f"common word{i % 9} w{i}" if i % 7 else "other", None, "s") for i in range(600)] + [(600, None, "xx", None)]
+    path, duck = tables(
+        spark, tmp_path,
+        documents=("doc_id long, text string, lang string, source string", docs),
+        labels=("doc_id long, quality int, toxic int", [(1, 1, 0)]),
+        benchmark=("item_id long, text string", [(q, f"common word{q} w{q * 30}") for q in range(20)] + [(20, "unheard"), (21, "")]),
+    )
+    got, n = unsent(spark, lambda: shuffled(spark, lambda: QUERIES["interleaved"](spark, path).collect()))
+    assert listed(got) == listed(duck.execute(SQL["interleaved"]).fetchall())
+    assert len(got) >= 100 and n < 2000  # a row for every query and matching document: 10 000, several times
