@@ -408,24 +408,38 @@ FAST = {
 TYPES = {"email": "person", "phone": "person", "cnpj": "organization", "cpf": "person", "value_brl": "metric", "value_usd": "metric", "value_eur": "metric", "url": "document", "percent": "metric", "proper_noun": "person"}
 
 
+#: What a text must hold for a kind to be in it, and how each match begins: plain searches that spare most texts and places the pattern.
+HOLDS = {"value_brl": "$", "value_usd": "$", "value_eur": "€", "cnpj": "/", "cpf": "-", "date": "/", "phone": "55", "email": "@", "url": "://", "percent": "%"}
+BEGINS = {**dict.fromkeys(("cnpj", "cpf", "date", "percent"), "(?=\\d)"), "proper_noun": "(?=[A-ZÁÉÍÓÚÂÊÎÔÛÀÃÕÇ])"}
+
+
+def _hits(text: Column, kinds: list[str]) -> Column:
+    def of(kind):
+        found = F.regexp_extract_all(text, F.lit(BEGINS.get(kind, "") + FAST[kind]), F.lit(0))
+        found = F.when(F.contains(text, F.lit(HOLDS[kind])), found).otherwise(F.array().cast("array<string>")) if kind in HOLDS else found
+        return F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(F.regexp_replace(v, "^\\s+|\\s+$", "")).alias("value")))
+
+    return F.concat(*[of(k) for k in kinds])
+
+
 def fast_hits(text: Column) -> Column:
     """array<struct<kind, value>>: the structured parts of a text by kind and place, repeats included."""
-    def of(kind, pattern):
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(F.regexp_replace(v, "^\\s+|\\s+$", "")).alias("value")))
-
-    return F.concat(*[of(k, p) for k, p in FAST.items()])
+    return _hits(text, list(FAST))
 
 
 def fast_path(rows: DataFrame, text: str = "text", least: int = 3, cap: int = 20) -> DataFrame:
     """(id, kind, name, type): the entities of texts with ``least`` structured parts besides names, which need no model.
 
-    Each kind and value once, ``cap`` a text; dates are parts but no entities.
+    Each kind and value once, ``cap`` a text; dates are parts but no entities.  Names are looked for in these texts only.
     """
-    own = rows.select("id", fast_hits(F.coalesce(F.col(text), F.lit(""))).alias("hits"))
-    own = own.where(F.size(F.filter("hits", lambda h: h.kind != "proper_noun")) >= least)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    names = _hits(whole, ["proper_noun"])
+    kept = lambda hits: F.slice(F.filter(F.array_distinct(hits), lambda h: h.kind != "date"), 1, cap)
+    # an element of its own, so that what it is made of is computed once
+    parts = F.transform(F.array(_hits(whole, [k for k in FAST if k != "proper_noun"])), lambda hits: F.when(F.size(hits) >= least, kept(F.concat(hits, names))))
     types = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
-    kept = F.slice(F.filter(F.array_distinct("hits"), lambda h: h.kind != "date"), 1, cap)
-    return own.select("id", F.explode(kept).alias("h")).select("id", "h.kind", F.col("h.value").alias("name"), F.element_at(types, F.col("h.kind")).alias("type"))
+    own = rows.select("id", F.get(parts, F.lit(0)).alias("hits")).select("id", F.explode_outer("hits").alias("h")).where("h is not null")
+    return own.select("id", "h.kind", F.col("h.value").alias("name"), F.element_at(types, F.col("h.kind")).alias("type"))
 
 
 def ambiguous(text: Column, kind: Column, found: Column, entities: Column) -> Column:

@@ -1,14 +1,16 @@
 """Work and memory that must not outgrow the input, and results that only larger tables show."""
 
 import datetime as dt
+import time
 import tracemalloc
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from memlode import session
-from memlode.operators import dictionary, inference, ranking
+from memlode.operators import dictionary, inference, privacy, ranking
 from memlode.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -189,3 +191,41 @@ def test_audit_violations_tasks_have_bounded_rows(spark, tmp_path, monkeypatch):
     out = QUERIES["audit_violations"](spark, path)
     assert listed(out.collect()) == listed(duck.execute(SQL["audit_violations"]).fetchall())
     assert out.rdd.getNumPartitions() == 21
+
+
+def mixed(words, n, size, seed=5):
+    rng = np.random.default_rng(seed)
+    return [(i, "".join(rng.choice(words, size))) for i in range(n)] + [(n, None), (n + 1, "")]
+
+
+def seconds(frame):
+    began = time.perf_counter()
+    frame.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def prose(spark):
+    return spark.createDataFrame([(i, "The Quick brown-fox jumped, et al. over src docs 3 entities. " * 20_000) for i in range(2)], "id long, text string").coalesce(1)
+
+
+FAST_WORDS = [" ", " ", " ", "R$ 1.5 mil", "us$3k", "U$", "€ 4", "12.345.678/0001-90", "123.456.789-09", "a1/2/2024", "1/2/24", "+55 (11) 91234-5678", "ana@b.co", "https://x.y/z)", "7,5 %", "9%", "Ana", " Éva", "Rio", " de ", "x", "é", "-", "\n", "A", "Óscar Lima", "4"]
+
+
+def test_fast_entities_as_all_patterns_find_them(spark):
+    rows = spark.createDataFrame(mixed(FAST_WORDS, 300, 16), "id long, text string")
+
+    def of(k, p):
+        return F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda v: F.struct(F.lit(k).alias("kind"), F.trim(F.regexp_replace(v, "^\\s+|\\s+$", "")).alias("value")))
+
+    plain = F.concat(*[of(k, p) for k, p in privacy.FAST.items()])
+    want = []
+    for i, hits in rows.select("id", plain).collect():
+        if len([k for k, _ in hits or [] if k != "proper_noun"]) >= 3:
+            want += [(i, k, v, privacy.TYPES[k]) for k, v in [h for h in dict.fromkeys(map(tuple, hits)) if h[0] != "date"][:20]]
+    assert listed(privacy.fast_path(rows).collect()) == listed(want) and len(want) > 500 and len({w[1] for w in want}) == 10
+
+
+def test_fast_entities_spare_texts_without_parts(spark):
+    rows = prose(spark)
+    seconds(privacy.fast_path(rows))
+    assert seconds(privacy.fast_path(rows)) < seconds(rows.select(F.regexp_extract_all("text", F.lit(privacy.FAST["proper_noun"]), F.lit(0))))
