@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlode.operators.knowledge import SINGULAR
 from memlode.operators.lifecycle import leading_block, stated
-from memlode.operators.textual import CODE_REF, LINKS, strip_code
+from memlode.operators.textual import CODE_REF, DIRS, LINKS, strip_code
 
 #: Sections whose patterns may suffice, kinds of text that a model always reads, and how a text is read.
 STRUCTURED = ("compiled", "frontmatter", "timeline")
@@ -18,10 +18,20 @@ PATTERNS_THEN_MODEL = "regex_primary_gemini_secondary"
 MODEL_AFTER_NONE = "gemini_only_after_regex_zero"
 
 
+#: How a match begins and what a text must hold for one: plain searches before patterns that look behind.
+BEGINS = {LINKS["bare"]: f"(?=[{''.join(sorted({d[0] for d in DIRS.split('|')}))}])", CODE_REF: "(?=[sdteSDTE])"}
+HOLDS = {LINKS["markdown"]: "](", LINKS["wikilink"]: "[["}
+
+
 def _pairs(text: str, pattern: str) -> Column:
-    """Both groups of each match; every pattern has a slash, so a text without one is not searched."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b"))
-    return F.when(F.contains(F.col(text), F.lit("/")), pairs).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    """Both groups of each match; every pattern has a slash, so a text without one is not searched.
+
+    A text is searched once: no pattern depends on more than the match but for its edges, which the ends of the match are too.
+    """
+    part = lambda m, k: F.regexp_extract(m, pattern, k)
+    pairs = F.transform(F.regexp_extract_all(text, F.lit(BEGINS.get(pattern, "") + pattern), F.lit(0)), lambda m: F.struct(part(m, 1).alias("a"), part(m, 2).alias("b")))
+    some = F.contains(F.col(text), F.lit("/")) & F.contains(F.col(text), F.lit(HOLDS.get(pattern, "/")))
+    return F.when(some, pairs).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
 
 
 def pattern_counts(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from memlode import session
-from memlode.operators import dictionary, inference, privacy, ranking
+from memlode.operators import dictionary, extraction, inference, privacy, ranking, textual
 from memlode.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -229,3 +229,24 @@ def test_fast_entities_spare_texts_without_parts(spark):
     rows = prose(spark)
     seconds(privacy.fast_path(rows))
     assert seconds(privacy.fast_path(rows)) < seconds(rows.select(F.regexp_extract_all("text", F.lit(privacy.FAST["proper_noun"]), F.lit(0))))
+
+
+LINK_WORDS = [" ", " ", "(", "[[projects/a-b]]", "[[entities/person/x#y|z]]", "[t](../entities/projects/q.md#s)", "[", "](", "projects/abc", "person/x1", "`", ".", "src/a.py:12", "Docs/b_c.md", "evals/x.ts", "\n", "#", "/", "x", ":7", "|", "]]"]
+
+
+def test_links_and_code_as_their_groups(spark):
+    rows = spark.createDataFrame(mixed(LINK_WORDS, 400, 14), "id long, text string")
+    some = 0
+    for p in (*textual.LINKS.values(), textual.CODE_REF):
+        both = F.arrays_zip(*[F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), F.lit(k)).alias(c) for k, c in ((1, "a"), (2, "b"))])
+        got = rows.select("id", F.coalesce("text", F.lit("")).alias("text")).select("id", extraction._pairs("text", p).alias("m"), both.alias("n")).collect()
+        assert [r.m for r in got] == [r.n for r in got]
+        some += sum(len(r.m) > 0 for r in got) > 20
+    assert some == 4
+
+
+def test_links_and_code_are_searched_once(spark):
+    rows, patterns = prose(spark).withColumn("text", F.concat("text", F.lit("src/a.py"))), (textual.LINKS["bare"], textual.CODE_REF)
+    plain = rows.select(*[F.regexp_extract_all("text", F.lit(p), F.lit(k)) for p in patterns for k in (1, 2)])
+    seconds(extraction.pattern_counts(rows))
+    assert seconds(extraction.pattern_counts(rows)) < 0.7 * seconds(plain)
