@@ -7,9 +7,10 @@ from pyspark.sql.window import Window as W
 
 from memlode.operators import metrics as M
 from memlode.operators import ranking
+from memlode.operators.dictionary import holders
 from memlode.plans.base import Registry, chunks, texts
 from memlode.plans.retrieval import BM25, items, vectors
-from memlode.session import table
+from memlode.session import Scratch, table
 
 R = Registry()
 query = R.query
@@ -19,27 +20,18 @@ GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN
 
 
 def gold(spark, sf_dir):
-    """Passages meet texts through their first words' keys, then the whole passage is checked."""
-    def key(t):
-        return F.concat_ws(" ", *[F.get(t, F.lit(i)) for i in range(4)])
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return holders(d, b).distinct()
 
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.split("text", "\\s+").alias("w"))
-    b = b.select("query_id", "passage", key(F.slice("w", 2, 4)).alias("key"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.split("text", "\\s+").alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " "))
-    d = d.select("id", "t", F.array_distinct(grams).alias("gs")).select("id", "t", F.explode_outer("gs").alias("key"))  # outer: no size test is derived that would build the grams twice
-    return d.join(b, "key").where(F.contains("t", F.col("passage"))).select("query_id", "id").distinct()
 
-
-def ranked(spark, sf_dir):
+def scored(spark, sf_dir):
+    """Metrics of each passage's search; the texts are searched for passages once."""
+    g = Scratch(spark).keep(gold(spark, sf_dir))
     hits = ranking.bm25_top(texts(spark, sf_dir), items(spark, sf_dir), 10)
-    g = gold(spark, sf_dir).withColumn("is_gold", F.lit(True))
-    return hits.join(g, ["query_id", "id"], "left").select("query_id", "id", "rank", F.coalesce("is_gold", F.lit(False)).alias("is_gold"))
-
-
-def counts(spark, sf_dir):
-    n = gold(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    return items(spark, sf_dir).select("query_id").join(n, "query_id", "left").fillna(0, ["n_gold"])
+    ranked = hits.join(g.withColumn("is_gold", F.lit(True)), ["query_id", "id"], "left").select("query_id", "id", "rank", F.coalesce("is_gold", F.lit(False)).alias("is_gold"))
+    counts = items(spark, sf_dir).select("query_id").join(g.groupBy("query_id").agg(F.count("*").alias("n_gold")), "query_id", "left").fillna(0, ["n_gold"])
+    return M.per_query(ranked, counts)
 
 
 SCORES = f"""{BM25}, {GOLD}, r AS (SELECT query_id, id, rank, (query_id, id) IN (SELECT (query_id, id) FROM gold) AS g FROM ranked WHERE rank <= 10),
@@ -51,14 +43,14 @@ s AS (SELECT query_id, n_gold, CASE WHEN n_gold > 0 THEN coalesce(dcg, 0) / list
 
 @query(f"WITH {SCORES} SELECT query_id, n_gold, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(recall_capped, 6) AS recall_capped, p5, round(mrr, 6) AS mrr, hit FROM s")
 def passage_scores(spark, sf_dir):
-    s = M.per_query(ranked(spark, sf_dir), counts(spark, sf_dir))
+    s = scored(spark, sf_dir)
     return s.select("query_id", "n_gold", *[F.round(c, 6).alias(c) for c in ("ndcg", "recall", "recall_capped")], "p5", F.round("mrr", 6).alias("mrr"), "hit")
 
 
 @query(f"""WITH {SCORES} SELECT CASE WHEN n_gold = 0 THEN 'none' WHEN n_gold = 1 THEN 'one' ELSE 'many' END AS category, count(*) AS n, CASE WHEN count(*) FILTER (WHERE query_id % 10 <> 3) = 0 THEN 'SKIP' WHEN count(*) FILTER (WHERE query_id % 10 = 3) > 0 THEN 'PARTIAL' ELSE 'OK' END AS status,
 round(avg(ndcg) FILTER (WHERE query_id % 10 <> 3), 6) AS ndcg, round(avg(mrr) FILTER (WHERE query_id % 10 <> 3), 6) AS mrr FROM s GROUP BY 1""")
 def score_rollup(spark, sf_dir):
-    s = M.per_query(ranked(spark, sf_dir), counts(spark, sf_dir))
+    s = scored(spark, sf_dir)
     kind = F.when(F.col("n_gold") == 0, "none").when(F.col("n_gold") == 1, "one").otherwise("many")
     return M.rollup(s.withColumns({"category": kind, "error": F.col("query_id") % 10 == 3}), ["category"], ["ndcg", "mrr"])
 

@@ -250,3 +250,40 @@ def test_links_and_code_are_searched_once(spark):
     plain = rows.select(*[F.regexp_extract_all("text", F.lit(p), F.lit(k)) for p in patterns for k in (1, 2)])
     seconds(extraction.pattern_counts(rows))
     assert seconds(extraction.pattern_counts(rows)) < 0.7 * seconds(plain)
+
+
+DOCUMENTS, LABELS = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int"
+
+
+def test_passages_of_any_length_are_gold(spark, tmp_path):
+    texts = ["alpha beta gamma delta epsilon zeta eta", "xalpha beta gamma delta epsilonish tail", None, "", "one word", "beta", "Alpha beta", "alpha  beta", "gamma alpha beta ünïcode 𝄞 beta", "beta"]
+    asked = ["alpha beta gamma delta epsilon", "beta", "ta gam", "", None, texts[0], "Alpha beta", "beta", "nowhere to be found here at all", " ", "ünïcode 𝄞"]
+    path, duck = tables(
+        spark, tmp_path, benchmark=("item_id long, text string", list(enumerate(asked))), labels=(LABELS, [(1, 1, 0)]),
+        documents=(DOCUMENTS, [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]),
+    )
+    for name in ("passage_scores", "score_rollup"):
+        assert listed(QUERIES[name](spark, path).collect()) == listed(duck.execute(SQL[name]).fetchall())
+    docs, b = (spark.createDataFrame(list(enumerate(x)), f"{k} long, {c} string") for x, k, c in ((texts, "id", "text"), (asked, "query_id", "passage")))
+    want = {(q, i) for q, p in enumerate(asked) for i, t in enumerate(texts) if None not in (p, t) and p in t}
+    for size in (200, dictionary.BLOCK_BYTES):  # some blocks and one
+        assert sorted(map(tuple, dictionary.holders(docs, b, block_bytes=size).collect())) == sorted(want)
+
+
+def test_gold_takes_no_row_a_word(spark, tmp_path):
+    texts = [" ".join(f"w{i}x{k}" for k in range(500)) for i in range(40)]
+    path, _ = tables(
+        spark, tmp_path, benchmark=("item_id long, text string", [(i, t[100:200]) for i, t in enumerate(texts[:10])]),
+        documents=(DOCUMENTS, [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]),
+    )
+    got, n = unsent(spark, lambda: shuffled(spark, lambda: QUERIES["passage_scores"](spark, path).collect()))
+    assert len(got) == 10 and all(r.n_gold == 1 and r.hit == 1 for r in got)
+    assert n < 20 * len(texts)  # a row for each run of four words: 19 880, and twice
+
+
+def test_passages_are_found_a_text_at_a_time(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(2_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5_000), pa.int64()), pa.array([text] * 5_000)], ["id", "text"])
+    docs, b = spark.createDataFrame([(1, "w1")], "id long, text string"), spark.createDataFrame([(7, "w1 w2 w3"), (8, "w5")], "query_id long, passage string")
+    rows, mb = peak_mb(monkeypatch, docs, lambda: dictionary.holders(docs, b), batch)
+    assert rows == 10_000 and mb < 5  # all at once: 56 MB of strings
