@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from memlode import session
-from memlode.operators import dictionary, extraction, inference, privacy, ranking, textual
+from memlode.operators import dictionary, extraction, inference, privacy, ranking, telemetry, textual
 from memlode.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -69,6 +69,33 @@ def test_last_served_shuffles_no_pairs(spark, tmp_path):
     assert n < 10_000  # orders and lines may move, the pairs may not
 
 
+def test_last_served_takes_little_room_on_disk(spark, tmp_path):
+    path, duck = tables(
+        spark, tmp_path,
+        customer=("c_custkey long, c_nationkey int", [(i, i % 25) for i in range(5000)]),
+        supplier=("s_suppkey long, s_nationkey int", [(i * 7919 % 14_009, i % 25) for i in range(14_000)]),
+        orders=("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz", [(i, i, dt.datetime(2024, 1, 1 + i % 28)) for i in range(5000)]),
+        lineitem=("l_orderkey long, l_suppkey long", [(i % 5000, i * 31 % 14_009) for i in range(60_000)]),
+    )
+    QUERIES["last_served"](spark, path).write.parquet(f"{tmp_path}/out")
+    summed = "select count(*), count(served_at), sum(hash(agent, id, served_at)), bit_xor(hash(agent, id, served_at)) from "
+    got = duck.execute(f"{summed} '{tmp_path}/out/*.parquet'").fetchone()
+    assert got == duck.execute(f"{summed} ({SQL['last_served']})").fetchone() and got[0] == 2_800_000 and got[1] > 2000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.5 * got[0]
+
+
+def test_pairs_are_whole_in_any_cut(spark, monkeypatch):
+    left = [(i, i % 3) for i in range(40)] + [(5, 2)] * 30 + [(None, 1), (None, 1), (9, 1), (50, None), (51, 7)]
+    right = [(i, i % 3) for i in range(30)] + [(4, 1)] * 25 + [(None, 1), (None, 1), (4, 0), (60, None), (61, 8)]
+    found = {(k, g, o): k * 100 + o for k, g in left for o, h in right if g == h and None not in (k, o, g) and (k * 7 + o) % 4 < 3} | {(5, 2, 2): None, (5, 2, 90): 1}
+    frames = [spark.createDataFrame(rows, of).repartition(3) for rows, of in ((left, "k long, g int"), (right, "o long, g int"), ([(*x, v) for x, v in found.items()], "k long, g int, o long, v long"))]
+    want = listed((k, o, found.get((k, g, o))) for k, g in left for o, h in right if g == h and g is not None)
+    for run, rows, block in ((504, 1 << 22, 1 << 20), (3, 40, 8), (1, 1 << 22, 1000), (4, 5000, 1)):
+        monkeypatch.setattr(telemetry, "RUN", run, raising=False)
+        assert listed(telemetry.looked_up(frames[0], frames[1], "g", frames[2], "k", "o", "v", rows, block).collect()) == want
+    assert not telemetry.looked_up(frames[0].where("k = 51"), frames[1], "g", frames[2], "k", "o", "v").collect()
+
+
 def test_resamples_broadcast_no_clusters(spark):
     c = spark.range(3000).selectExpr("id % 2 as stratum", "id as cluster", "id * 1.0D as x")
     for run, few in ((inference.resamples, 2), (inference.stratified_resamples, 0)):  # the two are the number of clusters and one row a range
